@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, media, packing
 from .shared import table
 
 
@@ -22,9 +22,15 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), 1024, 0)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as an image in archives, read back and described."""
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curve_packing": op2_curve_packing,
     "op4_token_counts": op4_token_counts,
+    "op10_media_columns": op10_media_columns,
 }
 
 #: Only queries that SQL can express have an entry.

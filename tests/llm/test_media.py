@@ -1,0 +1,62 @@
+"""Media columns: exact round trips, byte ranges, and members that fail once or for good."""
+
+import hashlib
+import zlib
+from pathlib import Path
+
+import pytest
+
+from quillstone.llm import media
+
+TEXTS = [(1, "abc"), (2, ""), (3, None), (4, "ñ" * 5000), (5, "abc"), (None, "x" * 576), (6, "y" * 577), (6, "y" * 577)]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, "z") for i, t in TEXTS], "doc_id long, text string, media string")
+
+
+def test_payloads_come_back(docs):
+    got = sorted(([tuple(r) for r in media.media_features(docs).collect()]), key=str)
+    want = []
+    for i, t in TEXTS:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        image = media.to_image(payload)
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), media.feature(payload)))
+    assert got == sorted(want, key=str)
+
+
+def test_empty_table(docs):
+    assert media.media_features(docs.limit(0)).count() == 0
+
+
+def test_each_member_lies_in_one_byte_range(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/a"
+    media.write_archives(docs.select("doc_id", "text").coalesce(1), path).collect()
+    for split in (1, 100, 1 << 20):
+        reader = media.ArchiveReader(path, split, 2, False)
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(r["member"] for r in rows) == sorted(f"{k:09d}.{'' if i is None else i}.png" for k, (i, _) in enumerate(TEXTS))
+    assert media.read_archives(spark, path, split_bytes="64").count() == len(TEXTS)
+
+
+def test_one_bad_member_is_tried_again_alone(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/a"
+    media.write_archives(docs.select("doc_id", "text").coalesce(1), path).collect()
+    (archive,) = Path(tmp_path, "a").glob("*.zip")
+    data = bytearray(archive.read_bytes())
+    data[data.index(b"IDAT") + 6] ^= 1
+    archive.write_bytes(data)
+    rows = media.read_archives(spark, path, on_error="keep", tries="2").collect()
+    assert len(rows) == len(TEXTS)
+    assert [r.error for r in rows if r.media is None] == ["ValueError: damaged member"]
+    with pytest.raises(Exception, match="damaged member"):
+        media.read_archives(spark, path, tries="1").collect()
+
+
+def test_image_rejects_damage():
+    image = media.to_image(media.padded(b"abc"))
+    assert media.from_image(image) == media.padded(b"abc")
+    with pytest.raises(ValueError):
+        media.from_image(image[:40] + b"\0" + image[41:])
