@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, topk
+from . import bpe, media, packing, topk, urls
 from .shared import table
 
 
@@ -22,6 +22,21 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), 1024, 0)
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the URL of every page: the longest rule's, else that of boosted trees."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents stored as an image in archives, read back and described."""
     return media.media_features(table(spark, sf_dir, "documents"))
@@ -36,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curve_packing": op2_curve_packing,
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
+    "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
 }
 
