@@ -128,7 +128,7 @@ class MergeTable:
         return left
 
 
-class _Kept(dict):
+class Kept(dict):
     """A dict that makes missing values and holds two generations of CACHE_WORDS at most."""
 
     older: dict = {}
@@ -145,7 +145,7 @@ class _Kept(dict):
         return value
 
 
-class _Counts(_Kept):
+class _Counts(Kept):
     """Token counts of words, made on first sight."""
 
     def __init__(self, merges: MergeTable):
@@ -201,7 +201,7 @@ def pack(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class Ids(_Kept):
+class Ids(Kept):
     """Token ids of words as packed little-endian 16-bit numbers.
 
     `ranks` is the rank file of the same vocabulary (its lines are base64 bytes and an id);

@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, topk, urls
+from . import bpe, extraction, media, packing, topk, urls
 from .shared import table
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, for the byte-level vocabulary of 50k entries."""
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,6 +54,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curve_packing": op2_curve_packing,
+    "op3_main_text": op3_main_text,
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
     "op9_url_filters": op9_url_filters,

@@ -1,0 +1,73 @@
+"""Extraction: messages against brute-force enumeration, parsing of broken markup, held-out pages."""
+
+import html
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from quillstone.llm import dom, extraction, labelled_pages
+
+
+@pytest.fixture(scope="module")
+def model():
+    return extraction.default_model()
+
+
+def test_messages_equal_enumeration(model):
+    """On small trees the marginals are those of the sum over all labellings."""
+    page = '<body><div class="menu"><a href=x>One</a></div><article><h1>T</h1><p>Long text, with stops. And more.</p></article></body>'
+    nodes = dom.parse(page)
+    f = extraction.forest([nodes], model.number)
+    own, both = model.beliefs(f)
+    score = np.bincount(f.owner, model.unary[f.features], len(nodes))
+    total, ones, pairs = 0.0, np.zeros(len(nodes)), np.zeros((len(nodes), 2, 2))
+    for y in itertools.product((0, 1), repeat=len(nodes)):
+        w = np.exp(sum(score[i] * y[i] for i in range(len(nodes))) + sum(model.edge[f.kinds[i], y[f.parent[i]], y[i]] for i in range(1, len(nodes))))
+        total += w
+        ones += w * np.array(y)
+        for i in range(1, len(nodes)):
+            pairs[i, y[f.parent[i]], y[i]] += w
+    assert np.allclose(own[:, 1], ones / total)
+    assert np.allclose(both[1:], (pairs / total)[1:])
+
+
+def test_held_out_pages(model):
+    pages = labelled_pages.labelled_pages(150, seed=99)
+    own, _ = model.beliefs(extraction.forest([n for n, _ in pages], model.number))
+    y = np.array([v for _, labels in pages for v in labels])
+    assert ((own[:, 1] > 0.5) == y).mean() > 0.98
+
+
+def test_pages_of_the_table(spark, model):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = extraction.main_texts([r.html for r in rows], model)
+    for r, text in zip(rows, got, strict=True):
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        article = re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", article))
+        assert text == " ".join(html.unescape(article).split())
+
+
+def test_white_space_references_and_inline(model):
+    page = "<html><body><article><h1>A&nbsp;&amp; B</h1><p>x<b>y</b>\n\t z &#8212; &lt;p&gt;<p>two<br>lines<script>var a='</p>'</script></article>"
+    assert extraction.main_texts([page], model) == ["A & B xy z — <p> two lines"]
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["", "<", "<<<>>>", "plain text", "</p></div>", "<p", "<a href='", "<!-- open", "<script>never closed", "<table><td>x<tr><td>y", "<li>a<li>b</ul>", "<" * 5000, "<div>" * 3000 + "deep", '<a "' * 3000, "<p>" + "x " * 300_000],
+)
+def test_broken_markup_is_read(model, source):
+    (text,) = extraction.main_texts([source], model)
+    assert isinstance(text, str)
+
+
+def test_table(spark):
+    line = "One line of text, whole."
+    page = f"<html><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>{line}</h1></article></body></html>"
+    rows = [(1, "u", page), (None, None, None), (3, "u", ""), (1, "u", page)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
+    got = sorted((tuple(r) for r in extraction.extract(df).collect()), key=str)
+    assert got == sorted([(1, "u", line, len(line)), (None, None, "", 0), (3, "u", "", 0), (1, "u", line, len(line))], key=str)
+    assert extraction.extract(df.limit(0)).count() == 0
