@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, extraction, media, packing, topk, urls
+from . import bpe, extraction, media, packing, topk, toxicity, urls
 from .shared import table
 
 
@@ -27,6 +28,14 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), 1024, 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 #: The rules of the URL query.
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_main_text": op3_main_text,
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_toxicity": op6_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
 }
