@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, media, packing, topk, toxicity, urls
+from . import bpe, extraction, language, media, packing, topk, toxicity, urls
 from .shared import table
 
 
@@ -36,6 +36,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 #: The rules of the URL query.
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
 }
