@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, language, media, packing, topk, toxicity, urls
+from . import bpe, extraction, jaccard, language, media, packing, topk, toxicity, urls
 from .shared import table
 
 
@@ -22,6 +22,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity of 0.75 or more."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens along a Hilbert curve."""
     path = public_tokenizers.path
@@ -70,6 +75,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_curve_packing": op2_curve_packing,
     "op3_main_text": op3_main_text,
     "op4_token_counts": op4_token_counts,
@@ -82,6 +88,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Only queries that SQL can express have an entry.
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": r"""
+        WITH RECURSIVE texts AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+          FROM documents
+        ), held AS MATERIALIZED (
+          SELECT DISTINCT doc_id, unnest(CASE
+                   WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+                   WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+          FROM texts
+        ), sizes AS (
+          SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id
+        ), shared AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+          FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+          SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * k >= 75 * (x.n + y.n - k)
+        ), steps AS (
+          SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+          SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION
+          SELECT r.a, s.b FROM reached r JOIN steps s ON r.b = s.a
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id)
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)
+    """,
     "op5_exact_top_k": """
         WITH whole AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
