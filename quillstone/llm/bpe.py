@@ -133,15 +133,17 @@ class Kept(dict):
 
     older: dict = {}
 
-    def __missing__(self, word: str):
+    def __missing__(self, word):
         value = self.older.get(word)
         if value is None:
             value = self.make(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = value
+        return self.keep(word, value) if len(word) <= CACHE_CHARS else value
+
+    def keep(self, key, value):
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, jaccard, language, media, packing, topk, toxicity, urls
+from . import bpe, extraction, jaccard, language, media, packing, pieces, topk, toxicity, urls
 from .shared import table
 
 
@@ -49,6 +49,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and whether decoding them gives the text back.
+
+    A null text counts as empty. `round_trip` compares with the text after the normaliser, which
+    takes the mark U+2581 for a space.
+    """
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32("decoded").alias("decoded_crc32"),
+        (F.col("decoded") == F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"),
+    )
+
+
 #: The rules of the URL query.
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
@@ -82,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_pieces": op8_pieces,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
 }
