@@ -378,3 +378,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     whole = own.join(named, "node", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, all columns as they are, with one document of each near-duplicate group.
+
+    The document with the group's smallest doc_id stays. Repeated rows of one id and text are one
+    document. Rows without a doc_id cannot be told apart and all stay. The ids that go are
+    broadcast up to a count of BROADCAST; beyond it the documents are joined by a shuffle.
+    """
+    near = staged(near_duplicates(docs, words, percent).where("doc_id is not null"))
+    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = near.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    kept = docs.join(few(gone), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        repeated = few(repeated)
+        twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
+    return kept.select(*docs.columns)

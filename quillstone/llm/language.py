@@ -212,6 +212,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return train(lines, sorted(r["lang"] for r in counts))
 
 
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text has a language with a share of at least `least`.
+
+    Texts without letters go, and those of which no language has that share of the words.
+    """
+
+    def run(batches):
+        lexicon = Lexicon(model)
+        for b in slices(batches):
+            lexicon.trim()
+            langs, scores = predict(b.column(b.schema.get_field_index("text")).to_pylist(), model, lexicon)
+            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, lang_pred (a learned language, or `und`) and score (0 to 1).
 

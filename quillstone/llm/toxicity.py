@@ -209,6 +209,26 @@ def _calibrate(model: Model, seen: list[tuple[int, list[float], int]]) -> None:
         model.curve = tuple(float(v) for v in _logistic(np.array(x), np.array(y, float)))
 
 
+def probability(text: str | None, scores: Scores, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
+    """A text's score and its significant passages as word ranges."""
+    n, found = segments_of(text or "", scores)
+    most, count, far = evidence(n, found, model)
+    a, b, c = model.curve
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * most + c * count)))), far
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores below one half."""
+
+    def run(batches):
+        scores = Scores(model)
+        for b in slices(batches):
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([probability(t, scores, model)[0] < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, score (0 to 1), predicted (1 from 0.5 on), segments (code-point ranges).
 
@@ -219,13 +239,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         scores = Scores(model)
-        a, b, c = model.curve
         for batch in slices(batches):
             out, spans = [], []
             for text in batch.column(1).to_pylist():
-                n, found = segments_of(text or "", scores)
-                most, count, far = evidence(n, found, model)
-                out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * most + c * count)))))
+                p, far = probability(text, scores, model)
+                out.append(p)
                 if far:
                     places = [m.span() for m in _WORD.finditer(text.lower())]
                     far = [{"start": places[s][0], "end": places[e - 1][1], "score": v} for s, e, v in far]
