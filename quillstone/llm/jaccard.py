@@ -143,7 +143,12 @@ def _gathered(batches) -> list[np.ndarray]:
 
 
 def prefixes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """(shingle, node, n) rows: the prefix shingles that two nodes or more hold."""
+    """(shingle, node, n, slack) rows: the prefix shingles that two nodes or more hold.
+
+    A pair with the asked similarity shares a shingle among the first `n - overlap + 1` of both,
+    where the overlap is that of these two sizes. `slack`, from n and the shingle's place, says so
+    for a partner of m shingles: slack >= percent * m.
+    """
     width = min(shuffle_width(docs.sparkSession), 1 << 16)
     block = "slice int, block binary"
 
@@ -217,16 +222,19 @@ def prefixes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         counts = np.diff(np.append(starts, len(node)))
         place = np.arange(len(node)) - np.repeat(starts, counts)
-        # of n - needed + 1 prefix places, the n - counts shingles of a single node take the first
-        kept = place < np.repeat(counts, counts) - needed(n, percent) + 1
+        # the shingles of a single node come first; least overlap of n and m: percent * (n + m) / (100 + percent)
+        n = n.astype(np.int64)
+        place += n - np.repeat(counts, counts)
+        kept = place <= n - needed(n, percent)
+        slack = 100 * n - (100 + percent) * place
         for at in range(0, len(kept), 1 << 18):
             k = kept[at : at + (1 << 18)]
-            cut = [c[at : at + (1 << 18)][k].astype(np.int64) for c in (token, node, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cut], names=["shingle", "node", "n"])
+            cut = [c[at : at + (1 << 18)][k].astype(np.int64) for c in (token, node, n, slack)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cut], names=["shingle", "node", "n", "slack"])
 
     sent = docs.select("doc_id", "text").mapInArrow(out, block).repartitionById(width, F.col("slice"))
     returned = sent.mapInArrow(back, block).repartitionById(width, F.col("slice"))
-    return returned.mapInArrow(chosen, "shingle long, node long, n long")
+    return returned.mapInArrow(chosen, "shingle long, node long, n long, slack long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -277,40 +285,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def pivot_pairs(held: DataFrame, seed: int) -> DataFrame:
-    """(a, b) pairs of each (shingle, node, label) row's node with pivots among the shingle's holders.
+def pivot_pairs(held: DataFrame, seed: int, percent: int) -> DataFrame:
+    """(a, b) pairs of each (shingle, node, n, slack, label) row's node with pivots among the shingle's holders.
 
     Pivots are the holder with the smallest hash, and that among holders of like size; pairs whose
-    sizes rule a link out, or that are connected already, are left out.
+    sizes or places rule a link out, or that are connected already, are left out.
     """
-    by = held.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("h", F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "label"))
+    by = held.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("h", F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "slack", "label"))
     classes = by.groupBy("shingle", "class").agg(F.min("h").alias("own"))
     whole = classes.groupBy("shingle").agg(F.min("own").alias("all"))
     pivots = classes.join(whole, "shingle").select("shingle", "class", F.explode(F.array_distinct(F.array("own", "all"))).alias("pivot"))
     pairs = by.join(pivots, ["shingle", "class"]).where(
         (F.col("pivot.node") != F.col("node")) & (F.col("pivot.label") != F.col("label"))
-        & (F.least("n", "pivot.n") * 4 >= F.greatest("n", "pivot.n") * 3)
+        & (F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent)
+        & (F.col("slack") >= F.col("pivot.n") * percent) & (F.col("pivot.slack") >= F.col("n") * percent)
     )
     return pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
 
 
 def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """(shingle, node, n, label) of the shingles whose holders lie in two groups or more."""
-    named = held.select("shingle", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """(shingle, node, n, slack, label) of the shingles whose holders lie in two groups or more."""
+    named = held.select("shingle", "node", "n", "slack").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return named.join(split.select("shingle"), "shingle", "left_semi").select("shingle", "node", "n", "label")
+    return named.join(split.select("shingle"), "shingle", "left_semi").select("shingle", "node", "n", "slack", "label")
 
 
 def opened(held: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups, by the token-group matrix over unsettled (shingle, node, n, label) rows."""
+    """Links (a, b) between groups, by the token-group matrix over unsettled rows."""
     members = held.select("node", "n", "label").distinct()
     sizes = members.groupBy("label").count()
     chunk = F.pmod(F.xxhash64("node", F.lit("group")), F.ceil(F.col("count") / GROUP).cast("long"))
     members = staged(members.join(sizes, "label").select("node", "n", "label", F.struct("label", chunk.alias("chunk")).alias("group")))
-    spans = members.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = held.select("shingle", "node").join(members.select("node", "group"), "node").select("shingle", "group").distinct().join(spans, "group")
+    # a cell holds what a query must reach: the members' least size, and most slack at this shingle
+    matrix = held.select("shingle", "node", "n", "slack").join(members.select("node", "group"), "node")
+    matrix = matrix.groupBy("shingle", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("slack").alias("most"))
     asked = held.alias("q").join(matrix.alias("m"), "shingle").where(
-        "q.label < m.group.label AND 100 * q.n >= {p} * m.low AND 100 * m.high >= {p} * q.n".format(p=percent)
+        "q.label < m.group.label AND 100 * q.n >= {p} * m.low AND 100 * m.high >= {p} * q.n "
+        "AND q.slack >= {p} * m.low AND m.most >= {p} * q.n".format(p=percent)
     ).select(F.col("q.node").alias("node"), F.col("m.group").alias("group")).distinct()
     # queries of a group meet it in batches of QUERIES or so
     counts = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("parts"))
@@ -359,7 +370,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     stored = staged(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     alone = held.withColumn("label", F.col("node"))
-    pairs = reduce(DataFrame.unionByName, [pivot_pairs(alone, seed) for seed in (1, 2)]).distinct()
+    pairs = reduce(DataFrame.unionByName, [pivot_pairs(alone, seed, percent) for seed in (1, 2)]).distinct()
     links = staged(verified(pairs, stored, percent))
     labels = None
     for step in ("pivots", "matrix"):
@@ -368,7 +379,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         rest = staged(unsettled(held, labels))
         if rest.isEmpty():
             break
-        more = staged(verified(pivot_pairs(rest, 3), stored, percent) if step == "pivots" else opened(rest, stored, percent))
+        more = staged(verified(pivot_pairs(rest, 3, percent), stored, percent) if step == "pivots" else opened(rest, stored, percent))
         if not more.isEmpty():
             links = staged(links.unionByName(more))
             labels = None
