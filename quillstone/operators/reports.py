@@ -32,13 +32,15 @@ def upper_median(values: Column) -> Column:
     return F.get(held, F.floor(F.size(held) / 2).cast("int"))
 
 
-def summary(clauses: DataFrame) -> DataFrame:
-    """Per document: clauses, and how many substantive ones are high, medium, low, and structural ones."""
+def summary_columns() -> list[Column]:
+    """Aggregates: clauses, and how many substantive ones are high, medium, low, and structural ones."""
     plain = ~F.col("structural_role").isin(*STRUCTURAL_ROLES)
     count = lambda level: F.count_if(plain & (F.col("risk.level") == level))
-    return clauses.groupBy("doc_id").agg(
-        F.count("*").alias("total_clauses"), count("high").alias("high"), count("medium").alias("medium"), count("low").alias("low"), F.count_if(~plain).alias("skipped_structural")
-    )
+    return [F.count("*").alias("total_clauses"), count("high").alias("high"), count("medium").alias("medium"), count("low").alias("low"), F.count_if(~plain).alias("skipped_structural")]
+
+
+def summary(clauses: DataFrame) -> DataFrame:
+    return clauses.groupBy("doc_id").agg(*summary_columns())
 
 
 def overall(high: Column, medium: Column) -> Column:

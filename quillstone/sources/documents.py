@@ -47,7 +47,7 @@ def _one_page(text) -> F.Column:
 def text_documents(found: DataFrame) -> DataFrame:
     """Rows of plain text: UTF-8, or Latin-1 where it is not; any line end becomes a newline."""
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    raw = F.when(utf8, F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    raw = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     text = F.regexp_replace(raw, r"\r\n?", "\n")
     row = found.where("format = 'txt' AND error IS NULL").select(
         "source_path", "format", text.alias("full_text"), F.map_from_arrays(F.array(F.lit("encoding_used")), F.array(F.when(utf8, "utf-8").otherwise("latin-1"))).alias("metadata")

@@ -14,7 +14,7 @@ def text_files(spark: SparkSession, path: str, per_batch: int = 100) -> DataFram
     """New text files below `path` as a stream of doc_id (the path) and text."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     found = files.option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.txt").load(path)
-    return found.select(F.col("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return found.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
 
 
 def language_risk(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
