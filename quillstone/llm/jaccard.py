@@ -285,13 +285,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def pivot_pairs(held: DataFrame, seed: int, percent: int) -> DataFrame:
+def pivot_pairs(held: DataFrame, seed: int, percent: int, vary: bool = False) -> DataFrame:
     """(a, b) pairs of each (shingle, node, n, slack, label) row's node with pivots among the shingle's holders.
 
-    Pivots are the holder with the smallest hash, and that among holders of like size; pairs whose
+    Pivots are the holder with the smallest hash, and that among holders of like size. With `vary`
+    the hash depends on the shingle, so that a node meets many pivots of one group. Pairs whose
     sizes or places rule a link out, or that are connected already, are left out.
     """
-    by = held.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("h", F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "slack", "label"))
+    by = held.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("h", F.struct(F.xxhash64("node", F.lit(seed), *["shingle"] * vary).alias("h"), "node", "n", "slack", "label"))
     classes = by.groupBy("shingle", "class").agg(F.min("h").alias("own"))
     whole = classes.groupBy("shingle").agg(F.min("own").alias("all"))
     pivots = classes.join(whole, "shingle").select("shingle", "class", F.explode(F.array_distinct(F.array("own", "all"))).alias("pivot"))
@@ -314,13 +315,15 @@ def opened(held: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between groups, by the token-group matrix over unsettled rows."""
     members = held.select("node", "n", "label").distinct()
     sizes = members.groupBy("label").count()
+    held = held.join(sizes, "label")
     chunk = F.pmod(F.xxhash64("node", F.lit("group")), F.ceil(F.col("count") / GROUP).cast("long"))
-    members = staged(members.join(sizes, "label").select("node", "n", "label", F.struct("label", chunk.alias("chunk")).alias("group")))
+    members = staged(members.join(sizes, "label").select("node", F.struct("count", "label", chunk.alias("chunk")).alias("group")))
+    # members of the smaller component ask, so that few documents meet the parts of a large one;
     # a cell holds what a query must reach: the members' least size, and most slack at this shingle
     matrix = held.select("shingle", "node", "n", "slack").join(members.select("node", "group"), "node")
     matrix = matrix.groupBy("shingle", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("slack").alias("most"))
     asked = held.alias("q").join(matrix.alias("m"), "shingle").where(
-        "q.label < m.group.label AND 100 * q.n >= {p} * m.low AND 100 * m.high >= {p} * q.n "
+        "(q.count < m.group.count OR q.count = m.group.count AND q.label < m.group.label) AND 100 * q.n >= {p} * m.low AND 100 * m.high >= {p} * q.n "
         "AND q.slack >= {p} * m.low AND m.most >= {p} * q.n".format(p=percent)
     ).select(F.col("q.node").alias("node"), F.col("m.group").alias("group")).distinct()
     # queries of a group meet it in batches of QUERIES or so
@@ -373,13 +376,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     pairs = reduce(DataFrame.unionByName, [pivot_pairs(alone, seed, percent) for seed in (1, 2)]).distinct()
     links = staged(verified(pairs, stored, percent))
     labels = None
-    for step in ("pivots", "matrix"):
+    for step in (3, 4, "matrix"):
         if labels is None:
             labels = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
         rest = staged(unsettled(held, labels))
         if rest.isEmpty():
             break
-        more = staged(verified(pivot_pairs(rest, 3, percent), stored, percent) if step == "pivots" else opened(rest, stored, percent))
+        more = staged(verified(pivot_pairs(rest, step, percent, vary=True), stored, percent) if step != "matrix" else opened(rest, stored, percent))
         if not more.isEmpty():
             links = staged(links.unionByName(more))
             labels = None
