@@ -354,6 +354,14 @@ def nearest_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
 
 
+@query()
+def bank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity, deviation and agreement of all vectors with the diverse bank of all labels."""
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    found = vectors.compared(vectors.nearest(rows, vectors.build_bank(rows)))
+    return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
+
+
 @query()
 def exemplar_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = vectors.build_bank(_table(spark, sf_dir, "embeddings"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import classification, cleaning, explanation, scoring, segmentation, vectors
+from quillstone.plans import registry
 from quillstone.settings import DEFAULT
 from quillstone.sources import documents, store
 
@@ -166,6 +167,33 @@ def test_bank_against_a_plain_walk(spark):
     assert sorted((r.label, r.original_index) for r in got) == sorted(want)
 
 
+def test_comparison_is_with_the_bank_of_all_labels(spark, tmp_path):
+    """Two labels have no vec_id below 50; brute force over the whole table's bank."""
+    rng = np.random.default_rng(5)
+    made = rng.normal(size=(90, 8)) + 2 * np.eye(8)[np.repeat([0, 1, 2], 30)]
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    rows = [(i, int(i // 30), v.astype(np.float32).tolist()) for i, v in enumerate(made)]
+    rows = [(i if k == 0 else i + 50, k, v) for i, k, v in rows]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bank = []
+    for label in range(3):
+        own = [(i, np.array(v, np.float64)) for i, k, v in rows if k == label]
+        centre = np.mean([v for _, v in own], axis=0)
+        taken = []
+        for _, v in sorted(own, key=lambda x: (-float(x[1] @ centre), x[0])):
+            if len(taken) < 5 and all(v @ t <= 0.85 for t in taken):
+                taken.append(v)
+        bank += [(label, v) for v in taken]
+    got = {r.vec_id: r for r in registry.QUERIES["bank_comparison"](spark, str(tmp_path)).collect()}
+    assert len(got) == 90
+    for i, k, v in rows:
+        near = sorted(((float(np.array(v, np.float64) @ b), label) for label, b in bank), key=lambda x: -x[0])
+        assert abs(got[i].max_similarity - near[0][0]) < 2e-5 and abs(got[i].deviation - 1 + near[0][0]) < 2e-5
+        assert abs(got[i].mean_top3 - sum(s for s, _ in near[:3]) / 3) < 2e-5
+        assert got[i].agrees == (near[0][1] == k)
+    assert any(r.agrees for i, r in got.items() if i >= 80)
+
+
 def test_replies_and_retries(spark):
     texts = ["EXPLANATION: a\nSUGGESTED ACTION: b", " only text ", "SUGGESTED ACTION: b EXPLANATION: a"]
     got = values(spark, texts, explanation.parsed)
