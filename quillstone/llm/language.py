@@ -20,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import slices
 from .toxicity import held_out
 
-#: Documents of each language in the sample, about; words of one of them at most; languages at most.
-SAMPLE, SAMPLE_WORDS, LANGUAGES = 250, 1_500, 64
-#: Feature slots; positions of a chain at most; words that a worker keeps.
+#: Documents of each language in the sample; words of one of them at most.
+SAMPLE, SAMPLE_WORDS = 250, 1_500
+#: Feature slots; positions of a chain at most; words that a worker keeps, of up to 16 languages.
 SLOTS, CHAIN, CACHE = 1 << 17, 256, 500_000
+#: Positions times states that advance together, in scoring and in training.
+CELLS, TRAIN_CELLS = 1 << 22, 1 << 19
 _WORD = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 
@@ -84,6 +87,17 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, transitions: n
     return marginals, moves, float(np.log(scale).sum() + top.sum() + (n - len(lengths)) * transitions.max())
 
 
+def blocks(lengths: np.ndarray, states: int, cells: int) -> list[tuple[int, int, int, int]]:
+    """Runs of chains (first, after the last, and the same of positions) of about `cells` positions times states."""
+    ends = np.cumsum(lengths)
+    out, first, at = [], 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, at + cells // states, side="right")))
+        out.append((first, last, at, int(ends[last - 1])))
+        first, at = last, int(ends[last - 1])
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
@@ -120,7 +134,7 @@ class Lexicon:
         return self.held
 
     def trim(self) -> None:
-        if len(self.rows) > CACHE:
+        if len(self.rows) * max(16, len(self.model.languages)) > CACHE * 16:
             self.clear()
 
 
@@ -135,11 +149,12 @@ def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[li
         letters.append(bool(text) and any(map(str.isalpha, text)))
     share = np.zeros((len(texts), len(model.languages)))
     if numbers and model.languages:
-        lengths = np.array(lengths)
-        marginals, _, _ = forward_backward(lexicon.table()[np.array(numbers)], lengths, model.transitions)
-        of = np.repeat(np.array(owner), lengths)
-        for k in range(share.shape[1]):
-            share[:, k] = np.bincount(of, marginals[:, k], len(texts))
+        lengths, numbers, owner, potentials = np.array(lengths), np.array(numbers), np.array(owner), lexicon.table()
+        for first, last, a, b in blocks(lengths, len(model.languages), CELLS):
+            marginals, _, _ = forward_backward(potentials[numbers[a:b]], lengths[first:last], model.transitions)
+            of = np.repeat(owner[first:last], lengths[first:last])
+            for k in range(share.shape[1]):
+                share[:, k] += np.bincount(of, marginals[:, k], len(texts))
     total = share.sum(axis=1)
     best = share.argmax(axis=1) if model.languages else np.zeros(len(texts), int)
     known = [has and n > 0 for has, n in zip(letters, total, strict=True)]
@@ -157,43 +172,58 @@ def train(lines: list[tuple[str, list[str]]], languages: list[str], rounds: int
     at = np.array([number.setdefault(w, len(number)) for _, words in lines for w in words])
     lengths = np.array([len(words) for _, words in lines])
     chain_y = np.array([languages.index(lang) for lang, _ in lines])
-    y = np.repeat(chain_y, lengths)
     lists = [features(w) for w in number]
-    slots = np.array([s for x in lists for s in x])
-    begin = np.cumsum([0, *map(len, lists)])[:-1]
-    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    states, n = len(languages), len(y)
-    pooled = lambda weights: np.stack([np.bincount(slots, weights[of, k], SLOTS) for k in range(states)], axis=1)
-    by_word = lambda values: np.stack([np.bincount(at, values[:, k], len(lists)) for k in range(states)], axis=1)
-    seen = by_word(np.eye(states)[y])
+    slots = np.array([s for x in lists for s in x], np.int32)
+    sizes = np.array([*map(len, lists)])
+    begin = np.cumsum(sizes) - sizes
+    states, n = len(languages), len(at)
     seen_moves = np.diag(np.bincount(chain_y, lengths - 1, states))
-    weights, memory, memory_moves = np.zeros((SLOTS, states)), np.zeros((SLOTS, states)), np.zeros((states, states))
+    weights, memory, g = np.zeros((SLOTS, states)), np.zeros((SLOTS, states)), np.zeros((SLOTS, states))
+    memory_moves = np.zeros((states, states))
+    parts = blocks(lengths, states, TRAIN_CELLS)
     for _ in range(rounds):  # each weight's step shrinks with the squares of its past gradients
-        potentials = np.add.reduceat(weights[slots], begin, axis=0)
-        marginals, moves, _ = forward_backward(potentials[at], lengths, model.transitions)
-        g = pooled(seen - by_word(marginals)) / n - ridge * weights
-        g_moves = (seen_moves - moves) / n - ridge * model.transitions
-        memory += g * g
+        g[:], g_moves = 0, np.zeros((states, states))
+        for first, last, a, b in parts:  # the gradient is a sum over chains
+            words, place = np.unique(at[a:b], return_inverse=True)
+            count = sizes[words]
+            start = np.cumsum(count) - count
+            used, of_slot = np.unique(slots[np.repeat(begin[words] - start, count) + np.arange(count.sum())], return_inverse=True)
+            potentials = np.add.reduceat(weights[used][of_slot], start, axis=0)
+            marginals, moves, _ = forward_backward(potentials[place], lengths[first:last], model.transitions)
+            y = np.repeat(chain_y[first:last], lengths[first:last])
+            of = np.repeat(np.arange(len(words)), count)
+            for k in range(states):
+                surplus = np.bincount(place, (y == k) - marginals[:, k], len(words))
+                g[used, k] += np.bincount(of_slot, surplus[of], len(used))
+            g_moves -= moves
+        g_moves = (seen_moves + g_moves) / n - ridge * model.transitions
         memory_moves += g_moves * g_moves
-        weights += 0.25 * g / np.sqrt(memory + 1e-12)
+        for i in range(0, SLOTS, 1 << 12):  # in parts, which need no large arrays beside
+            part = slice(i, i + (1 << 12))
+            d = g[part] / n - ridge * weights[part]
+            memory[part] += d * d
+            weights[part] += 0.25 * d / np.sqrt(memory[part] + 1e-12)
         model.transitions = model.transitions + 0.25 * g_moves / np.sqrt(memory_moves + 1e-12)
     model.weights = weights.astype(np.float32)
     return model
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on documents with a language that are not held out, about `sample` of each language.
+    """Fit on documents with a language that are not held out, `sample` of each language.
 
-    Languages are counted over all rows; of each, the documents whose ids hash below a bound are
-    taken, and of each document whole lines in the order of their hashes up to SAMPLE_WORDS words.
-    The LANGUAGES most frequent languages are learned.
+    Every language is learned. Of each, the ids with the `sample` smallest hashes are taken (one
+    document for each id), and of each document whole lines in the order of their hashes up to
+    SAMPLE_WORDS words, so what comes to the driver is bounded for each language by itself.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.select("lang", F.xxhash64("doc_id", F.lit("sample")).alias("h"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    taken = usable.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample)
+    bounds = taken.groupBy("lang").agg(F.max("h").alias("most")).collect()
+    if not bounds:
         return Model()
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])[F.col("lang")]
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    bound = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["most"]) for r in bounds], "lang string, most long"))
+    chosen = usable.join(bound, "lang").where(F.col("h") <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in slices(batches):
@@ -207,9 +237,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                         words.append(" ".join(chain))
             yield pa.RecordBatch.from_pydict({"lang": langs, "words": words}, schema=pa.schema([("lang", pa.string()), ("words", pa.string())]))
 
-    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, words string").limit(len(counts) * sample * 200).collect()
+    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, words string").collect()
     lines = sorted((r["lang"], r["words"].split(" ")) for r in rows)
-    return train(lines, sorted(r["lang"] for r in counts))
+    return train(lines, sorted(r["lang"] for r in bounds))
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:

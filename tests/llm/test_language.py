@@ -82,3 +82,56 @@ def test_nothing_to_learn(spark, docs):
     for some, want in ((docs.limit(0), {"und"}), (docs.where("lang = 'fr'").limit(30), {"fr"})):
         got = {r.lang_pred for r in language.identify(docs.limit(20), language.fit(some)).collect()}
         assert got == want
+
+
+def invented(rng, lang, words):
+    """Words of a made-up language with syllables of its own."""
+    own = np.random.default_rng(1000 + lang)
+    syllables = ["".join(own.choice(list("bcdfghklmnprstvz"), 1)) + "".join(own.choice(list("aeiouyäöü"), 2)) for _ in range(12)]
+    return ["".join(rng.choice(syllables, rng.integers(2, 4))) for _ in range(words)]
+
+
+def test_every_language_is_learned(spark):
+    """Languages beyond the most frequent 64 are learned as well."""
+    rng, rows = np.random.default_rng(7), []
+    for lang in range(70):
+        for _ in range(12 if lang < 64 else 8):
+            rows.append((len(rows), f"l{lang:02}", " ".join(invented(rng, lang, 60))))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fit(df)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    fresh = spark.createDataFrame([(k, " ".join(invented(rng, k, 60))) for k in range(70)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(fresh, model).collect()}
+    assert all(got[k] == f"l{k:02}" for k in range(64, 70))
+    assert sum(got[k] == f"l{k:02}" for k in range(70)) > 66
+
+
+def test_short_lines_of_one_language_leave_room_for_others(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"l{i // 20}", "\n".join(invented(rng, i // 20, 1500))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartitionByRange(2, "lang")
+    model = language.fit(df, sample=1)
+    fresh = spark.createDataFrame([(k, " ".join(invented(rng, k, 60))) for k in range(2)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in language.identify(fresh, model).collect()) == [(0, "l0"), (1, "l1")]
+
+
+def test_copies_of_one_id_take_one_place(spark, docs):
+    """A row that is repeated many times neither fills the sample nor changes the model."""
+    some = docs.where("n_chars < 2000").select("doc_id", "lang", "text").limit(60)
+    one = some.where(~held_out(F.col("doc_id"))).orderBy("doc_id").limit(1)
+    more = some.unionByName(one.crossJoin(spark.range(500)).drop("id"))
+    a, b = language.fit(some, sample=10), language.fit(more, sample=10)
+    assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
+
+
+def test_blocks_of_chains_change_nothing(monkeypatch):
+    rng = np.random.default_rng(9)
+    lines = [(f"l{k}", invented(rng, k, int(n))) for k in range(3) for n in rng.integers(1, 30, 20)]
+    whole = language.train(lines, ["l0", "l1", "l2"])
+    texts = [" ".join(w) for _, w in lines]
+    want = language.predict(texts, whole, language.Lexicon(whole))
+    monkeypatch.setattr(language, "TRAIN_CELLS", 60)
+    monkeypatch.setattr(language, "CELLS", 60)
+    parts = language.train(lines, ["l0", "l1", "l2"])
+    got = language.predict(texts, parts, language.Lexicon(parts))
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-4)
