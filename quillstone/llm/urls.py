@@ -176,10 +176,13 @@ def evaluate(tree, x: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Fit on (url, block 0/1) rows: at most `sample`, those whose URLs hash lowest, come to the driver."""
+    """Fit on different (url, block 0/1) rows: at most `sample`, those whose URLs hash lowest, come to the driver.
+
+    Repeated rows count once, so that one frequent URL cannot fill the sample.
+    """
     host, path = host_and_path(F.col("url"))
     numbers, parts = lexical(F.col("url"), host, path), suffixes(host, path)
-    chosen = labelled.orderBy(F.xxhash64("url"), "url", "block").limit(sample)
+    chosen = labelled.select("url", "block").distinct().orderBy(F.xxhash64("url"), "url", "block").limit(sample)
     rows = chosen.select("block", *[c.alias(n) for n, c in numbers.items()], *[c.alias(n) for n, c in parts.items()]).toPandas()
     y = rows["block"].to_numpy(float)
     prior = (y.sum() + 1) / (len(y) + 2)

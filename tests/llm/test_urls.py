@@ -71,6 +71,14 @@ def test_held_out_accuracy(spark, pages):
     assert right > 0.9
 
 
+def test_copies_of_one_url_do_not_fill_the_sample(spark, pages):
+    labelled = pages.where("url is not null").select("url", (F.xxhash64("url") % 3 == 0).cast("int").alias("block"))
+    first = labelled.orderBy(F.xxhash64("url"), "url").limit(1)
+    more = labelled.unionByName(first.crossJoin(spark.range(400)).drop("id"))
+    a, b = urls.fit(labelled, sample=300), urls.fit(more, sample=300)
+    assert b.trees and (a.base, a.trees, a.rates) == (b.base, b.trees, b.rates)
+
+
 def test_empty_table_and_no_labels(spark, pages):
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0
     rows = urls.judge(pages.where("page_id = 3"), URL_RULES).collect()
