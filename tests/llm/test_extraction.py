@@ -63,6 +63,13 @@ def test_broken_markup_is_read(model, source):
     assert isinstance(text, str)
 
 
+@pytest.mark.parametrize("tag", ['<img alt="5" tall">', "<b title=it's>", '<b x=a="y>', '<b "x>', '<b ="x>', "<b x = 'a>b' y>", '<b x="a>b"y=\'c>d\'>', "</b y's>"])
+def test_text_behind_a_stray_quote_survives(tag):
+    """A tag ends at its first > that no quoted value holds."""
+    nodes = dom.parse(f'<p>one {tag}two</p><p class="c">three "3\' four</p>')
+    assert " ".join(piece for n in nodes for _, piece in n.text).split() == ["one", "two", "three", "\"3'", "four"]
+
+
 def test_table(spark):
     line = "One line of text, whole."
     page = f"<html><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>{line}</h1></article></body></html>"
