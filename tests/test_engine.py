@@ -251,3 +251,10 @@ def test_store(spark, tmp_path):
     assert s.delete_document("d1", one) and s.count_documents(one) == 2
     assert s.document("d0", one).select(store.from_json(F.col("analysis_json"), "a int").alias("x")).first().x.a == 1
     assert s.delete_user(one) and s.count_documents(one) == 0 and s.count_documents(two) == 1 and s.users().count() == 1
+
+
+def test_the_whole_analysis_has_the_classifier_of_the_defaults(spark):
+    model, _ = registry._model_and_bank(spark, "/root/testdata/sf0.001")
+    stages = model.pipeline.stages
+    assert [s.getNumFeatures() for s in stages if hasattr(s, "getNumFeatures")] == [1 << 14]
+    assert [s.getMaxIter() for s in stages if hasattr(s, "getMaxIter")] == [40]
