@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that two fifths of their words bear, go."""
+    """Documents without letters, without a language that two fifths of their words bear, or of unfamiliar words go."""
     return language.in_known_language(docs, language.fit(docs))
 
 

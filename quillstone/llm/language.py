@@ -31,6 +31,8 @@ SAMPLE, SAMPLE_WORDS = 250, 1_500
 SLOTS, CHAIN, CACHE = 1 << 17, 256, 500_000
 #: Positions times states that advance together, in scoring and in training.
 CELLS, TRAIN_CELLS = 1 << 22, 1 << 19
+#: Share of a word's features that training must have met for the word to be familiar.
+MET = 0.85
 _WORD = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 
@@ -103,6 +105,8 @@ class Model:
     languages: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((SLOTS, 0), np.float32))
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: Whether training met a feature of the slot, in any language.
+    met: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, bool))
 
 
 class Lexicon:
@@ -115,6 +119,7 @@ class Lexicon:
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.met: list[bool] = []
         self.held = np.zeros((0, len(self.model.languages)))
 
     def numbers(self, words: list[str]) -> list[int]:
@@ -124,7 +129,9 @@ class Lexicon:
             for w in words:
                 if w not in self.row:
                     self.row[w] = len(self.rows)
-                    self.rows.append(self.model.weights[features(w)].sum(axis=0))
+                    slots = features(w)
+                    self.rows.append(self.model.weights[slots].sum(axis=0))
+                    self.met.append(bool(self.model.met[slots].mean() >= MET))
             return [*map(self.row.__getitem__, words)]
 
     def table(self) -> np.ndarray:
@@ -162,10 +169,21 @@ def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[li
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known, strict=True)], scores
 
 
+def familiar(texts: list[str | None], lexicon: Lexicon) -> list[float]:
+    """The share of each text's words that look like words of any learned language; 0 without words."""
+    out = []
+    for text in texts:
+        numbers = [i for chain in (chains(text) if text else ()) for i in lexicon.numbers(chain)]
+        out.append(sum(map(lexicon.met.__getitem__, numbers)) / len(numbers) if numbers else 0.0)
+    return out
+
+
 def train(lines: list[tuple[str, list[str]]], languages: list[str], rounds: int = 25, ridge: float = 1e-3) -> Model:
     """Fit on (language, words) chains whose positions all bear the chain's language."""
     model = Model(languages, np.zeros((SLOTS, len(languages)), np.float32), np.zeros((len(languages),) * 2))
     lines = [(lang, words) for lang, words in lines if words]
+    for w in {w for _, words in lines for w in words}:
+        model.met[features(w)] = True
     if not lines or len(languages) < 2:
         return model
     number: dict[str, int] = {}
@@ -242,18 +260,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return train(lines, sorted(r["lang"] for r in bounds))
 
 
-def in_known_language(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.4, known: float = 0.6) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text has a language with a share of at least `least`.
 
-    Texts without letters go, and those of which no language has that share of the words.
+    Texts without letters go, and those of which no language has that share of the words. Shares
+    are among learned languages only, so texts of which less than `known` of the words look like
+    words of any learned language (other languages, random letters) go as well.
     """
 
     def run(batches):
         lexicon = Lexicon(model)
         for b in slices(batches):
             lexicon.trim()
-            langs, scores = predict(b.column(b.schema.get_field_index("text")).to_pylist(), model, lexicon)
-            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            langs, scores = predict(texts, model, lexicon)
+            looks = familiar(texts, lexicon)
+            yield b.filter(pa.array([lang != UNKNOWN and s >= least and f >= known for lang, s, f in zip(langs, scores, looks, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -135,3 +135,16 @@ def test_blocks_of_chains_change_nothing(monkeypatch):
     parts = language.train(lines, ["l0", "l1", "l2"])
     got = language.predict(texts, parts, language.Lexicon(parts))
     assert np.allclose(whole.weights, parts.weights, atol=1e-4) and got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-4)
+
+
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark, docs, model):
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    greek = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα"
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах"
+    rng = np.random.default_rng(10)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(300))
+    clean = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 100)).select("doc_id", "text")
+    df = clean.unionByName(spark.createDataFrame([(-1, polish), (-2, greek), (-3, noise), (-4, russian), (-5, "日本語 " * 30), (-6, "wkwkw qkwq wwkq " * 40)], "doc_id long, text string"))
+    kept = {r.doc_id for r in language.in_known_language(df, model).collect()}
+    assert not kept & {-1, -2, -3, -4, -5, -6}
+    assert kept == {r.doc_id for r in clean.collect()}
