@@ -20,7 +20,12 @@ large moves as compressed column blocks, one for each pair of tasks, not as rows
 
 No pair with the asked similarity is missed: steps 3 and 4 look at every two holders of every
 prefix shingle, or know that they are already connected. Nodes are told apart by 64-bit hashes of
-their sets, shingles by 64-bit hashes; equal hashes of different ones are taken as equal.
+their sets, shingles by 64-bit hashes; equal hashes of different ones are taken as equal: among n
+sets, n * n / 2**65 such pairs are to be expected (0.03 for 10**9, 3 for 10**10). Steps 1 to 3
+look for candidates by the upper 48 bits of a shingle's hash, which can only add candidates.
+
+One pass over the texts gives the sets' sizes and the shingles of step 1; the texts of the few
+nodes that are left after step 2 are read once more.
 """
 
 from __future__ import annotations
@@ -32,11 +37,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .shared import shuffle_width, slices, staged
+from .shared import dealt_join, shuffle_width, slices, staged
 
 #: Shingles that a task gathers before it deals them out; nodes in a group of the matrix; queries met at once.
 BATCH, GROUP, QUERIES = 2_000_000, 64, 512
@@ -101,34 +107,20 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype)
 
 
-def _sets(batches, words: int):
-    """(column of the first field, texts' shingle sets) of Arrow batches."""
-    hashes = _Hashes()
-    for b in slices(batches):
-        yield b.column(0), [shingles(t, hashes, words) if t else np.zeros(0, np.uint64) for t in b.column(1).to_pylist()]
-
-
-def nodes(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Per document: doc_id, node (hash of its set; null for an empty one) and n (its size)."""
-
-    def run(batches):
-        for ids, sets in _sets(batches, words):
-            hashed = pa.array([np.uint64(node_id(s)).astype(np.int64) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, hashed, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long")
-
-
 def sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(node, shingles) of every document with words; shingles are packed 64-bit numbers."""
+    """(node, shingles) of every text with words; shingles are packed 64-bit numbers."""
 
     def run(batches):
-        for _, found in _sets(batches, words):
-            kept = {node_id(s): s for s in found if len(s)}
+        hashes = _Hashes()
+        for b in slices(batches):
+            kept = {}
+            for text in dict.fromkeys(b.column(0).to_pylist()):  # copies once
+                if text and len(s := shingles(text, hashes, words)):
+                    kept[node_id(s)] = s
             ids = np.array([*kept], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in kept.values()], pa.binary())], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -136,105 +128,148 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n.astype(np.int64) * percent // 100)
 
 
-def _gathered(batches) -> list[np.ndarray]:
-    """The columns of all blocks of a task, joined."""
-    blocks = [unsqueeze(x.as_buffer()) for b in batches for x in b.column(1)]
-    return [np.concatenate(c) for c in zip(*blocks, strict=True)] if blocks else []
+#: What `surveyed` returns; kind is DOCUMENT or PREFIX.
+SURVEY = "kind int, doc_id long, h long, shingle long, node long, n long, slack long"
+DOCUMENT, PREFIX = 0, 1
+
 
+def surveyed(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-def prefixes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """(shingle, node, n, slack) rows: the prefix shingles that two nodes or more hold.
+    DOCUMENT: doc_id, h (hash of the text), node (hash of its set; null for an empty one), n (its
+    size). PREFIX: (shingle, node, n, slack), the prefix shingles that two nodes or more hold.
 
     A pair with the asked similarity shares a shingle among the first `n - overlap + 1` of both,
     where the overlap is that of these two sizes. `slack`, from n and the shingle's place, says so
     for a partner of m shingles: slack >= percent * m.
+
+    Shingles are sent as the upper 48 bits of their hashes. Two that meet there make a set look
+    smaller by one: `lost` counts them, and places are lowered by it, so that no link goes.
     """
     width = min(shuffle_width(docs.sparkSession), 1 << 16)
-    block = "slice int, block binary"
+    block = "kind int, slice int, block binary"
+
+    def packed(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
+            names=["kind", "slice", "block"],
+        )
 
-    def dealt(owner: np.ndarray, columns, made):
+    def dealt(owner: np.ndarray, columns, made) -> pa.RecordBatch:
         """Rows (slice, block) for columns sorted by owner; `made` packs the columns of one slice."""
         bounds = np.searchsorted(owner, np.arange(width + 1))
-        rows = [(s, made(*(c[lo:hi] for c in columns))) for s, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if lo < hi]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "block"])
+        return packed(PREFIX, [(s, made(*(c[lo:hi] for c in columns))) for s, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if lo < hi])
 
     def out(batches):
+        hashes = _Hashes()
         held: dict[int, np.ndarray] = {}
-        size = 0
+        seen: list[tuple] = []
+        size = made_blocks = 0
 
-        def flush():
+        def shared():
             ids, sizes = np.array([*held], np.uint64), np.array([len(s) for s in held.values()], np.uint32)
             tokens = np.concatenate([*held.values()]) >> np.uint64(16)
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+            same = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
+            lost = np.bincount(owner[1:][same], minlength=len(ids)).astype(np.uint32)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
 
             def made(t, o):
                 present, local = np.unique(o, return_inverse=True)
-                return squeeze(_deltas(t), local.astype(np.uint16 if len(present) < 1 << 16 else np.uint32), ids[present], sizes[present])
+                return squeeze(_deltas(t), local.astype(np.uint16 if len(present) < 1 << 16 else np.uint32), ids[present], sizes[present], lost[present])
 
             return dealt((tokens >> np.uint64(32)) * np.uint64(width) >> np.uint64(16), (tokens, owner), made)
 
-        for _, found in _sets(batches, words):
-            for s in found:
-                if len(s) and (k := node_id(s)) not in held:
+        def documents():
+            nonlocal made_blocks
+            made_blocks += 1
+            ids, h, nodes, n = zip(*seen, strict=True)
+            known = np.array([i is not None for i in ids], np.uint8)
+            columns = np.array([i or 0 for i in ids], np.int64), known, np.array(h, np.int64), np.array(nodes, np.uint64), np.array(n, np.uint32)
+            return packed(DOCUMENT, [((TaskContext.get().partitionId() + made_blocks) % width, squeeze(*columns))])
+
+        for b in slices(batches):
+            for doc_id, text, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(text, hashes, words) if text else np.zeros(0, np.uint64)
+                k = node_id(s) if len(s) else 0
+                seen.append((doc_id, h, k, len(s)))
+                if len(s) and k not in held:
                     held[k] = s
                     size += len(s)
-            if size >= BATCH:
-                yield flush()
-                held, size = {}, 0
+            if size >= BATCH or len(seen) >= BATCH // 20:
+                if held:
+                    yield shared()
+                yield documents()
+                held, seen, size = {}, [], 0
         if held:
-            yield flush()
+            yield shared()
+        if seen:
+            yield documents()
 
-    def back(batches):
-        tokens, ids, sizes = [], [], []
+    def opened_blocks(batches, blocks: list[list[np.ndarray]]):
+        """Document blocks as they come; the columns of others go to `blocks`."""
         for b in batches:
-            for x in b.column(1):
-                t, local, present, n = unsqueeze(x.as_buffer())
-                tokens.append(_sums(t))
-                ids.append(present[local])
-                sizes.append(n[local])
-        if not tokens:
+            for kind, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == DOCUMENT:
+                    yield s, x
+                else:
+                    blocks.append(unsqueeze(x.as_buffer()))
+
+    def back(batches):
+        blocks: list[list[np.ndarray]] = []
+        for s, x in opened_blocks(batches, blocks):
+            yield packed(DOCUMENT, [(s, x.as_py())])
+        if not blocks:
             return
-        token, node, n = map(np.concatenate, (tokens, ids, sizes))
-        del tokens, ids, sizes
+        token = np.concatenate([_sums(t) for t, *_ in blocks])
+        node, n, lost = (np.concatenate([x[i][x[1]] for x in blocks]) for i in (2, 3, 4))
+        blocks.clear()
         order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
+        token, node, n, lost = token[order], node[order], n[order], lost[order]
         first = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # a node once
-        token, node, n = token[first], node[first], n[first]
+        token, node, n, lost = token[first], node[first], n[first], lost[first]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         holders = np.diff(np.append(starts, len(token)))
         each = np.repeat(holders, holders).astype(np.uint32)
         shared = each > 1
-        token, node, n, each = token[shared], node[shared], n[shared], each[shared]
-        order = np.argsort(node, kind="stable")
-        token, node, n, each = token[order], node[order], n[order], each[order]
-        made = lambda t, o, n, e: squeeze(t, o, n, e)
-        yield dealt((node >> np.uint64(48)) * np.uint64(width) >> np.uint64(16), (token, node, n, each), made)
+        columns = [c[shared] for c in (token, node, n, lost, each)]
+        order = np.argsort(columns[1], kind="stable")
+        columns = [c[order] for c in columns]
+        yield dealt((columns[1] >> np.uint64(48)) * np.uint64(width) >> np.uint64(16), columns, squeeze)
+
+    def rows(kind: int, **columns) -> pa.RecordBatch:
+        size = len(columns["node"])
+        names = [f.split()[0] for f in SURVEY.split(", ")]
+        filled = [pa.array([kind] * size, pa.int32()) if c == "kind" else columns[c] if c in columns else pa.nulls(size, pa.int64()) for c in names]
+        return pa.RecordBatch.from_arrays(filled, names=names)
 
     def chosen(batches):
-        columns = _gathered(batches)
-        if not columns:
+        blocks: list[list[np.ndarray]] = []
+        for _, x in opened_blocks(batches, blocks):
+            ids, known, h, node, n = unsqueeze(x.as_buffer())
+            yield rows(DOCUMENT, doc_id=pa.array(ids, mask=known == 0), h=pa.array(h), node=pa.array(node.astype(np.int64), mask=n == 0), n=pa.array(n.astype(np.int64)))
+        if not blocks:
             return
-        token, node, n, holders = columns
+        token, node, n, lost, holders = (np.concatenate(c) for c in zip(*blocks, strict=True))
+        blocks.clear()
         order = np.lexsort((token, holders, node))
-        token, node, n = token[order], node[order], n[order]
+        token, node, n, lost = token[order], node[order], n[order].astype(np.int64), lost[order]
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         counts = np.diff(np.append(starts, len(node)))
         place = np.arange(len(node)) - np.repeat(starts, counts)
         # the shingles of a single node come first; least overlap of n and m: percent * (n + m) / (100 + percent)
-        n = n.astype(np.int64)
-        place += n - np.repeat(counts, counts)
+        place += n - lost - np.repeat(counts, counts)
         kept = place <= n - needed(n, percent)
         slack = 100 * n - (100 + percent) * place
         for at in range(0, len(kept), 1 << 18):
             k = kept[at : at + (1 << 18)]
-            cut = [c[at : at + (1 << 18)][k].astype(np.int64) for c in (token, node, n, slack)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cut], names=["shingle", "node", "n", "slack"])
+            cut = [pa.array(c[at : at + (1 << 18)][k].astype(np.int64)) for c in (token, node, n, slack)]
+            yield rows(PREFIX, **dict(zip(("shingle", "node", "n", "slack"), cut, strict=True)))
 
-    sent = docs.select("doc_id", "text").mapInArrow(out, block).repartitionById(width, F.col("slice"))
+    sent = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(out, block).repartitionById(width, F.col("slice"))
     returned = sent.mapInArrow(back, block).repartitionById(width, F.col("slice"))
-    return returned.mapInArrow(chosen, "shingle long, node long, n long, slack long")
+    return returned.mapInArrow(chosen, SURVEY)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -250,7 +285,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) pairs whose sets are similar."""
+    """Those of the staged (a, b) pairs whose sets are similar."""
 
     def run(batches):
         for batch in batches:
@@ -260,7 +295,9 @@ def verified(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
 
     one = stored.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     two = stored.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    halves = dealt_join(pairs, one, "a", F.col("b"))
+    # the same rows as pairs, so their frequent keys are found there
+    return dealt_join(halves, two, "b", F.col("a"), counted=pairs).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,20 +306,23 @@ def components(links: DataFrame) -> DataFrame:
     Each round a label joins the smallest of its neighbours and links between joined labels go.
     Labels are hashes, so chains of ever smaller neighbours are short and few rounds are needed.
     """
-    edges, labels = links, None
+    edges, steps = links, []
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("parent")))
-        if labels is None:
-            labels = parents.select(F.col("a").alias("node"), F.col("parent").alias("label"))
-        else:
-            moved = labels.join(parents.withColumnRenamed("a", "label"), "label", "left")
-            labels = staged(moved.select("node", F.coalesce("parent", "label").alias("label")))
+        steps.append(parents)
         left = parents.select("a", F.col("parent").alias("x"))
         right = parents.select(F.col("a").alias("b"), F.col("parent").alias("y"))
-        edges = staged(edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        ends = dealt_join(dealt_join(edges, left, "a", F.col("b")), right, "b", F.col("a"), counted=edges)
+        edges = staged(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
-            return labels
+            break
+    # later rounds move fewer labels, so theirs are put together first
+    while len(steps) > 1:
+        last, before = steps.pop(), steps.pop()
+        moved = dealt_join(before, last.select(F.col("a").alias("parent"), F.col("parent").alias("label")), "parent", F.col("a"), "left")
+        steps.append(moved.select("a", F.coalesce("label", "parent").alias("parent")))
+    return staged(steps[0].select(F.col("a").alias("node"), F.col("parent").alias("label")))
 
 
 def pivot_pairs(held: DataFrame, seed: int, percent: int, vary: bool = False) -> DataFrame:
@@ -296,7 +336,7 @@ def pivot_pairs(held: DataFrame, seed: int, percent: int, vary: bool = False) ->
     classes = by.groupBy("shingle", "class").agg(F.min("h").alias("own"))
     whole = classes.groupBy("shingle").agg(F.min("own").alias("all"))
     pivots = classes.join(whole, "shingle").select("shingle", "class", F.explode(F.array_distinct(F.array("own", "all"))).alias("pivot"))
-    pairs = by.join(pivots, ["shingle", "class"]).where(
+    pairs = dealt_join(by, pivots, ["shingle", "class"], F.col("node")).where(
         (F.col("pivot.node") != F.col("node")) & (F.col("pivot.label") != F.col("label"))
         & (F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent)
         & (F.col("slack") >= F.col("pivot.n") * percent) & (F.col("pivot.slack") >= F.col("n") * percent)
@@ -308,27 +348,28 @@ def unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:
     """(shingle, node, n, slack, label) of the shingles whose holders lie in two groups or more."""
     named = held.select("shingle", "node", "n", "slack").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return named.join(split.select("shingle"), "shingle", "left_semi").select("shingle", "node", "n", "slack", "label")
+    return dealt_join(named, split.select("shingle"), "shingle", F.col("node"), "left_semi", counted=held).select("shingle", "node", "n", "slack", "label")
 
 
-def opened(held: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups, by the token-group matrix over unsettled rows."""
-    members = held.select("node", "n", "label").distinct()
-    sizes = members.groupBy("label").count()
-    held = held.join(sizes, "label")
-    chunk = F.pmod(F.xxhash64("node", F.lit("group")), F.ceil(F.col("count") / GROUP).cast("long"))
-    members = staged(members.join(sizes, "label").select("node", F.struct("count", "label", chunk.alias("chunk")).alias("group")))
+def opened(rest: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups, by the token-group matrix over staged unsettled rows."""
+    members = staged(rest.select("node", "n", "label").distinct())
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
+    held = dealt_join(rest, sizes, "label", F.col("node"))
+    chunk = F.pmod(F.xxhash64("node", F.lit("group")), F.ceil(F.col("size") / GROUP).cast("long"))
+    members = staged(dealt_join(members, sizes, "label", F.col("node")).select("node", F.struct("size", "label", chunk.alias("chunk")).alias("group")))
     # members of the smaller component ask, so that few documents meet the parts of a large one;
     # a cell holds what a query must reach: the members' least size, and most slack at this shingle
-    matrix = held.select("shingle", "node", "n", "slack").join(members.select("node", "group"), "node")
+    matrix = held.select("shingle", "node", "n", "slack").join(members, "node")
     matrix = matrix.groupBy("shingle", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("slack").alias("most"))
-    asked = held.alias("q").join(matrix.alias("m"), "shingle").where(
-        "(q.count < m.group.count OR q.count = m.group.count AND q.label < m.group.label) AND 100 * q.n >= {p} * m.low AND 100 * m.high >= {p} * q.n "
-        "AND q.slack >= {p} * m.low AND m.most >= {p} * q.n".format(p=percent)
-    ).select(F.col("q.node").alias("node"), F.col("m.group").alias("group")).distinct()
+    asked = dealt_join(held, matrix, "shingle", F.col("node"), counted=rest).where(
+        "(size < group.size OR size = group.size AND label < group.label) AND 100 * n >= {p} * low AND 100 * high >= {p} * n "
+        "AND slack >= {p} * low AND most >= {p} * n".format(p=percent)
+    )
+    asked = staged(asked.select("node", "group").distinct())
     # queries of a group meet it in batches of QUERIES or so
     counts = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("parts"))
-    asked = staged(asked.join(counts, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))))
+    asked = staged(dealt_join(asked, counts, "group", F.col("node")).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))))
     parts = asked.select("group", "part").distinct()
     queries = asked.select("node", "group", "part").join(stored, "node")
     groups = parts.join(members.select("node", "group"), "group").join(stored, "node").select(
@@ -363,35 +404,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     empty table gives no rows; other columns are not read. The spread of memory is bounded by
     blocks and groups, not by how often a shingle or a document is repeated.
     """
-    own = staged(nodes(docs, words))
-    held = staged(prefixes(docs, words, percent))
+    survey = staged(surveyed(docs, words, percent), "kind")
+    own = survey.where(F.col("kind") == DOCUMENT).select("doc_id", "h", "node", "n")
+    held = survey.where(F.col("kind") == PREFIX).select("shingle", "node", "n", "slack")
     busy = held.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
-    held = staged(held.join(busy, "shingle", "left_semi"))
-    wanted = held.select("node").distinct()
-    small = wanted.count() <= BROADCAST
-    found = sets(docs, words).join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
+    held = staged(dealt_join(held, busy, "shingle", F.col("node"), "left_semi"))
+    # one row a node: one of its texts, its smallest id, and how many documents it stands for
+    least = staged(own.where("node is not null").groupBy("node").agg(F.min("h").alias("h"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    wanted = least.join(held.select("node").distinct(), "node", "left_semi").select("h").distinct()
+    wanted = few(staged(wanted))
+    found = sets(docs.select("text").withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi"), words)
     stored = staged(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     alone = held.withColumn("label", F.col("node"))
-    pairs = reduce(DataFrame.unionByName, [pivot_pairs(alone, seed, percent) for seed in (1, 2)]).distinct()
+    pairs = staged(reduce(DataFrame.unionByName, [pivot_pairs(alone, seed, percent) for seed in (1, 2)]).distinct())
     links = staged(verified(pairs, stored, percent))
     labels = None
-    for step in (3, 4, "matrix"):
+    for step in ("pivots", "matrix"):
         if labels is None:
             labels = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
         rest = staged(unsettled(held, labels))
         if rest.isEmpty():
             break
-        more = staged(verified(pivot_pairs(rest, step, percent, vary=True), stored, percent) if step != "matrix" else opened(rest, stored, percent))
+        if step == "pivots":
+            pairs = staged(pivot_pairs(rest, 3, percent, vary=True).unionByName(pivot_pairs(rest, 4, percent, vary=True)).distinct())
+            more = staged(verified(pairs, stored, percent))
+        else:
+            more = staged(opened(rest, stored, percent))
         if not more.isEmpty():
             links = staged(links.unionByName(more))
             labels = None
     if labels is None:
         labels = components(links)
-    least = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    whole = own.join(named, "node", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # a node of one document without links is its own component; the others get the least id of their label
+    named = staged(least.join(labels, "node", "left").where("label is not null or copies > 1").select("node", "least", F.coalesce("label", "node").alias("label")))
+    component = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = staged(dealt_join(named, component, "label", F.col("node")).select("node", "component_id"))
+    whole = dealt_join(own, named.withColumn("joined", F.lit(True)), "node", F.struct("doc_id", "h"), "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Staged ids, broadcast if there are at most BROADCAST of them; beyond it a join shuffles them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -402,9 +457,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     broadcast up to a count of BROADCAST; beyond it the documents are joined by a shuffle.
     """
     near = staged(near_duplicates(docs, words, percent).where("doc_id is not null"))
-    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = near.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    gone = staged(near.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = staged(near.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = docs.join(few(gone), "doc_id", "left_anti")
     if not repeated.isEmpty():
         repeated = few(repeated)

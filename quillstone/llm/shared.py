@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -63,3 +64,31 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
 def shuffle_width(spark: SparkSession) -> int:
     """How many partitions this session deals shuffles to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Rows of one key that a task may always get.
+FAIR = 1_000
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, keys: str | list[str], spread: Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """`rows` joined with `table` on `keys`, without one task for all rows of a frequent key.
+
+    A key with more than a task's share of the rows is dealt over tasks by the hash of `spread`,
+    and its rows of `table` (one a key, or few) are copied to each of them. There are fewer such
+    keys than shuffle partitions, so their list is broadcast whatever the size of the input, and
+    the copies are at most twice as many as partitions. Keys are counted in `counted`, or in
+    `rows` if that is cheap to read twice.
+    """
+    counted = rows if counted is None else counted
+    keys = [keys] if isinstance(keys, str) else keys
+    width, total = shuffle_width(rows.sparkSession), counted.count()
+    share = max(FAIR, -(-total // width))
+    if total <= share:
+        return rows.join(table, keys, how)
+    often = counted.groupBy(*keys).count().where(F.col("count") > share)
+    often = F.broadcast(often.select(*keys, F.ceil(F.col("count") / share).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(spread, F.lit("part")), F.col("_parts")), F.lit(0)).cast("int")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    left = rows.join(often, keys, "left").withColumn("_part", part).drop("_parts")
+    right = table.join(often, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm import jaccard
+from quillstone.llm import jaccard, shared
 
 
 def plain_set(text):
@@ -80,16 +80,62 @@ def test_small_groups_and_blocks(spark, monkeypatch):
     """The same when the matrix has many groups and tasks send many blocks."""
     for name, value in (("GROUP", 3), ("QUERIES", 4), ("BATCH", 500), ("BROADCAST", 0)):
         monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(shared, "FAIR", 2)
     # without pivots all links have to come from the matrix
     monkeypatch.setattr(jaccard, "verified", lambda pairs, stored, percent: pairs.limit(0))
     rows = corpus(2, 200)
     assert run(spark, rows) == brute(rows)
 
 
+def test_frequent_keys_are_dealt(spark, monkeypatch):
+    """A hot set and a hot pivot, when a task's share of a key is a few rows; texts that meet in 48 bits."""
+    monkeypatch.setattr(shared, "FAIR", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(0, 120, 2)]
+    for i in range(1, 120, 2):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, f"p{i} q{i} r{i} s{i} t{i}") for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_dealt_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FAIR", 3)
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(60)] + [(None, 61), (99, 62)], "k long, v long")
+    table = spark.createDataFrame([(k, str(k)) for k in range(6)], "k long, name string")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, rows.join(table, "k", how).collect()), key=str)
+        assert sorted(map(tuple, shared.dealt_join(rows, table, "k", rows.v, how).collect()), key=str) == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    long = " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(150_000))
+    rows = [(1, long), (2, long + " one more"), (3, long[: len(long) // 2]), (4, "short text of six words here")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_shingles_that_meet_in_the_sent_bits(spark, monkeypatch):
+    """Sent bits are cut to very few, so that many shingles of a set meet; no link is lost."""
+    plain = jaccard.shingles
+    monkeypatch.setattr(jaccard, "shingles", lambda *a: np.unique(plain(*a) >> np.uint64(44) << np.uint64(44) | plain(*a) & np.uint64(0xFFFF)))
+    docs = spark.createDataFrame([(i, t) for i, t in corpus(7, 120)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    sets = {r.doc_id: jaccard.shingles(r.text or "", jaccard._Hashes(), 5) for r in docs.collect()}
+    for a, x in sets.items():
+        assert got[a][0] == len(x)
+        for b, y in sets.items():
+            if len(x) and len(y) and jaccard.similar(x, y, 75):
+                assert got[a][1] == got[b][1]
+
+
 def test_nothing_alike_and_empty(spark):
     assert run(spark, [(1, "a b c d e f g"), (2, "h i j k l m")]) == [(1, 3, 1), (2, 2, 2)]
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(df).count() == 0
+    assert jaccard.one_of_each(df).count() == 0
 
 
 def test_chain_of_labels(spark):
