@@ -1,21 +1,28 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from the model file and composed with each input:
-* the normaliser writes every space as the mark U+2581 and puts one mark before the text;
-* the piece machine reads characters along a trie and writes a piece at its end; characters that
-  no piece begins with go through byte arcs, one for each byte of their UTF-8 form;
-* the pair machine lets piece b follow piece a only if the model's merges, run on their joined
-  characters, end in exactly (a, b). A sequence of pieces is the merges' result if and only if
-  all its neighbours pass, so of all paths that spell a text, one is left.
-The shortest path is taken in the tropical semiring, where arcs refused by the pair machine weigh
-infinitely much; a position's least cost is that of the one sequence that reaches it.
-Marks after other characters always begin a new piece, so texts are composed segment by segment,
-and segments met before are remembered. Decoding runs the machines backwards.
+Compiled from the model file, once a worker:
+* the normaliser, which reads a space or the mark U+2581 and writes the mark, and reads one space
+  before the text;
+* the piece machine, a trie that reads the normaliser's characters and at a piece's end writes its
+  id, at the cost of minus its score; characters that are no piece go along byte arcs, one for
+  each byte of their UTF-8 form, each at the cost BYTE. Both are composed when they are compiled:
+  every arc of the trie that reads the mark has a twin that reads a space;
+* the pair machine, whose state is the piece written last: piece b after piece a costs nothing if
+  the model's merges, run on the characters of both, end in exactly (a, b), and infinitely much
+  otherwise. Its arcs are worked out when they are first met. A sequence of pieces is what the
+  merges make of its text if and only if all its neighbours pass.
+
+The machines are composed with each input on the fly: a state is a position and the piece written
+last. Positions are relaxed from left to right, each state keeping the least of the sums of costs
+that lead to it (the tropical semiring), and the path is read off backwards from the end. No piece
+has a mark after another character, nor a line end, so a text is composed segment by segment, and
+segments met before are remembered. Decoding reads ids and writes the pieces' characters.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from array import array
 
@@ -27,9 +34,11 @@ from .bpe import Kept
 from .shared import slices
 
 MARK = "▁"
-_SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-#: Stands for the piece before a position where anything may begin.
-_START = -1
+_SEGMENT = re.compile(f"\n|[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+")
+#: What was written last where anything may follow: nothing yet, or bytes; what a byte arc writes.
+_FREE, _BYTES = 1 << 16, -1
+#: The cost of a byte arc: more than that of any piece.
+BYTE = float(1 << 20)
 
 
 class Pieces:
@@ -46,18 +55,37 @@ class Pieces:
             raise ValueError("only BPE models without a character map that keep all white space")
         if len(spec.pieces) > 1 << 16 or any(p.type == kinds.USER_DEFINED for p in spec.pieces):
             raise ValueError("only models of up to 65,536 pieces, none of them user-defined")
-        self.prefix = MARK if norm.add_dummy_prefix else ""
+        self.prefix = " " if norm.add_dummy_prefix else ""
         self.text = [p.piece for p in spec.pieces]
         self.score = {p.piece: p.score for p in spec.pieces if p.type == kinds.NORMAL}
         self.id = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN)
+        if any(c not in self.id for p in self.id for c in p):
+            raise ValueError("only models whose pieces are made of characters that are pieces")
+        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.id):
+            raise ValueError("only models without line ends in pieces and with marks only at their beginning")
         self.value = {i: bytes([b]) for b, i in self.byte.items()}
         self.value |= {i: p.encode() for p, i in self.id.items()}
-        self.begins = {p[:k] for p in self.id for k in range(1, len(p))}
-        self.follows = _Follows(self)
+        #: The composed normaliser and trie: a state is [its arcs by character, (piece written there, its cost) or None].
+        self.root: list = [{}, None]
+        self.longest = max(map(len, self.id), default=1)
+        self.compile()
+        self.pairs = _Pairs(self)
         self.segments = _Segments(self)
 
+    def compile(self) -> None:
+        for piece, number in self.id.items():
+            state = self.root
+            for c in piece:
+                arcs = state[0]
+                if c not in arcs:
+                    arcs[c] = [{}, None]
+                    if c == MARK:
+                        arcs[" "] = arcs[c]
+                state = arcs[c]
+            state[1] = (number, -self.score[piece])
+
     def stands(self, first: str, second: str = "") -> bool:
         """Whether merging the characters of both ends in just these pieces.
 
@@ -80,49 +108,56 @@ class Pieces:
         return parts == ([first, second] if second else [first])
 
     def compose(self, text: str) -> bytes:
-        """Ids of the path through one segment, as packed 16-bit numbers.
+        """Ids of the shortest path through one segment, as packed 16-bit numbers.
 
-        Only one sequence of pieces spells a beginning of the segment and passes the pair machine,
-        so a position's first visit is its least cost, and positions are visited on demand, those
-        behind longer pieces first, until the end is reached.
+        A piece that ends at a position says where it began, so of the sums that lead to a state,
+        one for each state at that beginning, the least is taken at once.
         """
-        n, known, begins, follows = len(text), self.id, self.begins, self.follows
-        path: list[tuple[int, int]] = []  # (where it starts, piece, or _START for byte arcs)
-        choices: list[list[tuple[int, int]]] = []  # (end, piece) not yet tried at each step
-        seen, i, before = {0}, 0, _START
-        while i < n:
-            if len(choices) == len(path):  # first visit: read along the trie
-                found = []
-                for j in range(i + 1, n + 1):
-                    piece = text[i:j]
-                    p = known.get(piece)
-                    if p is not None:
-                        found.append((j, p))
-                    if piece not in begins:
-                        break
-                choices.append(found or [(i + 1, _START)])
-            while open_ := choices[-1]:
-                j, p = open_.pop()
-                if j not in seen and (p < 0 or follows[before << 16 | p if before >= 0 else -1 - p]):
-                    path.append((i, p))
-                    seen.add(j)
-                    i, before = j, p
+        n, root, pairs, longest, inf = len(text), self.root[0], self.pairs, self.longest, math.inf
+        # the states of each position: (least cost, what pairs go by, piece written, beginning, place among its states)
+        states: list[list[tuple] | None] = [None] * (n + 1)
+        states[0] = [(0.0, _FREE, _BYTES, 0, 0)]
+        for i in range(n):
+            here = states[i]
+            if here is None:
+                continue
+            one, (cost, last, _, _, _) = len(here) == 1, here[0]
+            last <<= 16
+            arcs, found = root, False
+            for j, c in enumerate(text[i : i + longest], i + 1):
+                if c not in arcs:
                     break
-            else:  # nothing leads on from here
-                choices.pop()
-                i, _ = path.pop()
-                before = path[-1][1] if path else _START
-        out, ends = [], [*(at for at, _ in path[1:]), n]
-        for (at, p), end in zip(path, ends, strict=True):
-            out += (p,) if p >= 0 else [self.byte.get(b, self.unknown) for b in text[at:end].encode()]
-        return array("H", out).tobytes()
+                arcs, written = arcs[c]
+                if written is None:
+                    continue
+                found = True
+                piece, weight = written
+                if one:
+                    total, k = cost + pairs[last | piece], 0
+                else:
+                    total, k = min((state[0] + pairs[state[1] << 16 | piece], k) for k, state in enumerate(here))
+                if total < inf:
+                    state = (total + weight, piece, piece, i, k)
+                    if states[j] is None:
+                        states[j] = [state]
+                    else:
+                        states[j].append(state)
+            if not found:  # a character that no piece begins with
+                total, k = min((state[0], k) for k, state in enumerate(here))
+                states[i + 1] = [*(states[i + 1] or []), (total + BYTE * len(text[i].encode()), _FREE, _BYTES, i, k)]
+        out, end = [], n
+        _, _, piece, begin, k = min(states[n])
+        while end:
+            out += (piece,) if piece >= 0 else [self.byte.get(b, self.unknown) for b in reversed(text[begin].encode())]
+            end = begin
+            _, _, piece, begin, k = states[end][k]
+        return array("H", reversed(out)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the library gives them without begin and end marks."""
         if not text:
             return np.zeros(0, np.uint16)
-        marked = self.prefix + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.segments.__getitem__, _SEGMENT.findall(marked))), np.uint16)
+        return np.frombuffer(b"".join(map(self.segments.__getitem__, _SEGMENT.findall(self.prefix + text))), np.uint16)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, ids without text nothing."""
@@ -131,17 +166,18 @@ class Pieces:
         return text.removeprefix(" ") if self.prefix else text
 
 
-class _Follows(Kept):
-    """Whether piece b may follow piece a, by (a << 16 | b); by -1 - b, whether b may come first."""
+class _Pairs(Kept):
+    """The cost of piece b after piece a, by (a << 16 | b); with _FREE for a, that of b where nothing bears on it."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
 
-    def __missing__(self, key: int) -> bool:
+    def __missing__(self, key: int) -> float:
         value = self.older.get(key)
         if value is None:
-            value = self.pieces.stands(*(self.pieces.text[p] for p in ((key >> 16, key & 0xFFFF) if key >= 0 else (-1 - key,))))
+            both = (key & 0xFFFF,) if key >> 16 == _FREE else (key >> 16, key & 0xFFFF)
+            value = 0.0 if self.pieces.stands(*(self.pieces.text[p] for p in both)) else math.inf
         return self.keep(key, value)
 
 
@@ -176,7 +212,12 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """The rows of `encoded` (doc_id, text, ids) with a column `decoded`; null ids decode to null."""
+    """The rows of `encoded` (doc_id, text, ids) with a column `decoded`.
+
+    Null ids decode to null, none to an empty text; ids without text and bytes that are no UTF-8
+    are handled as in `Pieces.decode`. Repeated rows each keep their row, an empty table gives no
+    rows, and further columns are not read.
+    """
 
     def run(batches):
         machine = pieces_of(model)

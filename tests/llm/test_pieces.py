@@ -45,6 +45,43 @@ def test_any_text(machine, library, text):
     assert machine.decode(ids) == text.replace("▁", " ")
 
 
+def cheapest(machine, text):
+    """Ids of the path of least cost, by listing every way to write a text as pieces and bytes."""
+    text = (machine.prefix + text).replace(" ", "▁")
+    paths = [((), 0.0, 0)]  # ids, cost, position
+    done = []
+    while paths:
+        ids, cost, at = paths.pop()
+        if at == len(text):
+            done.append((cost, ids))
+            continue
+        if text[at] not in machine.id:
+            b = text[at].encode()
+            paths.append((ids + tuple(machine.byte[x] for x in b), cost + pieces.BYTE * len(b), at + 1))
+        for end in range(at + 1, len(text) + 1):
+            p = text[at:end]
+            if p in machine.id:
+                before = machine.text[ids[-1]] if ids and ids[-1] in machine.id.values() else None
+                if machine.stands(before, p) if before else machine.stands(p):
+                    paths.append((ids + (machine.id[p],), cost - machine.score[p], end))
+    return list(min(done)[1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" abetinsrg日é▁\n"), min_size=1, max_size=7))
+def test_shortest_path_of_all(machine, library, text):
+    assert machine.encode(text).tolist() == cheapest(machine, text) == library.encode(text)
+
+
+def test_costs_decide(machine, monkeypatch):
+    """Where the pair machine lets every pair pass, the path with the least sum of costs is taken."""
+    free = pieces.Pieces(MODEL)
+    free.pairs = type("Free", (dict,), {"__missing__": lambda self, key: 0.0})()
+    monkeypatch.setattr(free, "stands", lambda *a: True)
+    for text in ("the", "in a", "bat", "é日"):
+        assert free.encode(text).tolist() == cheapest(free, text)
+
+
 @given(st.lists(st.integers(0, 31_999), max_size=12))
 def test_decoding_any_ids(machine, ids):
     assert isinstance(machine.decode(ids), str)
