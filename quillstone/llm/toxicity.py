@@ -3,10 +3,11 @@
 Fitting, on a bounded sample of labelled documents:
 * word counts by class give log-odds with Dirichlet priors: a word's prior is the class split of
   its six-letter beginning, whose prior is that of its four letters, whose prior is the overall
-  split. Words never seen fall back along the same chain.
+  split. Words never seen fall back along the same chain. All words of the sample are in the
+  model, by 64-bit hashes, so its size is bounded by the sample alone.
 * on documents kept out of the counts, the location of the best segment score of clean texts
   gives the constant of its extreme-value distribution, and a logistic curve turns a document's
-  surplus over that distribution into a probability.
+  surplus over that distribution and its number of significant passages into a probability.
 
 Scoring is one pass: each word gets its log-odds minus a drift, and one linear scan (all maximal
 segments, after Ruzzo and Tompa) finds every passage whose score no extension or cut improves.
@@ -21,14 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
 from .shared import slices, staged
 
-#: Labelled documents in the sample, words and beginnings in the model, at most.
-SAMPLE, VOCABULARY = 20_000, 100_000
+#: Labelled documents in the sample at most; words that a task counts before it hands them on.
+SAMPLE, COUNTED = 20_000, 500_000
 #: Strength of the priors, what each word costs, and the surplus that makes a passage significant.
 STRENGTH, DRIFT, SIGNIFICANT = 2.0, 1.0, 3.0
 _WORD = re.compile(r"\w+")
@@ -74,23 +76,42 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - lo) for s, e, lo, r, _ in parts]
 
 
+#: Tables of counts: whole words, their first six and first four letters.
+WORDS, LONG, SHORT = range(3)
+
+
+def keys_of(word: str) -> tuple[int, int, int]:
+    """A word's keys in the three tables."""
+    return tuple(xxhash.xxh3_64_intdigest(w.encode()) for w in (word, word[:6], word[:4]))
+
+
+@dataclass
+class Counts:
+    """Clean and toxic occurrences by key, keys sorted."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+
+    def get(self, key: int) -> tuple[float, float]:
+        at = int(np.searchsorted(self.keys, np.uint64(key)))
+        return tuple(self.seen[at].tolist()) if at < len(self.keys) and int(self.keys[at]) == key else (0.0, 0.0)
+
+
 @dataclass
 class Model:
-    """Class counts of words and beginnings (clean, toxic), and the calibration."""
+    """Class counts of words and beginnings, and the calibration."""
 
-    words: dict[str, tuple[float, float]] = field(default_factory=dict)
-    long: dict[str, tuple[float, float]] = field(default_factory=dict)
-    short: dict[str, tuple[float, float]] = field(default_factory=dict)
+    tables: list[Counts] = field(default_factory=lambda: [Counts(), Counts(), Counts()])
     share: float = 0.5  # of toxic words among all
     rate: float = 1.0  # of the extreme-value distribution
     constant: float = 0.0  # log K
-    curve: tuple[float, float, float] = (-2.0, 1.0, 0.0)
+    curve: tuple[float, float, float] = (-2.0, 0.0, 0.0)
 
     def log_odds(self, word: str) -> float:
         """log P(word | toxic) / P(word | clean), smoothed along the chain of beginnings."""
-        toxic = self.share
-        for table, key in ((self.short, word[:4]), (self.long, word[:6]), (self.words, word)):
-            clean_n, toxic_n = table.get(key, (0.0, 0.0))
+        toxic, keys = self.share, keys_of(word)
+        for table in (SHORT, LONG, WORDS):
+            clean_n, toxic_n = self.tables[table].get(keys[table])
             toxic = (toxic_n + STRENGTH * toxic) / (clean_n + toxic_n + STRENGTH)
         return math.log(toxic / (1 - toxic)) - math.log(self.share / (1 - self.share))
 
@@ -113,31 +134,39 @@ def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, fl
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
-    """Largest surplus over chance, log of the significant passages' number, and those passages."""
+    """Largest surplus over chance (as asinh), log of the significant passages' number, and those passages.
+
+    A text without segments has the surplus of an empty one, which scores 0.
+    """
     chance = model.constant + math.log(max(n, 1))
     surplus = [(s, e, model.rate * v - chance) for s, e, v in found]
     far = [x for x in surplus if x[2] > SIGNIFICANT]
-    return min(30.0, max([-10.0, *(x[2] for x in surplus)])), math.log1p(len(far)), far
+    return math.asinh(max([-chance, *(x[2] for x in surplus)])), math.log1p(len(far)), far
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """Clean and toxic occurrences of every word of (text, toxic) rows."""
+    """(kind, key, clean, toxic): occurrences of words and beginnings in (text, toxic) rows."""
 
     def run(batches):
+        seen: dict[str, list[int]] = {}
+
+        def flush():
+            counts = np.array([*seen.values()], np.int64).reshape(-1, 2)
+            keys = np.array([keys_of(w) for w in seen], np.uint64).astype(np.int64).reshape(-1, 3)
+            kinds = np.repeat(np.arange(3, dtype=np.int32), len(counts))
+            return pa.RecordBatch.from_pydict({"kind": kinds, "key": keys.T.reshape(-1), "clean": np.tile(counts[:, 0], 3), "toxic": np.tile(counts[:, 1], 3)})
+
         for b in slices(batches):
-            seen: tuple[dict, dict] = ({}, {})
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = seen[toxic]
                 for w in _WORD.findall((text or "").lower()):
-                    held[w[:48]] = held.get(w[:48], 0) + 1
-            words = [*(seen[0] | seen[1])]
-            yield pa.RecordBatch.from_pydict({"word": words, "clean": [seen[0].get(w, 0) for w in words], "toxic": [seen[1].get(w, 0) for w in words]})
-
-    return _summed(texts.mapInArrow(run, "word string, clean long, toxic long"), "word")
-
+                    seen.setdefault(w, [0, 0])[toxic] += 1
+            if len(seen) >= COUNTED:
+                yield flush()
+                seen = {}
+        yield flush()
 
-def _summed(counts: DataFrame, key: str) -> DataFrame:
-    return counts.groupBy(F.expr(key).alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    each = texts.mapInArrow(run, "kind int, key long, clean long, toxic long")
+    return each.groupBy("kind", "key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -154,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Three quarters of the sample give the counts, one quarter the calibration. Without toxic or
     without clean documents in the sample the model knows no words and scores all texts alike.
+    The counts that come to the driver are those of the words of the sample, 24 bytes for each.
     """
     chosen = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -162,51 +192,57 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     rows = [(r.doc_id, r.toxic) for r in chosen.collect()]  # at most `sample`
     small = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, toxic int"))
-    picked = docs.select("doc_id", "text").join(small, "doc_id")
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0
-    counts = staged(_counts(picked.where(~aside).select("text", "toxic")))
+    picked = staged(docs.select("doc_id", "text").join(small, "doc_id").select("text", "toxic", aside.alias("aside")))
+    counts = _counts(picked.where("NOT aside").select("text", "toxic")).toArrow()
+    kinds, keys, clean, toxic = (counts.column(i).to_numpy() for i in range(4))
     model = Model()
-    n_clean, n_toxic = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    if n_clean and n_toxic:
-        model.share = n_toxic / (n_clean + n_toxic)
-        for name, path in (("words", "word"), ("long", "substring(word, 1, 6)"), ("short", "substring(word, 1, 4)")):
-            most = _summed(counts, path).orderBy(F.desc(F.col("toxic") * 20 + F.col("clean")), "word").limit(VOCABULARY)
-            setattr(model, name, {r.word: (float(r.clean), float(r.toxic)) for r in most.collect()})
-
-        def run(batches):
-            scores = Scores(model)
-            for b in slices(batches):
-                best = []
-                for text in b.column(0).to_pylist():
-                    n, found = segments_of(text or "", scores)
-                    best.append((n, [v for _, _, v in found]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in best], pa.int64()), pa.array([sorted(v, reverse=True)[:64] for _, v in best], pa.list_(pa.float64())), b.column(1)],
-                    names=["n", "best", "toxic"],
-                )
-
-        seen = picked.where(aside).select("text", "toxic").mapInArrow(run, "n long, best array<double>, toxic int").collect()
-        _calibrate(model, [(r.n, list(r.best), r.toxic) for r in seen])
+    for kind in (WORDS, LONG, SHORT):
+        own = kinds == kind
+        order = np.argsort(keys[own].astype(np.uint64))
+        model.tables[kind] = Counts(keys[own].astype(np.uint64)[order], np.stack([clean[own], toxic[own]], axis=1)[order].astype(float))
+    n_clean, n_toxic = model.tables[WORDS].seen.sum(axis=0).tolist()
+    if not n_clean or not n_toxic:
+        return Model()
+    model.share = n_toxic / (n_clean + n_toxic)
+    texts = picked.where("aside").select("text", "toxic")
+
+    def best(batches):
+        """Words, and score of the best segment (null without one), of each text."""
+        scores = Scores(model)
+        for b in slices(batches):
+            found = [segments_of(t or "", scores) for t in b.column(0).to_pylist()]
+            top = [max((v for _, _, v in segments), default=None) for _, segments in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64()), b.column(1)], names=["n", "best", "toxic"])
+
+    def shown(batches):
+        """Evidence of each text, under the calibrated distribution."""
+        scores = Scores(model)
+        for b in slices(batches):
+            found = [evidence(*segments_of(t or "", scores), model)[:2] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64()), b.column(1)], names=["most", "n_far", "toxic"])
+
+    calibrate(model, [(r.n, r.best) for r in texts.mapInArrow(best, "n long, best double, toxic int").collect() if not r.toxic])
+    seen = texts.mapInArrow(shown, "most double, n_far double, toxic int").collect()
+    if 0 < sum(r.toxic for r in seen) < len(seen):
+        x = np.array(sorted((1.0, r.most, r.n_far, float(r.toxic)) for r in seen))
+        model.curve = tuple(float(v) for v in _logistic(x[:, :3], x[:, 3]))
     return model
 
 
-def _calibrate(model: Model, seen: list[tuple[int, list[float], int]]) -> None:
-    """Set the extreme-value constant from clean documents' best segments, and the curve from all."""
-    clean = np.array([(math.log(n), best[0]) for n, best, toxic in seen if not toxic and n and best])
-    if len(clean) >= 20:
-        # of a Gumbel law: rate from the spread, location from the mean; toxic words of mislabelled
-        # documents would widen it, so the spread comes from the middle half
-        low, high = np.quantile(clean[:, 1], [0.25, 0.75])
+def calibrate(model: Model, clean: list[tuple[int, float | None]]) -> None:
+    """Set rate and constant of the extreme-value law from (words, best segment's score) of clean documents.
+
+    The best segment of n words follows a Gumbel law located at (constant + log n) / rate. Its
+    rate comes from the spread of the middle half, as toxic words of mislabelled documents would
+    widen the whole; the constant from the median. Under 20 documents with a segment set nothing.
+    """
+    known = np.array([(math.log(n), best) for n, best in clean if n and best is not None])
+    if len(known) >= 20:
+        low, high = np.quantile(known[:, 1], [0.25, 0.75])
         spread = max(high - low, 0.1) / (math.log(math.log(4)) - math.log(math.log(4 / 3)))
         model.rate = min(1.0, 1 / spread)
-        model.constant = float(np.median(model.rate * clean[:, 1] - clean[:, 0])) + math.log(math.log(2))
-    x, y = [], []
-    for n, best, toxic in seen:
-        a, b, _ = evidence(n, [(0, 0, v) for v in best], model)
-        x.append((1.0, a, b))
-        y.append(toxic)
-    if y and 0 < sum(y) < len(y):
-        model.curve = tuple(float(v) for v in _logistic(np.array(x), np.array(y, float)))
+        model.constant = float(np.median(model.rate * known[:, 1] - known[:, 0])) + math.log(math.log(2))
 
 
 def probability(text: str | None, scores: Scores, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
@@ -218,7 +254,13 @@ def probability(text: str | None, scores: Scores, model: Model) -> tuple[float,
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text scores below one half."""
+    """The rows of `docs`, all columns as they are, whose text scores below one half.
+
+    Null and empty texts are scored like any text, by the weakest evidence, and stay as long as
+    that is below one half; nulls in other columns do not matter; each of repeated rows stays or
+    goes as the others do; all words of a text count; an empty table gives no rows; further
+    columns, also such as score or segments, go through as they are.
+    """
 
     def run(batches):
         scores = Scores(model)
