@@ -6,14 +6,17 @@ learned weights of its features: prefixes and suffixes, character n-grams, and t
 of each language for each word; a document's language is the one with most expected words.
 
 Chains of many lines advance together, one position at a time, in array operations. Weights are
-fitted on a bounded sample by gradient ascent on the likelihood of the documents' labels, whose
-gradient comes from the same forward-backward pass.
+fitted on a bounded sample by gradient ascent on the likelihood of the words' labels, whose
+gradient comes from the same forward-backward pass. Lines of the sample bear one language each;
+part of the training chains are joined from pieces of lines of different languages, so that
+transition weights are learned from words that stay and words that switch.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,18 +36,33 @@ SLOTS, CHAIN, CACHE = 1 << 17, 256, 500_000
 CELLS, TRAIN_CELLS = 1 << 22, 1 << 19
 #: Share of a word's features that training must have met for the word to be familiar.
 MET = 0.85
-_WORD = re.compile(r"[^\W\d_]{1,40}")
+#: One in so many training chains is followed by one that joins it with another language; words of each piece at most.
+JOINED, PIECE = 3, 12
+#: Letters of a word whose features are held at once.
+PART = 4_096
+_WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def features(word: str) -> list[int]:
-    """Slots of a word's features: the word, affixes of one to three letters, n-grams of two and three."""
-    marked = f"^{word}$"
+def feature_parts(word: str) -> Iterator[list[int]]:
+    """Slots of a word's features, those of a very long word in parts: the word, affixes of one to
+    three letters, n-grams of two and three."""
     names = [f"w{word}"]
     for k in (1, 2, 3):
         names += (f"p{word[:k]}", f"s{word[-k:]}")
-    names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [zlib.crc32(n.encode()) % SLOTS for n in names]
+    for at in range(0, len(word), PART):  # a part's n-grams are those that begin in it
+        marked = ("^" if at == 0 else word[at - 1]) + word[at : at + PART + 1]
+        if at + PART >= len(word):
+            marked += "$"
+        first = min(len(word), at + PART) - at + (at + PART >= len(word))
+        names += [marked[i : i + k] for k in (2, 3) for i in range(first) if i + k <= len(marked)]
+        yield [zlib.crc32(n.encode()) % SLOTS for n in names]
+        names = []
+
+
+def features(word: str) -> list[int]:
+    """All slots of a word's features."""
+    return [slot for part in feature_parts(word) for slot in part]
 
 
 def chains(text: str) -> list[list[str]]:
@@ -129,9 +147,12 @@ class Lexicon:
             for w in words:
                 if w not in self.row:
                     self.row[w] = len(self.rows)
-                    slots = features(w)
-                    self.rows.append(self.model.weights[slots].sum(axis=0))
-                    self.met.append(bool(self.model.met[slots].mean() >= MET))
+                    row, met, n = np.zeros(self.model.weights.shape[1], np.float32), 0, 0
+                    for slots in feature_parts(w):
+                        row = row + self.model.weights[slots].sum(axis=0)
+                        met, n = met + int(self.model.met[slots].sum()), n + len(slots)
+                    self.rows.append(row)
+                    self.met.append(met >= MET * n)
             return [*map(self.row.__getitem__, words)]
 
     def table(self) -> np.ndarray:
@@ -178,24 +199,58 @@ def familiar(texts: list[str | None], lexicon: Lexicon) -> list[float]:
     return out
 
 
-def train(lines: list[tuple[str, list[str]]], languages: list[str], rounds: int = 25, ridge: float = 1e-3) -> Model:
-    """Fit on (language, words) chains whose positions all bear the chain's language."""
+Chain = tuple[str | list[str], list[str]]
+
+
+def joined(lines: list[Chain]) -> list[Chain]:
+    """Chains of two or three pieces of lines of different languages, with each word's language.
+
+    Lines are met in the order of their words' hashes, so the same lines give the same chains.
+    """
+    by_language: dict[str, list[list[str]]] = {}
+    for lang, words in sorted(lines, key=lambda x: zlib.crc32(" ".join(x[1]).encode())):
+        by_language.setdefault(lang, []).append(words)
+    names, out = sorted(by_language), []
+    if len(names) < 2:
+        return []
+    for i in range(len(lines) // JOINED):
+        langs, words, used = [], [], ""
+        for k in range(2 + i % 2):
+            others = [x for x in (names[(i + k) % len(names)], names[(i // len(names) + 2 * k + 1) % len(names)]) if x != used]
+            lang = used = others[0] if others else names[(names.index(used) + 1) % len(names)]
+            line = by_language[lang][(i + k) % len(by_language[lang])]
+            n = 1 + zlib.crc32(f"{i} {k}".encode()) % min(PIECE, len(line))
+            start = zlib.crc32(f"{i} {k} start".encode()) % (len(line) - n + 1)
+            langs += [lang] * n
+            words += line[start : start + n]
+        out.append((langs, words))
+    return out
+
+
+def train(lines: list[Chain], languages: list[str], rounds: int = 25, ridge: float = 1e-3) -> Model:
+    """Fit on (language of all words, or of each word; words) chains."""
     model = Model(languages, np.zeros((SLOTS, len(languages)), np.float32), np.zeros((len(languages),) * 2))
     lines = [(lang, words) for lang, words in lines if words]
     for w in {w for _, words in lines for w in words}:
-        model.met[features(w)] = True
+        for part in feature_parts(w):
+            model.met[part] = True
     if not lines or len(languages) < 2:
         return model
     number: dict[str, int] = {}
     at = np.array([number.setdefault(w, len(number)) for _, words in lines for w in words])
     lengths = np.array([len(words) for _, words in lines])
-    chain_y = np.array([languages.index(lang) for lang, _ in lines])
+    place_of = {lang: i for i, lang in enumerate(languages)}
+    y_all = np.array([place_of[x] for lang, words in lines for x in ([lang] * len(words) if isinstance(lang, str) else lang)])
     lists = [features(w) for w in number]
     slots = np.array([s for x in lists for s in x], np.int32)
     sizes = np.array([*map(len, lists)])
     begin = np.cumsum(sizes) - sizes
     states, n = len(languages), len(at)
-    seen_moves = np.diag(np.bincount(chain_y, lengths - 1, states))
+    inner = np.ones(n, bool)
+    inner[np.cumsum(lengths) - lengths] = False  # a chain's first word follows none
+    inner = np.flatnonzero(inner)
+    seen_moves = np.zeros((states, states))
+    np.add.at(seen_moves, (y_all[inner - 1], y_all[inner]), 1.0)
     weights, memory, g = np.zeros((SLOTS, states)), np.zeros((SLOTS, states)), np.zeros((SLOTS, states))
     memory_moves = np.zeros((states, states))
     parts = blocks(lengths, states, TRAIN_CELLS)
@@ -208,7 +263,7 @@ def train(lines: list[tuple[str, list[str]]], languages: list[str], rounds: int
             used, of_slot = np.unique(slots[np.repeat(begin[words] - start, count) + np.arange(count.sum())], return_inverse=True)
             potentials = np.add.reduceat(weights[used][of_slot], start, axis=0)
             marginals, moves, _ = forward_backward(potentials[place], lengths[first:last], model.transitions)
-            y = np.repeat(chain_y[first:last], lengths[first:last])
+            y = y_all[a:b]
             of = np.repeat(np.arange(len(words)), count)
             for k in range(states):
                 surplus = np.bincount(place, (y == k) - marginals[:, k], len(words))
@@ -257,15 +312,48 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = chosen.select("lang", "text").mapInArrow(run, "lang string, words string").collect()
     lines = sorted((r["lang"], r["words"].split(" ")) for r in rows)
-    return train(lines, sorted(r["lang"] for r in bounds))
+    return train(lines + joined(lines), sorted(r["lang"] for r in bounds))
+
+
+def tag_words(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document: doc_id and words, an array of (start, end, lang, probability) in text order.
+
+    Places are code points of the lower-cased text. A null text, one without letters, or a model
+    without languages gives an empty array; a null doc_id stays null; repeated rows each keep
+    their row; an empty table gives no rows; other columns are not read.
+    """
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("probability", pa.float64())]))
+
+    def run(batches):
+        lexicon = Lexicon(model)
+        for b in slices(batches):
+            lexicon.trim()
+            out = []
+            for text in b.column(1).to_pylist():
+                runs = chains(text) if text and model.languages else []
+                found = []
+                if runs:
+                    numbers = np.array([i for run in runs for i in lexicon.numbers(run)])
+                    marginals, _, _ = forward_backward(lexicon.table()[numbers], np.array([*map(len, runs)]), model.transitions)
+                    marginals /= marginals.sum(axis=1, keepdims=True)
+                    best = marginals.argmax(axis=1)
+                    for m, row, k in zip(_WORD.finditer(text.lower()), marginals, best.tolist(), strict=True):
+                        found.append({"start": m.start(), "end": m.end(), "lang": model.languages[k], "probability": float(row[k])})
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words array<struct<start:int,end:int,lang:string,probability:double>>")
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.4, known: float = 0.6) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text has a language with a share of at least `least`.
 
-    Texts without letters go, and those of which no language has that share of the words. Shares
-    are among learned languages only, so texts of which less than `known` of the words look like
-    words of any learned language (other languages, random letters) go as well.
+    Texts without letters go, null and empty ones among them, and those of which no language has
+    that share of the words. Shares are among learned languages only, so texts of which less than
+    `known` of the words look like words of any learned language (other languages, random letters)
+    go as well. A model without languages keeps nothing. Nulls in other columns do not matter; each
+    of repeated rows stays or goes as the others do; an empty table gives no rows; further columns,
+    also such as score or lang_pred, go through as they are.
     """
 
     def run(batches):
@@ -284,8 +372,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, lang_pred (a learned language, or `und`) and score (0 to 1).
 
     One pass without a shuffle. A null text, one without letters, or a model without languages
-    gives `und` with score 0. A null doc_id stays null; repeated rows each keep their row; an
-    empty table gives no rows; other columns are not read. All words count, however long the text.
+    gives `und` with score 0. Of languages with equal shares the first in the order of their names
+    is taken. A null doc_id stays null; repeated rows each keep their row; an empty table gives no
+    rows; other columns are not read. All words count, however long the text or a word of it.
     """
 
     def run(batches):

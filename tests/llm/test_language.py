@@ -68,6 +68,112 @@ def test_words_of_a_mixed_line(docs, model):
     assert got[:30].count("de") > 24 and got[30:].count("fr") > 24
 
 
+def mixed(texts, seed):
+    """(words, languages) of lines of two to four pieces of texts in different languages."""
+    rng, out = np.random.default_rng(seed), []
+    words = {lang: [w for c in language.chains(t) for w in c] for lang, t in texts}
+    names = sorted(words)
+    for _ in range(200):
+        line, langs, last = [], [], None
+        for _ in range(rng.integers(2, 5)):
+            last = lang = rng.choice([x for x in names if x != last])
+            at, n = rng.integers(len(words[lang]) - 20), rng.integers(3, 15)
+            line += words[lang][at : at + n]
+            langs += [lang] * n
+        out.append((line, langs))
+    return out
+
+
+def test_word_accuracy_on_mixed_lines(docs, model):
+    """Held-out texts cut and joined: nearly all words get the language that they came from, and switches are learned."""
+    rows = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("n_chars") > 400)).collect()
+    lines = mixed([(lang, "\n".join(r.text for r in rows if r.lang == lang)) for lang in {r.lang for r in rows}], 4)
+    lexicon, right, total = language.Lexicon(model), 0, 0
+    for words, langs in lines:
+        at = lexicon.numbers(words)
+        marginals, _, _ = language.forward_backward(lexicon.table()[at], np.array([len(words)]), model.transitions)
+        got = [model.languages[k] for k in marginals.argmax(axis=1)]
+        right, total = right + sum(a == b for a, b in zip(got, langs, strict=True)), total + len(langs)
+    print("word accuracy on mixed lines", right / total)
+    assert right / total > 0.93
+
+
+def test_joined_chains():
+    rng = np.random.default_rng(5)
+    lines = [(f"l{k}", [f"l{k}w{rng.integers(99)}" for _ in range(n)]) for k in range(3) for n in rng.integers(1, 30, 30)]
+    out = language.joined(lines)
+    assert len(out) == len(lines) // language.JOINED and out == language.joined(lines[::-1])
+    for langs, words in out:
+        assert all(w.startswith(lang + "w") for lang, w in zip(langs, words, strict=True))
+        assert len(set(langs)) > 1
+    assert language.joined([x for x in lines if x[0] == "l0"]) == []
+    model = language.train(lines + out, ["l0", "l1", "l2"])
+    staying = np.diag(model.transitions).min() - (model.transitions - np.diag(np.full(3, np.inf))).max()
+    assert staying > 0
+
+
+def test_transitions_come_from_data():
+    """A language that always switches to another one learns so."""
+    rng = np.random.default_rng(6)
+    lines = []
+    for _ in range(120):
+        langs = ["l0", "l1"] * 8 if rng.random() < 0.5 else ["l1", "l0"] * 8
+        lines.append((langs, [invented(rng, int(x[1]), 1)[0] for x in langs]))
+    moves = language.train(lines, ["l0", "l1"]).transitions
+    assert moves[0, 1] > moves[0, 0] and moves[1, 0] > moves[1, 1]
+
+
+def test_document_scores_equal_enumeration(spark, model):
+    """Shares of a document's words by listing all labellings of its short lines."""
+    texts = ["der hund the dog", "le chat\nund die katze ist", "perro the gato and", "ein"]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    lexicon, k = language.Lexicon(model), len(model.languages)
+    for i, text in enumerate(texts):
+        share = np.zeros(k)
+        for chain in language.chains(text):
+            rows = [sum(model.weights[s].astype(float) for s in language.features(w)) for w in chain]
+            ways = list(itertools.product(range(k), repeat=len(chain)))
+            cost = np.array([sum(rows[j][y] for j, y in enumerate(ys)) + sum(model.transitions[a, b] for a, b in itertools.pairwise(ys)) for ys in ways])
+            weight = np.exp(cost - cost.max())
+            for ys, w in zip(ways, weight / weight.sum(), strict=True):
+                for y in ys:
+                    share[y] += w
+        assert got[i].lang_pred == model.languages[share.argmax()]
+        assert abs(got[i].score - share.max() / share.sum()) < 1e-4
+    assert len(lexicon.numbers(["ein"])) == 1
+
+
+def test_long_words_are_one_position(spark, model, monkeypatch):
+    word = "straßenbahn" * 7
+    assert language.chains(word) == [[word]]
+    whole = language.features(word)
+    monkeypatch.setattr(language, "PART", 5)
+    assert sorted(language.features(word)) == sorted(whole)
+    huge = "überraschung" * 100_000
+    row = language.identify(spark.createDataFrame([(1, huge)], "doc_id long, text string"), model).first()
+    assert row.lang_pred == "de"
+
+
+def test_tagged_words(spark, model):
+    rows = [(1, "Der Hund schläft unter dem Baum, le chat mange dans la maison."), (2, None), (3, "12 !"), (None, "der die das")]
+    got = {r.doc_id: r.words for r in language.tag_words(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [rows[0][1][w.start : w.end] for w in got[1]] == "Der Hund schläft unter dem Baum le chat mange dans la maison".split()
+    assert [w.lang for w in got[1]].count("de") >= 4 and [w.lang for w in got[1]].count("fr") >= 4
+    assert got[2] == [] == got[3] and len(got[None]) == 3
+    assert all(0 <= w.probability <= 1 for w in got[1])
+    assert language.tag_words(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_filter_edges(spark, model):
+    rows = [(1, None, "a"), (2, "", None), (3, "der hund und die katze sind im garten", "b"), (3, "der hund und die katze sind im garten", "b"), (None, "der mann und die frau sind im haus", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    kept = language.in_known_language(df, model)
+    assert kept.schema == df.schema
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[2:], key=str)
+    assert language.in_known_language(df.limit(0), model).count() == 0
+    assert language.in_known_language(df, language.Model()).count() == 0
+
+
 def test_edges(spark, model):
     rows = [(1, None), (2, ""), (3, "12 !? ½ _"), (None, "der die das und"), (5, "der die das und " * 40_000), (5, "日本語 " * 3)]
     df = spark.createDataFrame([(i, t, "xx", 0) for i, t in rows], "doc_id long, text string, lang_pred string, score int")
