@@ -1,8 +1,9 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees learn from the URLs that the rules label, a bounded sample of them, on the driver. The
-fitted model is turned into column expressions, so all rows are judged inside Spark's generated
-code, in one pass without a shuffle.
+The trees learn from the URLs that the rules label, a bounded sample of them, on the driver. Every
+suffix of the sample has a statistic of its own; these tables, no longer than the sample, are
+broadcast, and the trees become column expressions, so all rows are judged inside Spark's
+generated code, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled URLs that the trees are fitted on, at most (those with the smallest hashes).
 SAMPLE = 20_000
-#: Suffixes of each kind with a statistic of their own, at most; the others share the prior.
-SUFFIXES = 64
+#: Parts of the sample; the suffix statistics that trees learn from come from the other parts.
+FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.2, 32, 20
 
 
@@ -97,15 +99,14 @@ class Boosted:
     rates: dict[str, dict[str, float]] = field(default_factory=dict)
     prior: float = 0.0
 
-    def rate_columns(self, parts: dict[str, Column]) -> dict[str, Column]:
-        out = {}
+    def with_rates(self, df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+        """`df` with a column f_<kind>_rate for each kind of suffix; suffixes not in the sample have the prior."""
         for kind, part in parts.items():
-            table = self.rates.get(kind, {})
-            known = F.lit(self.prior)
-            if table:
-                known = F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[part], known)
-            out[f"{kind}_rate"] = known
-        return out
+            known = [*self.rates.get(kind, {}).items()]
+            table = df.sparkSession.createDataFrame(known, "_suffix string, _rate double")
+            joined = df.withColumn("_suffix", part).join(F.broadcast(table), "_suffix", "left")  # at most a row for each row of the sample
+            df = joined.withColumn(f"f_{kind}_rate", F.coalesce("_rate", F.lit(self.prior))).drop("_suffix", "_rate")
+        return df
 
     def score(self, features: dict[str, Column]) -> Column:
         """Probability of "block"."""
@@ -175,6 +176,12 @@ def evaluate(tree, x: np.ndarray, names: list[str]) -> np.ndarray:
     return np.where(x[:, names.index(name)] <= threshold, evaluate(below, x, names), evaluate(above, x, names))
 
 
+def suffix_rates(suffix: pd.Series, y: np.ndarray, prior: float) -> dict[str, float]:
+    """Smoothed log odds of "block" for each suffix."""
+    counts = pd.Series(y, suffix.index).groupby(suffix).agg(["sum", "size"])
+    return {str(s): _logit((b + 4 * prior) / (n + 4)) for s, b, n in counts.itertuples()}
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Fit on different (url, block 0/1) rows: at most `sample`, those whose URLs hash lowest, come to the driver.
 
@@ -187,11 +194,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Boosted:
     y = rows["block"].to_numpy(float)
     prior = (y.sum() + 1) / (len(y) + 2)
     model, columns = Boosted(prior=_logit(prior)), [rows[n].to_numpy(float) for n in numbers]
+    fold = np.arange(len(y)) % FOLDS  # rows come in the order of their hashes
     for kind in parts:
-        counts = rows.groupby(kind)["block"].agg(["sum", "size"]).reset_index().sort_values(["size", kind], ascending=[False, True])[:SUFFIXES]
-        table = {str(s): _logit((b + 4 * prior) / (n + 4)) for s, b, n in counts.itertuples(index=False)}
-        model.rates[kind] = table
-        columns.append(rows[kind].map(table).fillna(model.prior).to_numpy(float))
+        model.rates[kind] = suffix_rates(rows[kind], y, prior)
+        column = np.full(len(y), model.prior)
+        for k in range(FOLDS):
+            others = suffix_rates(rows[kind][fold != k], y[fold != k], prior)
+            column[fold == k] = rows[kind][fold == k].map(others).fillna(model.prior)
+        columns.append(column)
     x = np.stack(columns, axis=1) if len(y) else np.zeros((0, len(columns)))
     model.base, model.trees = boost(x, [*numbers, *(f"{k}_rate" for k in parts)], y)
     return model
@@ -200,7 +210,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Boosted:
 def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict ("allow" or "block") and score of "block".
 
-    The longest rule that fits decides; where none fits, the trees do, which have learned from a
+    The longest rule that fits decides (of rules of one length that with the greater host, and of
+    equal ones the last given); where none fits, the trees do, which have learned from a
     sample of the URLs that rules decide. Without any such URL all scores are one half and the
     verdict is "allow"; if rules give a single verdict, the trees follow it. A null URL, or one
     without `://`, has an empty host and path. Repeated rows each keep their row, a null page_id
@@ -214,10 +225,10 @@ def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> DataFram
     by_rule = pages.select("page_id", "url", host.alias("host"), path.alias("path"), rule.alias("i"))
     model = fit(by_rule.where(F.col("i").isNotNull()).select("url", (F.get(verdicts, F.col("i")) == "block").cast("int").alias("block")), sample)
     host, path = F.col("host"), F.col("path")
-    described = {**lexical(url, host, path), **model.rate_columns(suffixes(host, path))}
+    described, parts = lexical(url, host, path), suffixes(host, path)
     # features become columns first, so that each is computed once for all trees
-    wide = by_rule.select("*", *[c.alias(f"f_{n}") for n, c in described.items()])
-    score = model.score({n: F.col(f"f_{n}") for n in described})
+    wide = model.with_rates(by_rule.select("*", *[c.alias(f"f_{n}") for n, c in described.items()]), parts)
+    score = model.score({n: F.col(f"f_{n}") for n in [*described, *(f"{k}_rate" for k in parts)]})
     return (
         wide.withColumn("score", score)
         .withColumn("rule", F.get(names, F.col("i")))

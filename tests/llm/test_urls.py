@@ -47,13 +47,32 @@ def test_rules(pages):
         assert r.verdict == (rule.verdict if rule else "block" if r.score > 0.5 else "allow")
 
 
+def described(model, df):
+    """`df` with suffix rates, and all features as columns."""
+    url = F.col("url")
+    host, path = urls.host_and_path(url)
+    parts = urls.suffixes(host, path)
+    return model.with_rates(df, parts), {**urls.lexical(url, host, path), **{f"{k}_rate": F.col(f"f_{k}_rate") for k in parts}}
+
+
+def test_every_suffix_has_its_rate(spark):
+    """Two hundred sections, half of them blocked: each is known, and unseen ones get the prior."""
+    rows = [(f"http://x.net/s{i}/p{j}", i % 2) for i in range(200) for j in range(6)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, block int"))
+    assert set(model.rates["section"]) == {f"s{i}" for i in range(200)}
+    fresh = spark.createDataFrame([(f"http://x.net/s{i}/fresh", i % 2) for i in range(200)] + [("http://x.net/other/1", 0)], "url string, block int")
+    got, features = described(model, fresh)
+    rows = got.select("url", "block", "f_section_rate", (model.score(features) > 0.5).cast("int").alias("said")).collect()
+    assert len(rows) == 201 and all(r.said == r.block for r in rows if "/s" in r.url)
+    assert all((r.f_section_rate > 0) == bool(r.block) for r in rows if "/s" in r.url)
+    assert [r.f_section_rate for r in rows if "other" in r.url] == [model.prior]
+
+
 def test_trees_inside_spark_equal_numpy(spark, pages):
     labelled = pages.where("url is not null").select("url", (F.xxhash64("url") % 3 == 0).cast("int").alias("block"))
     model = urls.fit(labelled)
-    url = F.col("url")
-    host, path = urls.host_and_path(url)
-    features = {**urls.lexical(url, host, path), **model.rate_columns(urls.suffixes(host, path))}
-    got = labelled.select(*[c.alias(n) for n, c in features.items()], model.score(features).alias("score")).toPandas()
+    got, features = described(model, labelled)
+    got = got.select(*[c.alias(n) for n, c in features.items()], model.score(features).alias("score")).toPandas()
     x = got[list(features)].to_numpy(float)
     want = 1 / (1 + np.exp(-(model.base + sum(urls.evaluate(t, x, list(features)) for t in model.trees))))
     assert model.trees and np.allclose(got["score"], want)
@@ -64,10 +83,8 @@ def test_held_out_accuracy(spark, pages):
     rows = [(r.url, int(plain(r.url)[2].verdict == "block")) for r in pages.collect() if plain(r.url)[2]]
     half = lambda k: spark.createDataFrame(rows[k::2], "url string, block int")
     model = urls.fit(half(0))
-    url = F.col("url")
-    host, path = urls.host_and_path(url)
-    features = {**urls.lexical(url, host, path), **model.rate_columns(urls.suffixes(host, path))}
-    right = half(1).select(((model.score(features) > 0.5).cast("int") == F.col("block")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    rest, features = described(model, half(1))
+    right = rest.select(((model.score(features) > 0.5).cast("int") == F.col("block")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.9
 
 
