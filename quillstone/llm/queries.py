@@ -146,11 +146,10 @@ ORACLES: dict[str, str] = {
             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                 CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-          FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-          WHERE q.vec_id % 20 = 0
+                 CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score, q.v AS query
+          FROM (SELECT DISTINCT vec_id, v FROM whole WHERE vec_id % 20 = 0) q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
         ), ranked AS (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+          SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS place FROM scored
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
     """,

@@ -7,9 +7,13 @@ added up, and a candidate is dropped as soon as its partial score plus the produ
 remaining norms (the most that its remaining mass can add) stays below the query's k-th best
 score so far. Survivors are compacted, so later dimensions touch few columns.
 
-Blocks meet queries in the cells of a grid, each of bounded size: a cell gets one group of query
-blocks and one group of candidate blocks. The queries are copied once for each candidate group and
-the candidates once for each query group; only k rows for each query and cell come back.
+Blocks meet queries in the cells of a grid: a cell gets one group of query blocks and one group of
+candidate blocks. Each task deals its blocks to the groups in turn, so groups differ by little. The
+queries are copied once for each candidate group and the candidates once for each query group;
+only k rows for each query and cell come back. All cells of a query begin with the same floor: its
+k-th best score among the FLOOR candidates of largest norm, which every task gets. A task's
+candidates are cut into blocks by falling norm, and a block whose largest norm cannot reach a
+query's floor is passed over.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +33,8 @@ from pyspark.sql.window import Window
 STEP, BLOCK, QUERIES = 16, 8192, 512
 #: Vectors in the groups that meet in a cell, about; cells across the candidates at least.
 CELL_CANDIDATES, CELL_QUERIES, CELLS = 32_768, 4_096, 12
+#: Candidates of largest norm that give a query its first floor.
+FLOOR = 512
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -57,10 +64,24 @@ class Block:
         self.floats = self.columns.astype(np.float32)
         self.squares = np.square(self.columns.astype(np.float64))
 
-    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, so_far: list[list[tuple[int, int]]]) -> None:
-        """Merge this block's best into `so_far`: for each query its k best (-score, candidate id), sorted."""
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, so_far: list[list[tuple[int, int]]], floors: np.ndarray) -> None:
+        """Merge this block's best into `so_far`: for each query its k best (-score, candidate id), sorted.
+
+        Candidates below a query's floor may be left out.
+        """
         kind = _exact(queries, self.columns)
         dims, n = self.columns.shape
+        if kind is not object and dims:
+            reach = np.sqrt(np.square(queries.astype(np.float64)).sum(axis=1)) * math.sqrt(self.squares.sum(axis=0).max(initial=0.0)) + 1
+            asked = np.flatnonzero(reach >= floors)
+            if not len(asked):
+                return
+            if len(asked) < len(queries):
+                part = [so_far[i] for i in asked]
+                self.best(queries[asked], query_ids[asked], k, part, floors[asked])
+                for i, top in zip(asked.tolist(), part, strict=True):
+                    so_far[i] = top
+                return
         # one order for the block: dimensions with the largest mass in queries and candidates first
         mass = np.square(queries.astype(np.float64)).sum(axis=0) * self.squares.sum(axis=1)
         order = np.argsort(-mass, kind="stable")
@@ -71,7 +92,7 @@ class Block:
         first = q[:, :STEP] @ columns[:STEP]
         for i, query_id in enumerate(query_ids.tolist()):
             top = so_far[i]
-            floor = -top[-1][0] if len(top) == k else -math.inf
+            floor = max(float(floors[i]), -top[-1][0] if len(top) == k else -math.inf)
             alive = np.flatnonzero(self.ids != query_id)
             partial = first[i][alive]
             prune = kind is not object
@@ -96,22 +117,42 @@ class Block:
                 so_far[i] = sorted([*top, *((int(s), c) for s, c in own)])[:k]
 
 
-def _blocks(size: int):
-    """A function for mapInArrow that gathers (id, v) rows into blocks of one dimension count."""
+def first_floors(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """For each query its k-th best score among these candidates, its own id left out; -inf if they are too few."""
+    kind = _exact(queries, vectors) if len(vectors) else object
+    if kind is object or len(vectors) < k:
+        return np.full(len(queries), -math.inf)
+    scores = (queries.astype(kind) @ vectors.astype(kind).T).astype(np.float64)
+    scores[query_ids[:, None] == ids[None, :]] = -math.inf
+    return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+
+
+#: Rows gathered before they are cut into blocks by their norm, in blocks.
+GATHERED = 4
+BLOCKS = "place int, dims long, wide boolean, ids binary, vectors binary, floors binary"
+
+
+def _blocks(size: int, places: int, floors_of=None):
+    """A function for mapInArrow that gathers (id, v) rows into blocks of one dimension count, dealt over `places`."""
 
     def run(batches):
         held: dict[int, list] = {}
-        number = 0
+        made = TaskContext.get().partitionId()
 
-        def block(dims: int):
-            nonlocal number
+        def cut(dims: int):
+            nonlocal made
             ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dims), strict=True))
-            number += 1
-            wide = bool(vectors.size) and float(np.abs(vectors.astype(np.float64)).max()) >= 1 << 15
-            return pa.RecordBatch.from_pydict(
-                {"block": [(TaskContext.get().partitionId() << 32) + number], "dims": [dims], "wide": [wide],
-                 "ids": [ids.tobytes()], "vectors": [vectors.astype(np.int64 if wide else np.int16).tobytes()]}
-            )
+            norms = np.square(vectors.astype(np.float64)).sum(axis=1)
+            order = np.argsort(-norms, kind="stable")
+            for at in range(0, len(ids), size):
+                i, v = ids[order[at : at + size]], vectors[order[at : at + size]]
+                wide = bool(v.size) and float(np.abs(v.astype(np.float64)).max()) >= 1 << 15
+                floors = floors_of(v, i, dims).tobytes() if floors_of else b""
+                yield pa.RecordBatch.from_pydict(
+                    {"place": pa.array([made % places], pa.int32()), "dims": [dims], "wide": [wide], "ids": [i.tobytes()],
+                     "vectors": [v.astype(np.int64 if wide else np.int16).tobytes()], "floors": [floors]}
+                )
+                made += 1
 
         for whole in batches:
             for at in range(0, whole.num_rows, size):
@@ -121,12 +162,12 @@ def _blocks(size: int):
                 ends = np.cumsum(lengths)
                 for dims in np.unique(lengths).tolist():
                     own = np.flatnonzero(lengths == dims)
-                    places = (ends[own] - dims)[:, None] + np.arange(dims)
-                    held.setdefault(dims, []).append((ids[own], flat[places]))
-                    if sum(len(i) for i, _ in held[dims]) >= size:
-                        yield block(dims)
+                    places_of = (ends[own] - dims)[:, None] + np.arange(dims)
+                    held.setdefault(dims, []).append((ids[own], flat[places_of]))
+                    if sum(len(i) for i, _ in held[dims]) >= GATHERED * size:
+                        yield from cut(dims)
         for dims in list(held):
-            yield block(dims)
+            yield from cut(dims)
 
     return run
 
@@ -145,26 +186,28 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     ties go to the smaller vec_id; a query with fewer than k others gets them all. Vectors that
     are null or hold null or non-finite components take no part, nor do null ids; only vectors of
     equal length meet; an empty table gives no rows; other columns are not read. Of repeated ids
-    each row is a candidate, a query's own id never, and each id is one query for each distinct
-    vector it has.
+    each row is a candidate, a query's own id never; a query is an id with one of its distinct
+    vectors, so an id with two vectors has two sets of ranks from 1.
     """
     rows = scaled(vectors, id_column, vector_column, scale)
     asked = rows.where(F.col("id") % every == 0).distinct()
     n = rows.count()
     columns, across = max(CELLS, -(-n // CELL_CANDIDATES)), -(-n // (every * CELL_QUERIES)) or 1
-    schema = "block long, dims long, wide boolean, ids binary, vectors binary"
     size = max(1, min(BLOCK, -(-n // columns)))
     whole = lambda end: F.explode(F.sequence(F.lit(0), F.lit(end - 1)))
-    candidates = (
-        rows.mapInArrow(_blocks(size), schema)
-        .withColumn("column", F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int"))
-        .withColumn("row", whole(across))
-    )
-    questions = (
-        asked.mapInArrow(_blocks(QUERIES), schema)
-        .withColumn("row", F.pmod(F.xxhash64("block"), F.lit(across)).cast("int"))
-        .withColumn("column", whole(columns))
-    )
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    leading: dict[int, tuple[list, list]] = {}
+    for r in rows.orderBy(F.desc(norm), "id", "v").limit(FLOOR).collect():
+        ids, held = leading.setdefault(len(r.v), ([], []))
+        ids.append(r.id)
+        held.append(r.v)
+
+    def floors_of(queries: np.ndarray, query_ids: np.ndarray, dims: int) -> np.ndarray:
+        ids, held = leading.get(dims, ([], []))
+        return first_floors(queries, query_ids, np.array(ids, np.int64), np.array(held, np.int64).reshape(len(ids), dims), k)
+
+    candidates = rows.mapInArrow(_blocks(size, columns), BLOCKS).withColumnRenamed("place", "column").withColumn("row", whole(across))
+    questions = asked.mapInArrow(_blocks(min(QUERIES, max(1, -(-n // (every * across)))), across, floors_of), BLOCKS).withColumnRenamed("place", "row").withColumn("column", whole(columns))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         blocks = [(c["dims"], Block(*_opened(c))) for _, c in left.iterrows()]
@@ -174,12 +217,13 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
             found: list[list] = [[] for _ in ids]
             for dims, block in blocks:
                 if dims == row["dims"]:
-                    block.best(queries, ids, k, found)
-            out += [(q, c, max(_LEAST, min(_MOST, -s))) for q, top in zip(ids.tolist(), found, strict=True) for s, c in top]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    block.best(queries, ids, k, found, np.frombuffer(row["floors"], np.float64))
+            keys = [xxhash.xxh3_64_intdigest(q.tobytes()) - (1 << 63) for q in queries]
+            out += [(q, key, c, max(_LEAST, min(_MOST, -s))) for q, key, top in zip(ids.tolist(), keys, found, strict=True) for s, c in top]
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"])
 
     near = candidates.groupBy("row", "column").cogroup(questions.groupBy("row", "column"))
-    near = near.applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = near.applyInPandas(meet, "query_id long, query long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
