@@ -4,10 +4,11 @@ Writing: each task packs its rows, as 8-bit greyscale PNG images, into ZIP archi
 size in a shared folder. An archive is written under a hidden name and moved to a name made of
 its task and number, so a task that runs twice leaves one set of archives.
 
-Reading: the source `media_archive` lists the archives and plans byte ranges over them. A task
-reads the archive's directory, takes the members that begin in its range and streams their bytes
-through Arrow in bounded batches. Every member is read by its own offset, checked by its CRC and,
-if that fails, read again on its own from a newly opened file.
+Reading: the source `media_archive` lists the archives and plans byte ranges over them, several to
+a partition where there would be too many. A task reads the archive's directory, takes the members
+that begin in its range, reads them in a few large pieces and streams their bytes through Arrow in
+bounded batches. Every member is found by its own offset and checked by its CRC; one that fails is
+read again on its own from a newly opened file.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .shared import shared_dir, slices
 PAD, WIDTH = 255, 576
 #: An archive is closed beyond so many bytes or members.
 ARCHIVE_BYTES, ARCHIVE_MEMBERS = 64 << 20, 20_000
+#: Bytes that one read asks for, unless one member alone is larger; partitions of a read at most, about.
+READ_BYTES, PARTITIONS = 8 << 20, 50_000
 #: Bytes of payload in one Arrow batch, unless one member alone is larger.
 BATCH_BYTES = 4 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -137,28 +140,68 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "archive string, members long, bytes long")
 
 
-class ByteRange(InputPartition):
-    """The members of one archive that begin at offsets from `start` up to, not including, `end`."""
+def stored(piece: bytes, at: int, info: zipfile.ZipInfo) -> bytes:
+    """The bytes of the member that begins at `at` in a piece of its archive, checked."""
+    head = piece[at : at + 30]
+    if head[:4] != b"PK\x03\x04":
+        raise ValueError("no member begins here")
+    skip = at + 30 + sum(struct.unpack("<HH", head[26:30]))
+    data = piece[skip : skip + info.compress_size]
+    if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+        raise ValueError("damaged member")
+    return data
 
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+
+class ByteRanges(InputPartition):
+    """Byte ranges (archive, start, end): the members that begin at offsets from start up to, not including, end."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, split: int, tries: int, keep_errors: bool):
         self.path, self.split, self.tries, self.keep_errors = path, split, tries, keep_errors
 
-    def partitions(self) -> list[ByteRange]:
-        """Byte ranges of `split` bytes over all archives, hidden files left out."""
+    def partitions(self) -> list[ByteRanges]:
+        """Byte ranges of `split` bytes over all archives, hidden files left out.
+
+        Beyond PARTITIONS of them, ranges that follow each other share a partition.
+        """
         store, folder = pafs.FileSystem.from_uri(self.path)
         found = store.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True))
         ranges = [
-            ByteRange(f.path, at, at + self.split)
+            (f.path, at, at + self.split)
             for f in sorted(found, key=lambda f: f.path)
             if f.type == pafs.FileType.File and f.base_name.endswith(".zip") and f.base_name[0] not in "_."
             for at in range(0, max(1, f.size), self.split)
         ]
-        return ranges or [ByteRange("", 0, 0)]
+        together = max(1, -(-len(ranges) // PARTITIONS))
+        return [ByteRanges(ranges[i : i + together]) for i in range(0, len(ranges), together)] or [ByteRanges([])]
+
+    def members(self, store, archive: str, start: int, end: int) -> Iterator[tuple[zipfile.ZipInfo, bytes | None, str | None]]:
+        """The members of a range: directory entry, bytes and error. One open, and a few large reads, unless something fails."""
+        with store.open_input_file(archive) as f:
+            with zipfile.ZipFile(f) as directory:
+                infos = sorted(directory.infolist(), key=lambda i: i.header_offset)
+                ends = [*(i.header_offset for i in infos[1:]), directory.start_dir]
+            own = [(i, e) for i, e in zip(infos, ends, strict=True) if start <= i.header_offset < end]
+            at = 0
+            while at < len(own):
+                first = own[at][0].header_offset
+                last = at + 1
+                while last < len(own) and own[last][1] - first <= READ_BYTES:
+                    last += 1
+                try:
+                    piece = f.read_at(own[last - 1][1] - first, first)
+                except OSError:
+                    piece = b""
+                for info, _ in own[at:last]:
+                    try:
+                        yield info, stored(piece, info.header_offset - first, info), None
+                    except (struct.error, ValueError):
+                        yield info, *self.member(store, archive, info)
+                at = last
 
     def member(self, store, archive: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """Bytes of one stored member, found by its offset alone; each try opens the file anew."""
@@ -167,19 +210,14 @@ class ArchiveReader(DataSourceReader):
             try:
                 with store.open_input_file(archive) as f:
                     head = f.read_at(30, info.header_offset)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member begins here")
-                    skip = 30 + sum(struct.unpack("<HH", head[26:30]))
-                    data = f.read_at(info.compress_size, info.header_offset + skip)
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise ValueError("damaged member")
-                return data, None
-            except (OSError, ValueError) as e:
+                    rest = sum(struct.unpack("<HH", head[26:30])) + info.compress_size
+                    return stored(head + f.read_at(rest, info.header_offset + 30), 0, info), None
+            except (OSError, ValueError, struct.error) as e:
                 error = f"{type(e).__name__}: {e}"
                 time.sleep(0.05 * attempt)
         return None, error
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {"archive": [], "member": [], "offset": [], "media": [], "error": []}
         held = 0
 
@@ -192,15 +230,12 @@ class ArchiveReader(DataSourceReader):
                 column.clear()
             return made
 
-        if partition.archive:
-            store, _ = pafs.FileSystem.from_uri(self.path)
-            with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
-                infos = [i for i in archive.infolist() if partition.start <= i.header_offset < partition.end]
-            for info in infos:
-                data, error = self.member(store, partition.archive, info)
+        store, _ = pafs.FileSystem.from_uri(self.path)
+        for archive, start, end in partition.ranges:
+            for info, data, error in self.members(store, archive, start, end):
                 if error and not self.keep_errors:
-                    raise OSError(f"{partition.archive}, member at {info.header_offset}: {error}")
-                for name, value in zip(rows, (partition.archive, info.filename, info.header_offset, data, error), strict=True):
+                    raise OSError(f"{archive}, member at {info.header_offset}: {error}")
+                for name, value in zip(rows, (archive, info.filename, info.header_offset, data, error), strict=True):
                     rows[name].append(value)
                 held += len(data or b"")
                 if held >= BATCH_BYTES:

@@ -1,6 +1,8 @@
 """Media columns: exact round trips, byte ranges, and members that fail once or for good."""
 
 import hashlib
+import struct
+import zipfile
 import zlib
 from pathlib import Path
 
@@ -27,6 +29,87 @@ def test_payloads_come_back(docs):
     assert got == sorted(want, key=str)
 
 
+def plain_samples(image):
+    """The samples of a greyscale PNG, by the format's own description."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    width, height, depth, colour = struct.unpack(">IIBB", image[16:26])
+    assert (width, depth, colour) == (576, 8, 0)
+    at, packed = 8, b""
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        if image[at + 4 : at + 8] == b"IDAT":
+            packed += image[at + 8 : at + 8 + n]
+        at += n + 12
+    raw = zlib.decompress(packed)
+    assert len(raw) == height * 577 and all(raw[i * 577] == 0 for i in range(height))
+    return b"".join(raw[i * 577 + 1 : (i + 1) * 577] for i in range(height))
+
+
+def plain_feature(samples):
+    bins = [sum(b // 32 == k for b in samples) for k in range(8)]
+    n = len(samples) // 64
+    cells = [sum(samples[i * n : (i + 1) * n]) for i in range(64)]
+    bits = sum((64 * c >= sum(cells)) << (63 - i) for i, c in enumerate(cells))
+    return f"mean={sum(samples) * 1000 // len(samples)};bins={','.join(map(str, bins))};hash={bits:016x}"
+
+
+def test_stored_images_and_features_by_hand(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/a"
+    media.write_archives(docs.select("doc_id", "text"), path).collect()
+    found = {}
+    for archive in Path(tmp_path, "a").glob("*.zip"):
+        with zipfile.ZipFile(archive) as z:
+            found |= {hashlib.sha256(z.read(n)).hexdigest(): z.read(n) for n in z.namelist()}
+    for r in media.media_features(docs).collect():
+        image = found[r.media_sha256]
+        samples = plain_samples(image)
+        assert len(image) == r.media_bytes and hashlib.sha256(samples).hexdigest() == r.payload_sha256
+        assert r.feature == plain_feature(samples)
+
+
+def test_long_texts(spark):
+    text = "Ein langer Text, ganz gespeichert. ñ " * 60_000
+    (r,) = media.media_features(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    raw = text.encode()
+    assert r.n_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(raw + b"\xff" * (-len(raw) % 576)).hexdigest()
+
+
+class Counted:
+    """A file system that counts the files that it opens."""
+
+    def __init__(self, store):
+        self.store, self.opened = store, 0
+
+    def open_input_file(self, path):
+        self.opened += 1
+        return self.store.open_input_file(path)
+
+
+def test_a_range_is_read_with_one_open(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    path = f"file://{tmp_path}/a"
+    rows = spark.range(300).selectExpr("id AS doc_id", "repeat('text ', CAST(id AS INT)) AS text").coalesce(1)
+    media.write_archives(rows, path).collect()
+    reader = media.ArchiveReader(path, 1 << 30, 2, False)
+    (part,) = reader.partitions()
+    for most in (media.READ_BYTES, 2_000, 1):
+        monkeypatch.setattr(media, "READ_BYTES", most)
+        store = Counted(fs.LocalFileSystem())
+        got = [(i.filename, d, e) for i, d, e in reader.members(store, *part.ranges[0])]
+        assert store.opened == 1 and len(got) == 300 and all(e is None for _, _, e in got)
+        assert [media.from_image(d).rstrip(b"\xff").decode() for _, d, _ in got] == ["text " * k for k in range(300)]
+
+
+def test_many_ranges_share_partitions(spark, docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/a"
+    media.write_archives(docs.select("doc_id", "text").repartition(4), path).collect()
+    monkeypatch.setattr(media, "PARTITIONS", 3)
+    reader = media.ArchiveReader(path, 100, 2, False)
+    parts = reader.partitions()
+    assert len(parts) <= 4 and len([r for p in parts for b in reader.read(p) for r in b.to_pylist()]) == len(TEXTS)
+
+
 def test_empty_table(docs):
     assert media.media_features(docs.limit(0)).count() == 0
 
