@@ -20,12 +20,15 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe
 from .shared import shuffle_width, slices, staged
 
 #: Dimensions of the projection, and bits for each of them in the key.
 DIMENSIONS, BITS = 3, 10
+#: Ids in a partition, about.
+PARTITION = 1 << 24
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -173,5 +176,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, length: int = 1024, end_i
         seqs.close_all()
         yield seqs.batch()
 
-    ordered = stored.repartitionByRange(shuffle_width(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n", "ids")
+    # partitions of a bounded number of ids, however large the input; no fewer than the session deals to
+    ids = stored.agg(F.sum("n")).first()[0] or 0
+    width = max(shuffle_width(spark), -(-ids // PARTITION))
+    ordered = stored.repartitionByRange(width, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(run, PIECES)
