@@ -58,3 +58,32 @@ def test_run(spark, docs):
     assert set(tokens) == {r.doc_id for r in held.select("doc_id").collect()}
     assert all(tokens[r.doc_id] == r.doc_tokens for r in found)
     assert 0 < len(tokens) < docs.count()
+
+
+def write(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_with_nulls_and_repeated_rows(spark, docs, tmp_path):
+    """Rows that lack things go through every stage; the stages' decisions are as their docstrings say."""
+    plain = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.where("doc_id is not null").limit(120).collect()]
+    clean = "the house and the garden are here and the people of the town are there with the children"
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "x", 0), (None, clean, None, None, None), (10**6 + 2, clean, "en", None, 1), (10**6 + 2, clean, "en", None, 1)]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()]
+    write(spark, tmp_path, plain + odd, labels + [(None, None, None), (10**6, None, None)])
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, str(tmp_path))
+        kept[name] = [r.doc_id for r in held.collect()]
+    assert kept["toxicity"].count(10**6 + 2) == 2 and {None, 10**6, 10**6 + 1} <= set(kept["toxicity"])
+    assert not {10**6, 10**6 + 1} & set(kept["language"]) and kept["language"].count(10**6 + 2) == 2
+    assert kept["near_duplicates"].count(10**6 + 2) == 1 and None in kept["near_duplicates"]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(kept["near_duplicates"])
