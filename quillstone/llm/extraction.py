@@ -32,6 +32,8 @@ _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 def describe(node: dom.Node) -> list[str]:
     """Names of the features that a node has."""
     found = [f"tag={node.tag}"]
+    if not named(node):
+        found.append(f"bare={node.tag}")
     if node.attributes:
         for name in ("class", "id", "role"):
             if name in node.attributes.lower():
@@ -49,8 +51,33 @@ def describe(node: dom.Node) -> list[str]:
     return found
 
 
+def insides(nodes: list[dom.Node]) -> list[list[str]]:
+    """For each node names for how much text its subtree holds, and how much of that is links."""
+    size, linked = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
+        size[i] += sum(len(t.strip()) for _, t in nodes[i].text)
+        linked[i] += nodes[i].linked
+        if nodes[i].parent >= 0:
+            size[nodes[i].parent] += size[i]
+            linked[nodes[i].parent] += linked[i]
+    whole = max(1, size[0]) if nodes else 1
+    return [
+        [f"inside={sum(n >= k for k in (1, 40, 150, 600))}", f"inlinks={sum(m > k * n for k in (0.0, 0.3, 0.7))}", f"share={sum(n > k * whole for k in (0.02, 0.1, 0.3, 0.6))}"]
+        for n, m in zip(size, linked, strict=True)
+    ]
+
+
+def named(node: dom.Node) -> bool:
+    """Whether a class, id or role says something about the node."""
+    return any(f"{name}=" in node.attributes.lower() for name in ("class", "id", "role"))
+
+
+#: Kinds of children that edges tell apart.
+KINDS = 4
+
+
 def kind(node: dom.Node) -> int:
-    return 0 if node.tag in TEXTUAL else 1 if node.tag in SECTIONS else 2
+    return 0 if node.tag in TEXTUAL else 1 if node.tag in SECTIONS else 2 + named(node)
 
 
 @dataclass
@@ -68,8 +95,9 @@ def forest(pages: list[list[dom.Node]], number: dict[str, int], learn: bool = Fa
     """Lay pages out; with `learn`, names of features get numbers, else unknown names are left out."""
     features, owner, parent, kinds, depth, base = [], [], [], [], [], 0
     for nodes in pages:
+        whole = insides(nodes)
         for i, node in enumerate(nodes):
-            for name in describe(node):
+            for name in describe(node) + whole[i]:
                 k = number.setdefault(name, len(number)) if learn else number.get(name)
                 if k is not None:
                     features.append(k)
@@ -122,17 +150,17 @@ def fit(pages: list[tuple[list[dom.Node], list[int]]], rounds: int = 250, ridge:
     number: dict[str, int] = {}
     f = forest([nodes for nodes, _ in pages], number, learn=True)
     y = np.array([v for _, labels in pages for v in labels])
-    model = Model(number, np.zeros(len(number)), np.zeros((3, 2, 2)))
+    model = Model(number, np.zeros(len(number)), np.zeros((KINDS, 2, 2)))
     inner = np.flatnonzero(f.parent >= 0)
     seen_unary = np.bincount(f.features, y[f.owner], len(number))
-    seen_edge = np.zeros((3, 2, 2))
+    seen_edge = np.zeros((KINDS, 2, 2))
     np.add.at(seen_edge, (f.kinds[inner], y[f.parent[inner]], y[inner]), 1)
-    scale, memory = 1 / np.sqrt(len(y)), [np.zeros(len(number)), np.zeros((3, 2, 2))]
+    scale, memory = 1 / np.sqrt(len(y)), [np.zeros(len(number)), np.zeros((KINDS, 2, 2))]
     for _ in range(rounds):  # steps of their own size for each weight, from the squares of past gradients
         own, both = model.beliefs(f)
         gradients = [
             seen_unary - np.bincount(f.features, own[f.owner, 1], len(number)) - ridge * model.unary,
-            seen_edge - np.stack([both[inner][f.kinds[inner] == k].sum(axis=0) for k in range(3)]) - ridge * model.edge,
+            seen_edge - np.stack([both[inner][f.kinds[inner] == k].sum(axis=0) for k in range(KINDS)]) - ridge * model.edge,
         ]
         for weights, g, m in zip((model.unary, model.edge), gradients, memory, strict=True):
             m += np.square(g * scale)
@@ -141,7 +169,7 @@ def fit(pages: list[tuple[list[dom.Node], list[int]]], rounds: int = 250, ridge:
 
 
 @functools.cache
-def default_model(pages: int = 240, seed: int = 1) -> Model:
+def default_model(pages: int = 480, seed: int = 1) -> Model:
     """The model fitted on the package's own labelled pages."""
     return fit(labelled_pages(pages, seed))
 

@@ -1,8 +1,10 @@
 """Labelled web pages to train the extraction model on, made by rule.
 
-A page is drawn from a grammar of layouts: an article in one of several containers, surrounded
-by and sometimes interleaved with menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments. Each element of the grammar says whether its text is content.
+A page is drawn from a grammar of layouts: an article in one of several containers, which may
+have no name, one that says nothing, or may be the page's body itself, surrounded by and sometimes
+interleaved with menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+Each element of the grammar says whether its text is content. An article's own header, with its
+heading and byline, is.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ COMMENT = ["comments", "comment", "comment-list", "reply", "disqus", "responses"
 FOOTER = ["footer", "site-footer", "copyright", "bottom", "colophon", "legal"]
 HEADER = ["header", "masthead", "top", "site-header", "logo", "branding"]
 SHARE = ["share", "social", "share-buttons", "tags", "follow"]
+BYLINE = ["byline", "author", "meta", "date", "entry-meta", "published"]
+TOP = ["entry-header", "post-header", "article-header"]
+PLAIN = ["wrapper", "container", "page", "layout", "row", "inner", "col", "site", "wrap"]
 FORM = ["form", "search", "newsletter", "subscribe", "signup", "login", "contact-form"]
 
 
@@ -46,7 +51,7 @@ class Maker:
 
     def tag(self, name: str, inner: str, y: int, names: list[str] | None = None) -> str:
         r, extra = self.rng, ""
-        if names and r.random() < 0.9:
+        if names and r.random() < 0.96:
             extra = f' {r.choice(["class", "class", "id"])}="{r.choice(names)}"'
         return f'<{name}{extra} {_MARK}="{y}">{inner}</{name}>'
 
@@ -91,10 +96,14 @@ class Maker:
     def body(self) -> str:
         """The blocks of an article, now and then with something foreign between them."""
         r, out = self.rng, []
-        if r.random() < 0.75:
-            out.append(self.tag(r.choice(["h1", "h1", "h2"]), self.words(2, 12), 1))
+        if r.random() < 0.8:
+            heading = self.tag(r.choice(["h1", "h1", "h2"]), self.words(2, 12), 1)
+            if r.random() < 0.3:
+                heading += self.tag(r.choice(["p", "div"]), self.words(1, 8), 1, r.choice([None, BYLINE]))
+            out.append(self.tag("header", heading, 1, r.choice([None, TOP])) if r.random() < 0.25 else heading)
         short = r.random() < 0.3  # some articles are all short lines, or one line many times
         line = self.words(1, 4)
+        block = r.choice(["p"] * 6 + ["div"])  # what holds a paragraph
         for _ in range(r.randint(1, r.choice([10, 60]) if short else 7)):
             p = r.random()
             text = r.choice([line, self.words(1, 6)]) if short else self.words(1, 120)
@@ -107,7 +116,7 @@ class Maker:
             if r.random() < 0.2:
                 text = "<b>" + text
             if p < 0.75:
-                out.append(self.tag("p", text, 1))
+                out.append(self.tag(block, text, 1))
             elif p < 0.82:
                 out.append(self.tag(r.choice(["h2", "h3"]), self.words(1, 8), 1))
             elif p < 0.88:
@@ -121,11 +130,14 @@ class Maker:
                 out.append(self.tag("div", text, 1))
             if r.random() < 0.08:
                 out.append(self.noise())
+        if len(out) > 2 and r.random() < 0.15:  # in parts
+            name, cut = r.choice(["section", "div"]), sorted(r.sample(range(1, len(out)), min(len(out) - 1, r.randint(1, 2))))
+            out = [self.tag(name, "".join(out[i:k]), 1) for i, k in zip([0, *cut], [*cut, len(out)], strict=True)]
         return "".join(out)
 
     def page(self) -> str:
         r, body = self.rng, self.body()
-        layout = r.randrange(6)
+        layout = r.randrange(11)
         if layout <= 1:
             main = self.tag("article", body, 1, r.choice([None, None, CONTENT]))
         elif layout == 2:
@@ -134,12 +146,21 @@ class Maker:
             main = self.tag("div", body, 1, CONTENT)
         elif layout == 4:
             main = self.tag("main", self.tag("article", body, 1), 0)
-        else:
+        elif layout == 5:
             main = self.tag("section", body, 1, CONTENT)
+        elif layout <= 7:
+            main = self.tag(r.choice(["div", "div", "section"]), body, 1)
+        elif layout == 8:
+            main = self.tag("div", body, 1, [*PLAIN, "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 6)))])
+        elif layout == 9:
+            main = body  # in the page's body, or in the whole of the document
+        else:
+            cells = self.tag("td", body, 1) + self.tag("td", self.links(), 0, r.choice([None, SIDE])) * r.randint(0, 1)
+            main = self.tag("table", self.tag("tr", cells, 0), 0)
         if r.random() < 0.15:  # the article alone
-            return main
-        if r.random() < 0.3:
-            main = self.tag("div", main, 0, ["wrapper", "container", "page", "layout", "row"])
+            return self.tag("body", main, 1) if layout == 9 else main
+        while layout != 9 and r.random() < 0.35:
+            main = self.tag("div", main, 0, r.choice([None, PLAIN]))
         top = self.tag("header", self.tag(r.choice(["div", "p", "h2"]), self.words(1, 5), 0) + r.choice(["", self.links()]), 0, r.choice([None, HEADER])) if r.random() < 0.5 else ""
         if r.random() < 0.2:
             top += self.tag("div", r.choice([self.words(1, 8), self.links()]), 0, HEADER)
@@ -147,7 +168,7 @@ class Maker:
         after = "".join(self.noise() for _ in range(r.randint(0, 3)))
         sign = r.choice(["&copy; ", "&copy; ", "", "© "]) + self.words(2, 25)
         end = self.tag("footer", r.choice([sign, self.tag("p", sign, 0), self.links()]), 0, r.choice([None, FOOTER])) if r.random() < 0.8 else self.tag("div", sign, 0, FOOTER)
-        return f'<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body {_MARK}="0">{top}{before}{main}{after}{end}</body></html>'
+        return f'<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body {_MARK}="{int(layout == 9)}">{top}{before}{main}{after}{end}</body></html>'
 
 
 def labels(nodes: list[dom.Node]) -> list[int]:

@@ -1,0 +1,54 @@
+"""Thirty pages written by hand, apart from the grammar of labelled pages, and their main texts.
+
+Two of them showed layouts that the grammar lacked and now draws: paragraphs in plain divs, and an
+article in parts.
+"""
+
+A = "The river rose again on Monday, and the council asked people to leave the lower streets."
+B = "Engineers said the old wall would hold for two more days, but nobody seemed to believe them."
+C = "By evening the water had reached the market. Shops closed early, and the school took in forty families."
+D = "It was the third flood in six years, and the first since the new pumps were bought."
+H = "River rises again"
+TEXT = f"{H} {A} {B} {C}"
+P = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+BODY = f"<h1>{H}</h1>{P}"
+MENU = "<ul><li><a href=/>Home</a><li><a href=/news>News</a><li><a href=/sport>Sport</a><li><a href=/mail>Mail</a></ul>"
+END = "<footer>&copy; 2024 The Daily Page. All rights reserved.</footer>"
+
+
+def whole(inside: str) -> str:
+    return f"<!doctype html><html><head><title>{H} - Daily Page</title><style>p {{ color: red }}</style></head><body>{inside}</body></html>"
+
+
+PAGES = {
+    "unnamed container": (whole(f"<nav>{MENU}</nav><div>{BODY}</div>{END}"), TEXT),
+    "bare body": (whole(f"<nav>{MENU}</nav>{BODY}{END}"), TEXT),
+    "bare body alone": (whole(BODY), TEXT),
+    "byline in a header": (whole(f"<nav>{MENU}</nav><article><header><h1>{H}</h1><p>By Ann Smith</p></header>{P}</article>{END}"), f"{H} By Ann Smith {A} {B} {C}"),
+    "grid of numbers": (whole(f'<div class="r12"><div class="c3"><nav>{MENU}</nav></div><div class="c9">{BODY}</div></div>{END}'), TEXT),
+    "deep wrappers": (whole(f"<div><div><div><div>{BODY}</div></div></div></div>{END}"), TEXT),
+    "hashed names": (whole(f'<div class="css-1x9k2"><div class="css-77ab">{BODY}</div></div><div class="cookie-consent"><p>We use cookies to improve this site.</p></div>'), TEXT),
+    "table layout": (whole(f"<table><tr><td><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></td><td>{BODY}</td></tr></table>"), TEXT),
+    "menu in a list": (whole(f'{MENU}<div id="x">{BODY}</div>'), TEXT),
+    "sidebar after": (whole(f'<div>{BODY}</div><aside><h3>Most read</h3>{MENU}</aside>{END}'), TEXT),
+    "advert between": (whole(f'<div><h1>{H}</h1><p>{A}</p><div class="ad-slot">Buy shoes now, half price!</div><p>{B}</p><p>{C}</p></div>{END}'), TEXT),
+    "comments below": (whole(f'<div>{BODY}</div><section id="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with any of this, sorry.</p></div><div class="comment"><p>Well said.</p></div></section>'), TEXT),
+    "form below": (whole(f'{BODY}<form action="/s"><label>Your e-mail</label><input name=e><button>Subscribe</button></form>'), TEXT),
+    "main without article": (whole(f"<header><a href=/>The Daily Page</a></header><main>{BODY}</main>{END}"), TEXT),
+    "role main": (whole(f'<div role="navigation">{MENU}</div><div role="main">{BODY}</div><div role="contentinfo">Contact us at the office.</div>'), TEXT),
+    "sections of an article": (whole(f"<article><section><h1>{H}</h1><p>{A}</p></section><section><p>{B}</p><p>{C}</p></section></article>{END}"), TEXT),
+    "subheadings": (whole(f"<div><h1>{H}</h1><p>{A}</p><h2>The wall</h2><p>{B}</p><h2>The market</h2><p>{C}</p></div>{END}"), f"{H} {A} The wall {B} The market {C}"),
+    "list inside": (whole(f"<nav>{MENU}</nav><div><h1>{H}</h1><p>{A}</p><ul><li>{B}</li><li>{C}</li></ul></div>"), TEXT),
+    "quote inside": (whole(f"<nav>{MENU}</nav><div><h1>{H}</h1><p>{A}</p><blockquote><p>{B}</p></blockquote><p>{C}</p></div>"), TEXT),
+    "links inside": (whole(f'<nav>{MENU}</nav><div><h1>{H}</h1><p>{A.replace("council", "<a href=/c>council</a>")}</p><p>{B}</p><p>{C}</p></div>'), TEXT),
+    "share bar": (whole(f'<div><h1>{H}</h1><div class="share-buttons"><a href=/f>Share</a> <a href=/m>Send</a></div>{P}</div>'), TEXT),
+    "breadcrumb": (whole(f'<div class="breadcrumbs"><a href=/>Home</a> &gt; <a href=/n>News</a></div><div>{BODY}</div>'), TEXT),
+    "paywall notice": (whole(f'<div>{BODY}</div><div class="paywall">Subscribe to read more stories like this.</div>'), TEXT),
+    "two columns": (whole(f'<div class="container"><div class="left"><aside>{MENU}</aside></div><div class="middle">{BODY}</div></div>{END}'), TEXT),
+    "related after": (whole(f'<article>{BODY}</article><section class="related"><h3>Read on</h3><ul><li><a href=/1>Rain for the week</a></li><li><a href=/2>Bridge closed</a></li></ul></section>'), TEXT),
+    "figure": (whole(f"<nav>{MENU}</nav><div><h1>{H}</h1><figure><img src=x><figcaption>{D}</figcaption></figure>{P}</div>"), f"{H} {D} {A} {B} {C}"),
+    "divs for paragraphs": (whole(f"<nav>{MENU}</nav><div><h1>{H}</h1><div>{A}</div><div>{B}</div><div>{C}</div></div>{END}"), TEXT),
+    "breaks for paragraphs": (whole(f"<nav>{MENU}</nav><div><h1>{H}</h1>{A}<br><br>{B}<br><br>{C}</div>{END}"), TEXT),
+    "upper case tags": (whole(f"<NAV>{MENU}</NAV><DIV>{BODY.upper().replace(H.upper(), H).replace(A.upper(), A).replace(B.upper(), B).replace(C.upper(), C)}</DIV>"), TEXT),
+    "no html element": (f"<h1>{H}</h1>{P}", TEXT),
+}
