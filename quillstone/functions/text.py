@@ -9,18 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..settings import LIGATURES, LINE_BREAK
+from ..settings import EXOTIC_SPACES, FOOTERS, LIGATURES, LINE_BREAK, LINE_BREAK_CHARACTERS
 
-_EXOTIC = r"[\u00A0\u2007\u202F\u2009\u200A]"
 #: White space at either end, Unicode's and the separators U+001C to U+001F included.
 _SPACE = r"[\s\x1c-\x1f\x85]"
-FOOTERS = (
-    r"(?iuUd)^\s*Page\s+\d+\s*(of\s+\d+)?\s*$",
-    r"(?Ud)^\s*\d+\s*$",
-    r"(?Ud)^\s*[-–—]\s*\d+\s*[-–—]\s*$",
-    r"(?iuUd)^\s*CONFIDENTIAL\s*$",
-    r"(?iuUd)^\s*DRAFT\s*$",
-)
 
 
 def strip(text: Column) -> Column:
@@ -47,17 +39,20 @@ def join_hyphenated(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Exotic spaces go inside words and become spaces elsewhere; runs of white space shrink."""
-    text = F.regexp_replace(text, rf"(?U)(?<=\w){_EXOTIC}(?=\w)", "")
-    text = F.regexp_replace(text, _EXOTIC, " ")
+    text = F.regexp_replace(text, rf"(?U)(?<=\w){EXOTIC_SPACES}(?=\w)", "")
+    text = F.regexp_replace(text, EXOTIC_SPACES, " ")
     for pattern, written in ((r"[ \t]+", " "), (r" +\n", "\n"), (r"\n{3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, written)
     return strip(text)
 
 
 def lines(text: Column) -> Column:
-    """The lines of a text; a line end at the very end begins no further line."""
-    found = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    """The lines of a text; a line end at the very end begins no further line.
+
+    `text` is mentioned once, as Spark works out an expression again for every mention.
+    """
+    inner = rf"[^{LINE_BREAK_CHARACTERS}]"
+    return F.regexp_extract_all(text, F.lit(rf"({inner}++)(?:{LINE_BREAK}|\z)|(?:{LINE_BREAK})"), F.lit(1))
 
 
 def line_key(line: Column) -> Column:
@@ -98,6 +93,12 @@ def initials(name: Column) -> Column:
     return F.upper(F.coalesce(ends, F.when(F.size(words) == 1, F.substring(words[0], 1, 2)), F.lit("?")))
 
 
+def shown_date(iso: Column) -> Column:
+    """A time in ISO form (UTC) as "Mar 5, 2024"; a dash for none, and what is no time as it is."""
+    at = F.try_to_timestamp(F.regexp_replace(iso, "Z$", ""))
+    return F.when(F.coalesce(iso, F.lit("")) == "", "—").otherwise(F.coalesce(F.date_format(at, "MMM d, yyyy"), iso))
+
+
 def truncated(text: Column, most: int) -> Column:
     """The first `most` characters and an ellipsis, if there are more."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)

@@ -11,17 +11,22 @@ from ..settings import DEFAULT, Settings
 
 
 def repeated_lines(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(doc_id, line) for lines that are on enough pages of a document of two pages or more.
+    """(doc_id, line) of `repeated_line_counts`."""
+    return repeated_line_counts(pages, settings).select("doc_id", "line")
+
+
+def repeated_line_counts(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(doc_id, line, on) for lines that are on enough pages of a document of two pages or more.
 
     `pages` has doc_id, page_number, text. A line counts once a page, by its key; keys of two
     characters or less never repeat. The share asked for is `min_page_fraction`, and at least
-    `min_repeat_pages` pages.
+    `min_repeat_pages` pages; `on` is how many it is on.
     """
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages")).where("n_pages >= 2")
     keys = pages.select("doc_id", "page_number", F.explode(F.array_distinct(F.transform(T.lines(F.col("text")), T.line_key))).alias("line"))
     per_line = keys.where(F.length("line") > 2).groupBy("doc_id", "line").agg(F.count_distinct("page_number").alias("on"))
     enough = (F.col("on") >= F.col("n_pages") * settings.min_page_fraction) & (F.col("on") >= settings.min_repeat_pages)
-    return per_line.join(counts, "doc_id").where(enough).select("doc_id", "line")
+    return per_line.join(counts, "doc_id").where(enough).select("doc_id", "line", "on")
 
 
 def clean_documents(docs: DataFrame, pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

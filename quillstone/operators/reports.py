@@ -144,6 +144,12 @@ def classification_stats(clauses: DataFrame) -> DataFrame:
     )
 
 
+def frequent_labels(clauses: DataFrame, n: int = 10) -> DataFrame:
+    """The labels of most clauses: label, n."""
+    counts = clauses.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
+    return top(counts, n, F.desc("n"), "label", by=None)
+
+
 def evaluation(answered: DataFrame, expected: str = "expected_label") -> DataFrame:
     """Share of rows whose expected label comes first, and among the first three."""
     labels = F.transform(F.slice("top_k", 1, 3), lambda x: x["label"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import DEFAULT, LABEL_CATEGORY, LABEL_MULTIPLIER, STRUCTURAL_ROLES, TAG_CATEGORY, Settings
+from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, STRUCTURAL_ROLES, TAG_CATEGORY, Settings
 
 
 def lexicon_hits(text: Column, settings: Settings = DEFAULT) -> Column:
@@ -29,6 +29,11 @@ def lexicon_hits(text: Column, settings: Settings = DEFAULT) -> Column:
     return F.coalesce(found, F.array().cast("array<struct<weight:double,tag:string>>"))
 
 
+def with_hits(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """`clauses` with a column `hits`, which others may mention often: its patterns run once a clause."""
+    return clauses.select("*", F.explode(F.array(lexicon_hits(F.col("text"), settings))).alias("hits"))
+
+
 def language_score(hits: Column) -> Column:
     """The largest weight and two fifths of all others, at most 1."""
     weights = F.reverse(F.array_sort(F.transform(hits, lambda h: h["weight"])))
@@ -78,27 +83,30 @@ def percent(x: Column) -> Column:
 
 def hint_of(label: Column, level: Column, s: dict[str, Column]) -> Column:
     """A sentence of the reasons behind a score, joined by dashes."""
-    unsure = F.concat(F.lit("classifier uncertain (conf="), percent(s["confidence"]), F.lit(")"))
+
+    def said(name: str, value: Column | None = None) -> Column:
+        before, _, after = HINTS[name].partition("{}")
+        return F.lit(before) if value is None else F.concat(F.lit(before), value, F.lit(after))
+
     form = s["placeholder"]
     raised = ~form & (s["override"] != "")
     floor = ~form & ~raised & s["floor"] & (F.size(s["tags"]) == 0)
     plain = ~form & ~raised & ~floor
+    named = label.isNotNull() & (label != "")
     away = percent(s["deviation"])
     parts = [
-        F.when(label.isNotNull() & (label != ""), F.concat(F.lit("'"), label, F.lit("' clause"))).otherwise("Unlabeled clause"),
-        F.when(level == "high", "HIGH RISK").when(level == "medium", "moderate risk"),
-        F.when(F.size(s["tags"]) > 0, F.concat(F.lit("risky language: "), F.array_join(s["tags"], ", "))),
-        F.when(s["override"] != "", F.concat(F.lit("score floored by substantive-risk override ("), s["override"], F.lit(")"))),
-        F.when(form, "form-field clause (mostly placeholders)"),
-        F.when(floor, F.concat(unsure, F.lit(" — no risky language detected"))),
-        F.when((raised | plain) & (s["confidence"] < 0.5), unsure),
-        F.when(plain & (s["deviation"] > 0.55), F.concat(F.lit("significantly different from standard ("), away, F.lit(" deviation)"))).when(
-            plain & (s["deviation"] > 0.35), F.concat(F.lit("somewhat different from standard ("), away, F.lit(" deviation)"))
-        ),
-        F.when(plain & (s["mismatch"] > 0), "classifier and reference-bank disagree"),
-        F.when(plain & (s["short"] > 0), "short clause (fragment)"),
+        F.when(named, said("label", label)).otherwise(said("unlabelled")),
+        F.when(level == "high", said("high")).when(level == "medium", said("medium")),
+        F.when(F.size(s["tags"]) > 0, said("tags", F.array_join(s["tags"], ", "))),
+        F.when(s["override"] != "", said("override", s["override"])),
+        F.when(form, said("form")),
+        F.when(floor, said("floor", percent(s["confidence"]))),
+        F.when((raised | plain) & (s["confidence"] < 0.5), said("unsure", percent(s["confidence"]))),
+        F.when(plain & (s["deviation"] > 0.55), said("far", away)).when(plain & (s["deviation"] > 0.35), said("off", away)),
+        F.when(plain & (s["mismatch"] > 0), said("mismatch")),
+        F.when(plain & (s["short"] > 0), said("short")),
     ]
-    return F.array_join(F.array_compact(F.array(*parts)), " — ")
+    return F.array_join(F.array_compact(F.array(*parts)), HINTS["between"])
 
 
 def score(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -146,7 +154,7 @@ def score(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         either(F.lit(0.0), F.round(c("_score"), 4)).alias("score"),
         either(F.lit("low"), c("_level")).alias("level"),
         either(none, categories_of(c("label"), c("_level"), c("_tags"), ambiguous, settings)).alias("categories"),
-        either(F.concat(F.lit("Structural clause ("), c("structural_role"), F.lit("); not scored for semantic risk.")), hint_of(c("label"), c("_level"), signals)).alias("hint"),
+        either(F.concat(*[c("structural_role") if x is None else F.lit(x) for x in (HINTS["structural"].split("{}")[0], None, HINTS["structural"].split("{}")[1])]), hint_of(c("label"), c("_level"), signals)).alias("hint"),
         F.struct(
             either(F.lit(1.0), c("_confidence")).alias("classifier_confidence"),
             either(F.lit(0.0), c("_deviation")).alias("deviation_from_reference"),

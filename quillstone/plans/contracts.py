@@ -57,6 +57,85 @@ CLAUSES = f"""
 """
 
 
+#: Contracts that meet every marker pattern, an overlap, a fragment and three levels. A line holds the
+#: order's key ({k}) or customer ({c}).
+MARKED = (
+    "BY AND BETWEEN the buyer {c} and the seller that is named below.",
+    "RECITALS of the parties to this agreement follow here.",
+    "WHEREAS the buyer wishes to buy goods under order {k}",
+    "WITNESSETH that the parties have agreed to all of this",
+    "NOW, THEREFORE the parties agree on the terms that follow",
+    "ARTICLE IV General terms that govern all of the deliveries",
+    "Section 2.1 Deliveries are made to the address of buyer {c}",
+    "Clause 3 Risk passes to the buyer when goods are delivered",
+    "1. The price of order {k} is due when goods are delivered",
+    "1.1 Payment is made within thirty days of the invoice date",
+    "1.1.1 Late payment bears interest for every day of delay",
+    "(iv) interest is charged on the whole amount that is open",
+    "(b) the seller may stop deliveries until payment is made",
+    "(c) goods stay property of the seller until they are paid",
+    "IX. The seller answers for defects for one year only",
+    "d. Defects are notified in writing within eight days",
+    "(e) and so on;",
+    "3. Notices are sent to the addresses given at the beginning",
+    "4. (ii) the parties keep each other informed about order {k}",
+    "4.1 (a) both parties may end the agreement within a month",
+    "5. What remains open … is settled by the parties in good faith",
+    "IN WITNESS WHEREOF the parties have signed order {k}",
+)
+#: What segmentation makes of them: text (or a line's number), level, parent, children, number, role.
+#: A fragment joins the clause before it; of markers close to each other the more specific one
+#: stays; after the ellipsis positions are two further on.
+MARKED_CLAUSES = (
+    (0, 1, None, "", None, "PARTIES"),
+    (1, 1, None, "", None, "RECITAL"),
+    (2, 1, None, "", None, "RECITAL"),
+    (3, 1, None, "", None, "RECITAL"),
+    (4, 1, None, "", None, "RECITAL"),
+    (5, 1, None, "", "ARTICLE IV", "CLAUSE"),
+    (6, 1, None, "", "Section 2.1", "CLAUSE"),
+    (7, 1, None, "", "Clause 3", "CLAUSE"),
+    (8, 1, None, "9,12,13,14,15", "1", "CLAUSE"),
+    (9, 2, 8, "10,11", "1.1", "SUBCLAUSE"),
+    (10, 3, 9, "", "1.1.1", "SUBCLAUSE"),
+    (11, 3, 9, "", "(iv)", "SUBCLAUSE"),
+    (12, 2, 8, "", "(b)", "SUBCLAUSE"),
+    (13, 2, 8, "", "(c)", "SUBCLAUSE"),
+    (14, 2, 8, "", "IX", "SUBCLAUSE"),
+    (MARKED[15] + "\n" + MARKED[16], 2, 8, "", "d.", "SUBCLAUSE"),
+    (MARKED[17] + "\n4.", 1, None, "17,18", "3", "CLAUSE"),
+    (MARKED[18].removeprefix("4. "), 3, 16, "", "(ii)", "SUBCLAUSE"),
+    (19, 2, 16, "", "4.1", "SUBCLAUSE"),
+    (MARKED[20] + "\nIN", 1, None, "", "5", "CLAUSE"),
+    (MARKED[21].removeprefix("IN "), 1, None, "", None, "SIGNATURE"),
+)
+
+
+def filled(text: str) -> str:
+    """SQL for a text of MARKED with its values put in."""
+    sql = "'" + text.replace("{k}", "' || CAST(o_orderkey AS VARCHAR(20)) || '").replace("{c}", "' || CAST(o_custkey AS VARCHAR(20)) || '") + "'"
+    return sql.replace("\n", "' || chr(10) || '")
+
+
+MARKED_SQL = f"SELECT o_orderkey AS doc_id, {filled(chr(10).join(MARKED))} AS text FROM orders"
+_ROW = lambda i, text, level, parent, children, number, role: (
+    f"SELECT o_orderkey AS doc_id, {i} AS clause_id, {filled(MARKED[text] if isinstance(text, int) else text)} AS text, {level} AS level, "
+    f"CAST({'NULL' if parent is None else parent} AS INTEGER) AS parent_id, '{children}' AS child_ids, {'NULL' if number is None else repr(number)} AS number, "
+    f"'{role}' AS structural_role, '{'number' if number else 'structural'}' AS boundary_kind FROM orders"
+)
+#: One row for each clause that is expected; offsets are where its text stands.
+MARKED_CLAUSES_SQL = f"""
+  SELECT c.*, CAST(strpos(d.text, c.text) - 1 AS INTEGER) AS char_start, CAST(strpos(d.text, c.text) - 1 + length(c.text) AS INTEGER) AS char_end
+  FROM ({" UNION ALL ".join(_ROW(i, *c) for i, c in enumerate(MARKED_CLAUSES))}) c JOIN ({MARKED_SQL}) d USING (doc_id)
+"""
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a contract of MARKED for each order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spark.sql(f"WITH orders AS (SELECT * FROM {{orders}}) {MARKED_SQL}", orders=orders)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(f"WITH lineitem AS (SELECT * FROM {{items}}) {LINES}", items=lineitem)

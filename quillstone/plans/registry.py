@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classification, cleaning, explanation, reports, scoring, segmentation, vectors
-from ..settings import LABEL_CATEGORY, LABEL_MULTIPLIER, LEXICON, TAG_CATEGORY
+from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, LEXICON, TAG_CATEGORY
 from ..streaming import ingest
 from . import analysis, contracts
 
@@ -96,6 +96,32 @@ SCORED_SQL = f"""
 _SCORED = f"WITH scored AS ({SCORED_SQL})"
 
 
+def _said(name: str, value: str | None = None) -> str:
+    before, _, after = HINTS[name].replace("'", "''").partition("{}")
+    return f"'{before}'" if value is None else f"'{before}' || {value} || '{after}'"
+
+
+_PER_CENT = lambda x: f"CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
+_PARTS = (
+    f"CASE WHEN coalesce(label, '') <> '' THEN {_said('label', 'label')} ELSE {_said('unlabelled')} END",
+    f"CASE risk_level WHEN 'high' THEN {_said('high')} WHEN 'medium' THEN {_said('medium')} END",
+    f"CASE WHEN len(tags) > 0 THEN {_said('tags', 'array_to_string(tags, CHR(44) || CHR(32))')} END",
+    f"CASE WHEN override <> '' THEN {_said('override', 'override')} END",
+    f"CASE WHEN form THEN {_said('form')} END",
+    f"CASE WHEN NOT form AND override = '' AND confidence < 0.25 AND len(tags) = 0 THEN {_said('floor', _PER_CENT('confidence'))} END",
+    f"CASE WHEN NOT form AND NOT (override = '' AND confidence < 0.25 AND len(tags) = 0) AND confidence < 0.5 THEN {_said('unsure', _PER_CENT('confidence'))} END",
+    f"CASE WHEN plain AND deviation > 0.55 THEN {_said('far', _PER_CENT('deviation'))} WHEN plain AND deviation > 0.35 THEN {_said('off', _PER_CENT('deviation'))} END",
+    f"CASE WHEN plain AND mismatch > 0 THEN {_said('mismatch')} END",
+    f"CASE WHEN plain AND short > 0 THEN {_said('short')} END",
+)
+#: `scored` with the sentence of reasons.
+HINTED_SQL = f"""
+  SELECT *, CASE WHEN skipped THEN {_said("structural", "structural_role")}
+                 ELSE array_to_string(list_filter([{", ".join(_PARTS)}], lambda x: x IS NOT NULL), '{HINTS["between"]}') END AS hint
+  FROM (SELECT *, NOT form AND override = '' AND NOT (confidence < 0.25 AND len(tags) = 0) AS plain FROM scored) s
+"""
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(contracts.clauses(spark, sf_dir))
 
@@ -115,7 +141,7 @@ def _flat(scored: DataFrame, *columns: str) -> DataFrame:
 def flagship_contract_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts as text, segmented, their risky wording scored, counted per contract."""
     clauses = segmentation.segment(contracts.documents(spark, sf_dir))
-    worded = clauses.withColumn("w", scoring.language_score(scoring.lexicon_hits(F.col("text"))))
+    worded = scoring.with_hits(clauses).withColumn("w", scoring.language_score(F.col("hits")))
     return worded.groupBy("doc_id").agg(
         F.count("*").alias("total_clauses"),
         F.count_if(F.col("w") >= 0.85).alias("high"),
@@ -135,13 +161,20 @@ def segment_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "clause_id", "char_start", "char_end", "level", "number", "structural_role", "text", "parent_id")
 
 
+@query(contracts.MARKED_CLAUSES_SQL)
+def segment_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of contracts that meet every marker pattern, an overlap, a fragment, an ellipsis and three levels."""
+    found = segmentation.segment(contracts.marked(spark, sf_dir))
+    return found.withColumn("child_ids", F.array_join(F.col("child_ids").cast("array<string>"), ","))
+
+
 @query("SELECT count(DISTINCT l_orderkey) AS n_documents, count(*) AS n_clauses, 0 AS n_wrong FROM lineitem")
 def offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many clauses there are, and how many differ from the text at their offsets."""
     docs = contracts.documents(spark, sf_dir)
-    clauses = segmentation.segment(docs)
-    wrong = segmentation.offset_audit(clauses, docs).agg(F.count("*").cast("int").alias("n_wrong"))
-    return clauses.agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_clauses")).crossJoin(wrong)  # one row each
+    checked = segmentation.with_offsets_checked(segmentation.segment(docs), docs)
+    per_document = checked.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("offsets_hold")).alias("wrong"))
+    return per_document.agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_clauses"), F.sum("wrong").cast("int").alias("n_wrong"))
 
 
 @query(f"""
@@ -183,7 +216,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score, hint FROM ({HINTED_SQL}) h")
 def risk_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of reasons of every clause."""
     return _flat(_scored(spark, sf_dir).withColumn("hint", F.col("risk.hint")), "hint")
@@ -229,7 +262,8 @@ def clause_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.clause_types(_scored(spark, sf_dir), 3)
 
 
-@query()
+@query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score, hint[1:300] AS why FROM ({HINTED_SQL}) h WHERE risk_level IN ('high', 'medium')
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, clause_id) <= 5""")
 def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(reports.top_risks(_scored(spark, sf_dir)), "why")
 
@@ -248,6 +282,38 @@ def risk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.risk_stats(_scored(spark, sf_dir)).withColumn("mean", F.round(F.col("mean") * F.col("n"), 4)).withColumnRenamed("mean", "total")
 
 
+@query(f"""WITH c AS ({CLAUSES_SQL}) SELECT doc_id, clause_id, deviation FROM c WHERE NOT skipped AND agrees = false
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY deviation DESC, clause_id) <= 5""")
+def mismatched_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mismatches(contracts.clauses(spark, sf_dir)).select("doc_id", "clause_id", "deviation")
+
+
+@query(f"{_SCORED} SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, unnest(categories) AS category FROM scored WHERE NOT skipped) c GROUP BY ALL")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.category_counts(_scored(spark, sf_dir))
+
+
+@query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score FROM scored WHERE NOT skipped
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, clause_id) <= 5""")
+def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(reports.risk_ranking(_scored(spark, sf_dir)))
+
+
+@query(f"""WITH c AS ({CLAUSES_SQL}) SELECT label, count(*) AS n FROM c WHERE label IS NOT NULL GROUP BY label ORDER BY n DESC, label LIMIT 10""")
+def frequent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten labels that most clauses have."""
+    return reports.frequent_labels(contracts.clauses(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '—' WHEN o_orderkey % 5 = 1 THEN 'order ' || o_orderkey
+  ELSE strftime(o_orderdate, '%b ') || day(o_orderdate) || ', ' || year(o_orderdate) END AS shown FROM orders""")
+def shown_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as reports show them; a dash for none, other text as it is."""
+    key = F.col("o_orderkey")
+    iso = F.when(key % 5 == 0, None).when(key % 5 == 1, F.concat(F.lit("order "), key.cast("string"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.shown_date(iso).alias("shown"))
+
+
 @query(f"""WITH c AS ({CLAUSES_SQL}) SELECT doc_id, count(*) AS n, count(DISTINCT label) AS n_labels, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE used_context) AS with_context,
   count(*) FILTER (WHERE NOT skipped AND NOT used_context) AS standalone, min(confidence) FILTER (WHERE label IS NOT NULL) AS low,
   list_sort(list(confidence) FILTER (WHERE label IS NOT NULL))[CAST(floor(count(label) / 2) AS INTEGER) + 1] AS median, max(confidence) FILTER (WHERE label IS NOT NULL) AS high,
@@ -297,19 +363,41 @@ _DIRTY = f"""SELECT doc_id, rn, 'Page ' || rn || ' of 9' || chr(10) || replace(l
   FROM ({_DIRTY}) d""")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hyphens, footers and white space of dirtied clauses; without Unicode normalisation, which SQL lacks."""
-    items = _table(spark, sf_dir, "lineitem")
-    sql = _DIRTY.replace("chr(10)", "char(10)").replace("chr(9)", "char(9)")
-    dirty = spark.sql(f"WITH lineitem AS (SELECT * FROM {{items}}) {sql}", items=items)
+    dirty = _dirty(spark, sf_dir)
     cleaned = T.collapse_whitespace(T.without_footers(T.join_hyphenated(F.col("dirty"))))
     return dirty.select("doc_id", "rn", cleaned.alias("cleaned"))
 
 
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _DIRTY.replace("chr(10)", "char(10)").replace("chr(9)", "char(9)")
+    return spark.sql(f"WITH lineitem AS (SELECT * FROM {{items}}) {sql}", items=_table(spark, sf_dir, "lineitem"))
+
+
+@query(rf"""SELECT doc_id, rn, array_to_string(list_filter(string_split(dirty, chr(10)),
+  lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') NOT IN ('draft', 'a b c', 'Page ' || rn || ' of 9')), chr(10)) AS kept FROM ({{_DIRTY}}) d""".replace("{_DIRTY}", _DIRTY))
+def strip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirtied clauses without the lines that are given as repeated, by their keys."""
+    known = F.array(F.lit("draft"), F.lit("a b c"), F.concat(F.lit("Page "), F.col("rn").cast("string"), F.lit(" of 9")))
+    return _dirty(spark, sf_dir).select("doc_id", "rn", T.without_lines(F.col("dirty"), known).alias("kept"))
+
+
+@query(f"""SELECT doc_id, rn, text, CAST(start AS INTEGER) AS char_start, CAST(start + length(text) AS INTEGER) AS char_end FROM (
+  SELECT doc_id, rn, cleaned AS text, coalesce(sum(length(cleaned)) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM ({ORACLES["clean_lines"]}) c WHERE cleaned <> '') t""")
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirtied clauses cleaned as the pages of their order, with offsets that run on."""
+    pages = _dirty(spark, sf_dir).select("doc_id", F.col("rn").alias("page_number"), F.col("dirty").alias("text"))
+    return cleaning.clean_pages(pages).withColumnRenamed("page_number", "rn")
+
+
 @query()
 def clean_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cleaning of all documents, Unicode normalisation included."""
     docs = _table(spark, sf_dir, "documents")
     ligature = F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ"))
-    return docs.select("doc_id", F.crc32(T.clean_text(ligature)).alias("crc32"), F.length(T.clean_text(ligature)).alias("n_chars"))
+    # a generator of one row keeps the cleaning from being written out for each of its two uses
+    cleaned = docs.select("doc_id", F.explode(F.array(T.clean_text(ligature))).alias("cleaned"))
+    return cleaned.select("doc_id", F.crc32("cleaned").alias("crc32"), F.length("cleaned").alias("n_chars"))
 
 
 @query("""WITH k AS (SELECT DISTINCT source AS doc_id, doc_id AS page, regexp_replace(trim(unnest(string_split(text, chr(10)))), '\\s+', ' ', 'g') AS line FROM documents WHERE text IS NOT NULL),
@@ -318,11 +406,7 @@ def clean_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on at least a twenty-fifth of a source's documents, taking documents as pages."""
     pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
-    from ..settings import DEFAULT
-
-    found = cleaning.repeated_lines(pages, DEFAULT.with_(min_page_fraction=0.04))
-    keys = pages.select("doc_id", F.explode(F.array_distinct(F.transform(T.lines(F.col("text")), T.line_key))).alias("line"))
-    return found.join(keys, ["doc_id", "line"]).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    return cleaning.repeated_line_counts(pages, DEFAULT.with_(min_page_fraction=0.04)).withColumnRenamed("on", "n")
 
 
 @query("SELECT c_custkey, upper(CASE WHEN contains(c_name, ' ') THEN c_name[1] || string_split(c_name, ' ')[-1][1] ELSE c_name[1:2] END) AS initials, CASE WHEN length(c_name) > 6 THEN c_name[1:6] || '…' ELSE c_name END AS short FROM customer")
@@ -362,7 +446,20 @@ def bank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings),
+  m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), c AS (SELECT label, list(m ORDER BY d) AS c, sqrt(sum(m * m)) + 1e-12 AS norm FROM m GROUP BY label),
+  s AS MATERIALIZED (SELECT vec_id, v.label, CAST(embedding AS DOUBLE[]) AS v, list_inner_product(CAST(embedding AS DOUBLE[]), c.c) / norm AS s FROM embeddings v JOIN c USING (label)),
+  r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS place FROM s),
+  walk AS (
+    SELECT label, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[][]) AS taken, CAST([] AS BIGINT[]) AS ids FROM c
+    UNION ALL
+    SELECT label, place, CASE WHEN far THEN list_append(taken, v) ELSE taken END, CASE WHEN far THEN list_append(ids, vec_id) ELSE ids END
+    FROM (SELECT w.label, w.taken, w.ids, r.place, r.v, r.vec_id, len(list_filter(w.taken, lambda t: list_inner_product(t, r.v) > 0.85)) = 0 AS far
+          FROM walk w JOIN r ON r.label = w.label AND r.place = w.place + 1 WHERE len(w.ids) < 5) next
+  ), last AS (SELECT label, arg_max(ids, place) AS ids FROM walk GROUP BY label),
+  bank AS (SELECT label, unnest(ids) AS original_index FROM last)
+  SELECT CAST(row_number() OVER (ORDER BY CAST(b.label AS VARCHAR), s DESC, original_index) - 1 AS INTEGER) AS exemplar_idx, CAST(b.label AS VARCHAR) AS label, CAST(original_index AS BIGINT) AS original_index, round(s, 5) AS similarity
+  FROM bank b JOIN r ON r.label = b.label AND r.vec_id = original_index""")
 def exemplar_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = vectors.build_bank(_table(spark, sf_dir, "embeddings"))
     return bank.select("exemplar_idx", "label", "original_index", F.round("similarity_to_centroid", 5).alias("similarity"))
@@ -392,7 +489,10 @@ def analyze_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "overall_risk", "summary.*", F.size("clauses").alias("n_clauses"), F.length(F.to_json("clauses")).alias("json_chars"))
 
 
-@query()
+@query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score,
+  CASE WHEN risk_level <> 'low' THEN 'The scorer''s reasons: ' || hint END AS why,
+  CASE WHEN risk_level <> 'low' THEN 'template' END AS model_used,
+  CASE WHEN risk_level = 'low' THEN 'risk level below threshold' END AS skipped_reason FROM ({HINTED_SQL}) h""")
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = explanation.explain(_scored(spark, sf_dir))
     return _flat(found.select("*", F.col("explanation.text").alias("why"), F.col("explanation.model_used").alias("model_used"), F.col("explanation.skipped_reason").alias("skipped_reason")), "why", "model_used", "skipped_reason")

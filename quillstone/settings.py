@@ -13,6 +13,21 @@ LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\
 #: Characters that end a line, as a regular expression.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+#: The characters among them, as the inside of a character class.
+LINE_BREAK_CHARACTERS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+
+#: Spaces that typesetting leaves inside words.
+EXOTIC_SPACES = r"[\u00A0\u2007\u202F\u2009\u200A]"
+
+#: Lines that are footers: page numbers and stamps.
+FOOTERS = (
+    r"(?iuUd)^\s*Page\s+\d+\s*(of\s+\d+)?\s*$",
+    r"(?Ud)^\s*\d+\s*$",
+    r"(?Ud)^\s*[-–—]\s*\d+\s*[-–—]\s*$",
+    r"(?iuUd)^\s*CONFIDENTIAL\s*$",
+    r"(?iuUd)^\s*DRAFT\s*$",
+)
+
 #: Numbered markers; the group named num is the number.
 NUMBERING = (
     r"(?:^|\n|(?<=\.\s)|(?<=\n))(?P<num>\d+(?:\.\d+)+)\.?\s",
@@ -117,6 +132,28 @@ LABEL_MULTIPLIER = {
     "Entire Agreements": 0.85, "Amendments": 0.85, "Waivers": 0.85,
 }
 
+#: Phrases of the sentence that says why a clause got its score.
+HINTS = {
+    "label": "'{}' clause",
+    "unlabelled": "Unlabeled clause",
+    "high": "HIGH RISK",
+    "medium": "moderate risk",
+    "tags": "risky language: {}",
+    "override": "score floored by substantive-risk override ({})",
+    "form": "form-field clause (mostly placeholders)",
+    "unsure": "classifier uncertain (conf={})",
+    "floor": "classifier uncertain (conf={}) — no risky language detected",
+    "far": "significantly different from standard ({} deviation)",
+    "off": "somewhat different from standard ({} deviation)",
+    "mismatch": "classifier and reference-bank disagree",
+    "short": "short clause (fragment)",
+    "structural": "Structural clause ({}); not scored for semantic risk.",
+    "between": " — ",
+}
+
+#: Headings that a provider's reply is read by.
+REPLY_HEADINGS = ("EXPLANATION:", "SUGGESTED ACTION:")
+
 # ---- end of fixed values ----
 
 

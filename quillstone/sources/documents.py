@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -44,11 +44,19 @@ def _one_page(text) -> F.Column:
     return F.array(F.struct(F.lit(1).alias("page_number"), text.alias("text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end")))
 
 
+def is_utf8(content: Column) -> Column:
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: UTF-8, or Latin-1 where they are not; any line end becomes a newline."""
+    raw = F.when(is_utf8(content), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(raw, r"\r\n?", "\n")
+
+
 def text_documents(found: DataFrame) -> DataFrame:
     """Rows of plain text: UTF-8, or Latin-1 where it is not; any line end becomes a newline."""
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    raw = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    text = F.regexp_replace(raw, r"\r\n?", "\n")
+    utf8, text = is_utf8(F.col("content")), decoded(F.col("content"))
     row = found.where("format = 'txt' AND error IS NULL").select(
         "source_path", "format", text.alias("full_text"), F.map_from_arrays(F.array(F.lit("encoding_used")), F.array(F.when(utf8, "utf-8").otherwise("latin-1"))).alias("metadata")
     )

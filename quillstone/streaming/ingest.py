@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import scoring, segmentation
+from ..sources.documents import decoded
 from ..settings import DEFAULT, Settings
 
 
@@ -14,14 +15,13 @@ def text_files(spark: SparkSession, path: str, per_batch: int = 100) -> DataFram
     """New text files below `path` as a stream of doc_id (the path) and text."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     found = files.option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.txt").load(path)
-    return found.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    return found.select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text"))
 
 
 def language_risk(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Clauses of a stream (or table) of documents with their risky wording; needs no state."""
     clauses = segmentation.segment(docs.withColumn("text", clean_text(F.col("text"))), settings)
-    hits = scoring.lexicon_hits(F.col("text"), settings)
-    return clauses.withColumn("hits", hits).withColumns({"language": scoring.language_score(F.col("hits")), "tags": scoring.language_tags(F.col("hits"))}).drop("hits")
+    return scoring.with_hits(clauses, settings).withColumns({"language": scoring.language_score(F.col("hits")), "tags": scoring.language_tags(F.col("hits"))}).drop("hits")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
