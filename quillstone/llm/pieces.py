@@ -16,7 +16,9 @@ The machines are composed with each input on the fly: a state is a position and
 last. Positions are relaxed from left to right, each state keeping the least of the sums of costs
 that lead to it (the tropical semiring), and the path is read off backwards from the end. No piece
 has a mark after another character, nor a line end, so a text is composed segment by segment, and
-segments met before are remembered. Decoding reads ids and writes the pieces' characters.
+segments met before are remembered. New segments of a batch of texts are composed together, all of
+them advancing by one position at a time in array operations; long ones, and those with characters
+that need byte arcs, one by one. Decoding reads ids and writes the pieces' characters.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Kept
+from .bpe import CACHE_CHARS, Kept
 from .shared import slices
 
 MARK = "▁"
@@ -41,6 +43,49 @@ _FREE, _BYTES = 1 << 16, -1
 BYTE = float(1 << 20)
 
 
+#: Segments composed together; pairs whose costs a worker keeps.
+TOGETHER, PAIRS = 8_000, 1 << 20
+
+
+class Table:
+    """Whole numbers by keys of 64 bits, looked up many at a time; -1 for those not there."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.bits = max(4, (size - 1).bit_length())
+        self.keys, self.values, self.n = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out, at, left = np.full(len(keys), -1, np.int32), self._slots(keys), np.arange(len(keys))
+        while len(left):
+            there = self.keys[at]
+            same = there == keys[left]
+            out[left[same]] = self.values[at[same]]
+            on = ~same & (there >= 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not there yet; slots are at most half full."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            old, new = (self.keys[held], self.values[held]), Table(4 * (self.n + len(keys)))
+            new.add(*old)
+            self.bits, self.keys, self.values, self.n = new.bits, new.keys, new.values, new.n
+        self.n += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)  # one key for each free slot
+            mine = free[first]
+            self.keys[slot], self.values[slot] = keys[mine], values[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+
 class Pieces:
     """The vocabulary of a model file of the BPE kind with byte fallback and no character map."""
 
@@ -72,6 +117,8 @@ class Pieces:
         self.longest = max(map(len, self.id), default=1)
         self.compile()
         self.pairs = _Pairs(self)
+        self.costs = np.array([-self.score.get(p, 0.0) for p in self.text])
+        self.compile_arrays()
         self.segments = _Segments(self)
 
     def compile(self) -> None:
@@ -86,6 +133,23 @@ class Pieces:
                 state = arcs[c]
             state[1] = (number, -self.score[piece])
 
+    def compile_arrays(self) -> None:
+        """The same machine as arrays: characters' codes, arcs by (state, code), pieces by state, and pairs met."""
+        letters = sorted({c for p in self.id for c in p})
+        self.code, self.letters = np.zeros(0x110000, np.int32), len(letters) + 1
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.code[ord(" ")] = self.code[ord(MARK)]
+        arcs, writes, open_ = {}, [-1], [(0, self.root[0])]
+        while open_:
+            number, here = open_.pop()
+            for c, (further, written) in here.items():
+                if c != " " or MARK not in here:
+                    arcs[number * self.letters + int(self.code[ord(c)])] = len(writes)
+                    open_.append((len(writes), further))
+                    writes.append(-1 if written is None else written[0])
+        self.arcs, self.writes, self.met = Table(4 * len(arcs)), np.array(writes, np.int32), Table()
+        self.arcs.add(np.array([*arcs], np.int64), np.array([*arcs.values()], np.int32))
+
     def stands(self, first: str, second: str = "") -> bool:
         """Whether merging the characters of both ends in just these pieces.
 
@@ -153,11 +217,98 @@ class Pieces:
             _, _, piece, begin, k = states[end][k]
         return array("H", reversed(out)).tobytes()
 
+    def pass_on(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the pair machine lets pairs pass, by the keys that `pairs` has."""
+        known = self.met.get(keys)
+        new = np.unique(keys[known < 0])
+        if len(new):
+            if self.met.n + len(new) > PAIRS:
+                self.met = Table()
+                new = np.unique(keys)
+            self.met.add(new, np.array([self.pairs.cost(k) < math.inf for k in new.tolist()], np.int32))
+            known = self.met.get(keys)
+        return known > 0
+
+    def compose_many(self, segments: list[str]) -> list[bytes]:
+        """`compose` for many segments of characters that are pieces, advancing together."""
+        lengths = np.array([*map(len, segments)])
+        ends = np.cumsum(lengths)
+        code = self.code[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        ends_of = np.repeat(ends, lengths)
+        # paths through the trie from every position: where they begin, their lengths and pieces
+        begin, node, depth, found = np.arange(len(code)), np.zeros(len(code), np.int64), 0, []
+        while len(begin):
+            inside = begin + depth < ends_of[begin]
+            begin, node = begin[inside], node[inside]
+            node = self.arcs.get(node * self.letters + code[begin + depth]).astype(np.int64)
+            begin, node, depth = begin[node >= 0], node[node >= 0], depth + 1
+            written = self.writes[node]
+            found.append((begin[written >= 0], np.full(int((written >= 0).sum()), depth), written[written >= 0]))
+        begin, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(begin, kind="stable")
+        length, piece = length[order].astype(np.int64), piece[order].astype(np.int64)
+        count = np.bincount(begin, minlength=len(code))
+        first = np.cumsum(count) - count
+        # states: position, piece written last, least cost, state before; those at each place in their segments
+        position, last, cost, before = (ends - lengths).astype(np.int64), np.full(len(segments), _FREE), np.zeros(len(segments)), np.full(len(segments), -1)
+        segment, made = np.arange(len(segments)), len(segments)
+        states, waiting, done = [(position, last, cost, before, segment)], {0: [(position, last, cost, np.arange(made), segment)]}, []
+        for t in range(int(lengths.max(initial=0))):
+            if t not in waiting:
+                continue
+            position, last, cost, number, segment = (np.concatenate(x) for x in zip(*waiting.pop(t), strict=True))
+            n = count[position]
+            source = np.repeat(np.arange(len(position)), n)
+            arc = np.repeat(first[position] - (np.cumsum(n) - n), n) + np.arange(len(source))
+            passing = self.pass_on(last[source] << 16 | piece[arc])
+            source, arc = source[passing], arc[passing]
+            total = cost[source] + self.costs[piece[arc]]
+            if len(arc) > 1:  # the least sum of those that lead to one state
+                order = np.lexsort((total, arc))
+                order = order[np.concatenate([[True], arc[order][1:] != arc[order][:-1]])]
+                source, arc, total = source[order], arc[order], total[order]
+            new = (position[source] + length[arc], piece[arc], total, number[source], segment[source])
+            states.append(new)
+            numbers = made + np.arange(len(arc))
+            made += len(arc)
+            at_end = new[0] == ends[new[4]]
+            done.append((new[4][at_end], total[at_end], numbers[at_end]))
+            for k in np.unique(length[arc[~at_end]]).tolist():
+                own = (length[arc] == k) & ~at_end
+                waiting.setdefault(t + k, []).append((new[0][own], new[1][own], total[own], numbers[own], new[4][own]))
+        _, last, _, before, _ = (np.concatenate(x) for x in zip(*states, strict=True))
+        owner, total, number = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.lexsort((total, owner))
+        order = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+        owner, number = owner[order], number[order]
+        path = []  # backwards from the ends
+        while len(number):
+            path.append((owner, last[number]))
+            owner, number = owner[before[number] >= len(segments)], before[number][before[number] >= len(segments)]
+        owner = np.concatenate([o for o, _ in path])
+        back = np.repeat(np.arange(len(path)), [len(o) for o, _ in path])
+        order = np.lexsort((-back, owner))
+        ids = np.concatenate([x for _, x in path])[order].astype(np.uint16).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(segments))) * 2]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, as the library gives them without begin and end marks."""
+        found = [_SEGMENT.findall(self.prefix + t) if t else [] for t in texts]
+        known, older = self.segments, self.segments.older
+        new = [x for x in {x for f in found for x in f} if len(x) <= CACHE_CHARS and x not in known and x not in older]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            whole = self.code[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)] > 0
+            sizes = np.array([*map(len, part)])
+            whole = np.logical_and.reduceat(whole, np.cumsum(sizes) - sizes)
+            part = [x for x, ok in zip(part, whole.tolist(), strict=True) if ok]
+            for x, ids in zip(part, self.compose_many(part), strict=True) if part else ():
+                known.keep(x, ids)
+        return [np.frombuffer(b"".join(map(known.__getitem__, f)), np.uint16) for f in found]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as the library gives them without begin and end marks."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        return np.frombuffer(b"".join(map(self.segments.__getitem__, _SEGMENT.findall(self.prefix + text))), np.uint16)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, ids without text nothing."""
@@ -175,10 +326,11 @@ class _Pairs(Kept):
 
     def __missing__(self, key: int) -> float:
         value = self.older.get(key)
-        if value is None:
-            both = (key & 0xFFFF,) if key >> 16 == _FREE else (key >> 16, key & 0xFFFF)
-            value = 0.0 if self.pieces.stands(*(self.pieces.text[p] for p in both)) else math.inf
-        return self.keep(key, value)
+        return self.keep(key, self.cost(key) if value is None else value)
+
+    def cost(self, key: int) -> float:
+        both = (key & 0xFFFF,) if key >> 16 == _FREE else (key >> 16, key & 0xFFFF)
+        return 0.0 if self.pieces.stands(*(self.pieces.text[p] for p in both)) else math.inf
 
 
 class _Segments(Kept):
@@ -205,7 +357,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         machine = pieces_of(model)
         for b in slices(batches):
-            ids = [None if t is None else machine.encode(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            encoded = machine.encode_all([t or "" for t in texts])
+            ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, encoded, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids binary")

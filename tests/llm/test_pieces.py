@@ -73,13 +73,39 @@ def test_shortest_path_of_all(machine, library, text):
     assert machine.encode(text).tolist() == cheapest(machine, text) == library.encode(text)
 
 
-def test_costs_decide(machine, monkeypatch):
+def test_costs_decide(monkeypatch):
     """Where the pair machine lets every pair pass, the path with the least sum of costs is taken."""
     free = pieces.Pieces(MODEL)
-    free.pairs = type("Free", (dict,), {"__missing__": lambda self, key: 0.0})()
+    free.pairs = type("Free", (dict,), {"__missing__": lambda self, key: 0.0, "cost": lambda self, key: 0.0})()
     monkeypatch.setattr(free, "stands", lambda *a: True)
     for text in ("the", "in a", "bat", "é日"):
-        assert free.encode(text).tolist() == cheapest(free, text)
+        want = cheapest(free, text)
+        assert free.encode(text).tolist() == want
+        assert np.frombuffer(free.compose(free.prefix + text), np.uint16).tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" =/-.0abetinsrgé▁"), min_size=1, max_size=30), min_size=1, max_size=8, unique=True))
+def test_segments_composed_together(machine, segments):
+    assert machine.compose_many(segments) == [machine.compose(x) for x in segments]
+
+
+def test_few_pairs_are_kept(library, monkeypatch):
+    monkeypatch.setattr(pieces, "PAIRS", 40)
+    monkeypatch.setattr(pieces, "TOGETHER", 3)
+    small = pieces.Pieces(MODEL)
+    texts = ["the cat sat on the mat and the dog", "ein Hund und eine Katze im Garten", "", "日本 and é"]
+    assert [x.tolist() for x in small.encode_all(texts)] == library.encode(texts)
+
+
+@given(st.lists(st.integers(0, 2**40), unique=True, max_size=200), st.lists(st.integers(0, 2**40), max_size=50))
+def test_number_table(keys, others):
+    table, half = pieces.Table(4), len(keys) // 2
+    for part in (keys[:half], keys[half:]):
+        table.add(np.array(part, np.int64), np.array([k % 1000 for k in part], np.int32))
+    asked = keys + others
+    held = set(keys)
+    assert table.get(np.array(asked, np.int64)).tolist() == [k % 1000 if k in held else -1 for k in asked]
 
 
 @given(st.lists(st.integers(0, 31_999), max_size=12))
