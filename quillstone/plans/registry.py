@@ -478,7 +478,8 @@ def _model_and_bank(spark: SparkSession, sf_dir: str):
     clauses = contracts.clauses(spark, sf_dir).where("NOT skipped AND label IS NOT NULL")
     phrases = clauses.select("text", "label").distinct()
     model = classification.HashedLogistic.fit(phrases)
-    return model, vectors.build_bank(vectors.embed(phrases).withColumn("vec_id", F.xxhash64("text", "label")), text="text")
+    embedded = vectors.checkpointed(vectors.embed(phrases).withColumn("vec_id", F.xxhash64("text", "label")))
+    return model, vectors.build_bank(embedded, text="text")
 
 
 @query()

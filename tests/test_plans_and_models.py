@@ -79,6 +79,29 @@ def test_a_bank_beyond_the_bound_is_compared_in_parts(spark, monkeypatch):
     assert whole[0] == [] and len(whole[1]) == S.DEFAULT.neighbours
 
 
+def test_bank_walk_with_ties_and_missing_parts(spark):
+    """Against a plain walk: equal similarities, repeated vectors, null ids and texts, a label of one row."""
+    rng = np.random.default_rng(3)
+    made = rng.choice([-1.0, 0.0, 1.0], size=(120, 4)) + 0.01
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    rows = [(int(i), "one" if i == 0 else f"l{i % 3}", None if i % 5 else f"t{i}", v.tolist()) for i, v in enumerate(made)]
+    rows += [(500, "l1", "zero", [0.0] * 4), (None, "l2", "no id", made[2].tolist())]
+    got = vectors.build_bank(spark.createDataFrame(rows, "vec_id long, label string, text string, embedding array<double>"), text="text").collect()
+    want = []
+    for label in sorted({r[1] for r in rows}):
+        own = [r for r in rows if r[1] == label]
+        centre = np.mean([r[3] for r in own], axis=0)
+        centre = centre / (np.linalg.norm(centre) + 1e-12)
+        taken = []
+        for r in sorted(own, key=lambda r: (-round(float(np.dot(r[3], centre)), 9), r[0] is not None, r[0])):
+            if len(taken) < 5 and all(np.dot(r[3], t[3]) <= 0.85 for t in taken):
+                taken.append(r)
+        want += [(label, r[0], r[2]) for r in taken]
+    assert sorted((r.label, r.original_index, r.text) for r in got if r.original_index is not None) == sorted(w for w in want if w[1] is not None)
+    assert {(r.label, r.text) for r in got if r.original_index is None} == {(w[0], w[2]) for w in want if w[1] is None}
+    assert sorted(r.exemplar_idx for r in got) == list(range(len(got)))
+
+
 def test_bank_and_embeddings_on_disk(spark, tmp_path):
     calls = []
 
