@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,8 +39,8 @@ CELLS, TRAIN_CELLS = 1 << 22, 1 << 19
 MET = 0.85
 #: One in so many training chains is followed by one that joins it with another language; words of each piece at most.
 JOINED, PIECE = 3, 12
-#: Letters of a word whose features are held at once.
-PART = 4_096
+#: Letters of a word whose features are held at once; words whose potentials are made together.
+PART, LEARNED = 4_096, 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -140,19 +141,41 @@ class Lexicon:
         self.met: list[bool] = []
         self.held = np.zeros((0, len(self.model.languages)))
 
+    def learn(self, words: set[str]) -> None:
+        """Make the potentials of words not met before, many at a time."""
+        new = sorted(w for w in words if w not in self.row)
+        for at in range(0, len(new), LEARNED):
+            part = new[at : at + LEARNED]
+            # a run of slots for each word, and for each part of a very long one
+            slots, sizes, owner = array("i"), [], []
+            rows, met, n = np.zeros((len(part), self.model.weights.shape[1]), np.float32), np.zeros(len(part)), np.zeros(len(part))
+
+            def flush():
+                flat, start = np.frombuffer(slots, np.int32), np.cumsum(sizes) - sizes
+                np.add.at(rows, owner, np.add.reduceat(self.model.weights[flat], start, axis=0))
+                np.add.at(met, owner, np.add.reduceat(self.model.met[flat].astype(np.int64), start))
+                np.add.at(n, owner, sizes)
+
+            for i, w in enumerate(part):
+                for run in feature_parts(w):
+                    slots.extend(run)
+                    sizes.append(len(run))
+                    owner.append(i)
+                    if len(slots) > 1 << 18:
+                        flush()
+                        slots, sizes, owner = array("i"), [], []
+            if sizes:
+                flush()
+            for w in part:
+                self.row[w] = len(self.row)
+            self.rows += [*rows]
+            self.met += (met >= MET * n).tolist()
+
     def numbers(self, words: list[str]) -> list[int]:
         try:
             return [*map(self.row.__getitem__, words)]
         except KeyError:
-            for w in words:
-                if w not in self.row:
-                    self.row[w] = len(self.rows)
-                    row, met, n = np.zeros(self.model.weights.shape[1], np.float32), 0, 0
-                    for slots in feature_parts(w):
-                        row = row + self.model.weights[slots].sum(axis=0)
-                        met, n = met + int(self.model.met[slots].sum()), n + len(slots)
-                    self.rows.append(row)
-                    self.met.append(met >= MET * n)
+            self.learn(set(words))
             return [*map(self.row.__getitem__, words)]
 
     def table(self) -> np.ndarray:
@@ -169,8 +192,10 @@ class Lexicon:
 def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[list[str], list[float]]:
     """Language and its share of the expected words, for each text."""
     numbers, lengths, owner, letters = [], [], [], []
+    runs = [chains(text) if text else [] for text in texts]
+    lexicon.learn({w for found in runs for chain in found for w in chain})
     for i, text in enumerate(texts):
-        for chain in chains(text) if text else ():
+        for chain in runs[i]:
             numbers += lexicon.numbers(chain)
             lengths.append(len(chain))
             owner.append(i)
@@ -237,13 +262,17 @@ def train(lines: list[Chain], languages: list[str], rounds: int = 25, ridge: flo
     if not lines or len(languages) < 2:
         return model
     number: dict[str, int] = {}
-    at = np.array([number.setdefault(w, len(number)) for _, words in lines for w in words])
+    at = np.fromiter((number.setdefault(w, len(number)) for _, words in lines for w in words), np.int64)
     lengths = np.array([len(words) for _, words in lines])
     place_of = {lang: i for i, lang in enumerate(languages)}
-    y_all = np.array([place_of[x] for lang, words in lines for x in ([lang] * len(words) if isinstance(lang, str) else lang)])
-    lists = [features(w) for w in number]
-    slots = np.array([s for x in lists for s in x], np.int32)
-    sizes = np.array([*map(len, lists)])
+    y_all = np.fromiter((place_of[x] for lang, words in lines for x in ([lang] * len(words) if isinstance(lang, str) else lang)), np.int64)
+    held, sizes = array("i"), []
+    for w in number:
+        sizes.append(0)
+        for part in feature_parts(w):
+            held.extend(part)
+            sizes[-1] += len(part)
+    slots, sizes = np.frombuffer(held, np.int32), np.array(sizes)
     begin = np.cumsum(sizes) - sizes
     states, n = len(languages), len(at)
     inner = np.ones(n, bool)
@@ -310,8 +339,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                         words.append(" ".join(chain))
             yield pa.RecordBatch.from_pydict({"lang": langs, "words": words}, schema=pa.schema([("lang", pa.string()), ("words", pa.string())]))
 
-    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, words string").collect()
-    lines = sorted((r["lang"], r["words"].split(" ")) for r in rows)
+    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, words string").toArrow()
+    once: dict[str, str] = {}  # words that occur often are held once
+    lines = sorted((lang, [once.setdefault(w, w) for w in words.split(" ")]) for b in rows.to_batches() for lang, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    del rows
     return train(lines + joined(lines), sorted(r["lang"] for r in bounds))
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept
+from .bpe import CACHE_CHARS, Kept
 from .shared import slices, staged
 
 #: Labelled documents in the sample at most; words that a task counts before it hands them on.
@@ -90,11 +90,16 @@ class Counts:
     """Clean and toxic occurrences by key, keys sorted."""
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    seen: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.uint32))
 
-    def get(self, key: int) -> tuple[float, float]:
-        at = int(np.searchsorted(self.keys, np.uint64(key)))
-        return tuple(self.seen[at].tolist()) if at < len(self.keys) and int(self.keys[at]) == key else (0.0, 0.0)
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """(clean, toxic) of each key."""
+        out = np.zeros((len(keys), 2))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.seen[at[known]]
+        return out
 
 
 @dataclass
@@ -107,13 +112,14 @@ class Model:
     constant: float = 0.0  # log K
     curve: tuple[float, float, float] = (-2.0, 0.0, 0.0)
 
-    def log_odds(self, word: str) -> float:
-        """log P(word | toxic) / P(word | clean), smoothed along the chain of beginnings."""
-        toxic, keys = self.share, keys_of(word)
+    def log_odds(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) / P(word | clean) of each word, smoothed along the chain of beginnings."""
+        keys = np.array([*map(keys_of, words)], np.uint64).reshape(-1, 3)
+        toxic = np.full(len(words), self.share)
         for table in (SHORT, LONG, WORDS):
-            clean_n, toxic_n = self.tables[table].get(keys[table])
-            toxic = (toxic_n + STRENGTH * toxic) / (clean_n + toxic_n + STRENGTH)
-        return math.log(toxic / (1 - toxic)) - math.log(self.share / (1 - self.share))
+            seen = self.tables[table].get(keys[:, table])
+            toxic = (seen[:, 1] + STRENGTH * toxic) / (seen.sum(axis=1) + STRENGTH)
+        return np.log(toxic / (1 - toxic)) - math.log(self.share / (1 - self.share))
 
 
 class Scores(Kept):
@@ -124,13 +130,20 @@ class Scores(Kept):
         self.model = model
 
     def make(self, word: str) -> float:
-        return self.model.log_odds(word) - DRIFT
+        return float(self.model.log_odds([word])[0]) - DRIFT
 
+    def learn(self, words: set[str]) -> None:
+        """Make the scores of words not met before, all at once."""
+        new = sorted(w for w in words if len(w) <= CACHE_CHARS and w not in self and w not in self.older)
+        for w, x in zip(new, (self.model.log_odds(new) - DRIFT).tolist(), strict=True):
+            self.keep(w, x)
 
-def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words, and maximal segments as word ranges."""
-    words = _WORD.findall(text.lower())
-    return len(words), maximal_segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words)))
+
+def segments_of(texts: list[str | None], scores: Scores) -> list[tuple[int, list[tuple[int, int, float]]]]:
+    """For each text the number of words, and maximal segments as word ranges."""
+    found = [_WORD.findall((t or "").lower()) for t in texts]
+    scores.learn({w for words in found for w in words})
+    return [(len(words), maximal_segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words)))) for words in found]
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -200,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for kind in (WORDS, LONG, SHORT):
         own = kinds == kind
         order = np.argsort(keys[own].astype(np.uint64))
-        model.tables[kind] = Counts(keys[own].astype(np.uint64)[order], np.stack([clean[own], toxic[own]], axis=1)[order].astype(float))
-    n_clean, n_toxic = model.tables[WORDS].seen.sum(axis=0).tolist()
+        model.tables[kind] = Counts(keys[own].astype(np.uint64)[order], np.stack([clean[own], toxic[own]], axis=1)[order].astype(np.uint32))
+    del counts, kinds, keys, clean, toxic
+    n_clean, n_toxic = model.tables[WORDS].seen.sum(axis=0, dtype=np.int64).tolist()
     if not n_clean or not n_toxic:
         return Model()
     model.share = n_toxic / (n_clean + n_toxic)
@@ -211,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         """Words, and score of the best segment (null without one), of each text."""
         scores = Scores(model)
         for b in slices(batches):
-            found = [segments_of(t or "", scores) for t in b.column(0).to_pylist()]
+            found = segments_of(b.column(0).to_pylist(), scores)
             top = [max((v for _, _, v in segments), default=None) for _, segments in found]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64()), b.column(1)], names=["n", "best", "toxic"])
 
@@ -219,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         """Evidence of each text, under the calibrated distribution."""
         scores = Scores(model)
         for b in slices(batches):
-            found = [evidence(*segments_of(t or "", scores), model)[:2] for t in b.column(0).to_pylist()]
+            found = [evidence(*x, model)[:2] for x in segments_of(b.column(0).to_pylist(), scores)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64()), b.column(1)], names=["most", "n_far", "toxic"])
 
     calibrate(model, [(r.n, r.best) for r in texts.mapInArrow(best, "n long, best double, toxic int").collect() if not r.toxic])
@@ -245,12 +259,14 @@ def calibrate(model: Model, clean: list[tuple[int, float | None]]) -> None:
         model.constant = float(np.median(model.rate * known[:, 1] - known[:, 0])) + math.log(math.log(2))
 
 
-def probability(text: str | None, scores: Scores, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    """A text's score and its significant passages as word ranges."""
-    n, found = segments_of(text or "", scores)
-    most, count, far = evidence(n, found, model)
+def probabilities(texts: list[str | None], scores: Scores, model: Model) -> list[tuple[float, list[tuple[int, int, float]]]]:
+    """Each text's score and its significant passages as word ranges."""
     a, b, c = model.curve
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * most + c * count)))), far
+    out = []
+    for n, found in segments_of(texts, scores):
+        most, count, far = evidence(n, found, model)
+        out.append((1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * most + c * count)))), far))
+    return out
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -266,7 +282,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         scores = Scores(model)
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([probability(t, scores, model)[0] < 0.5 for t in texts], pa.bool_()))
+            yield b.filter(pa.array([p < 0.5 for p, _ in probabilities(texts, scores, model)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -283,8 +299,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scores = Scores(model)
         for batch in slices(batches):
             out, spans = [], []
-            for text in batch.column(1).to_pylist():
-                p, far = probability(text, scores, model)
+            texts = batch.column(1).to_pylist()
+            for text, (p, far) in zip(texts, probabilities(texts, scores, model), strict=True):
                 out.append(p)
                 if far:
                     places = [m.span() for m in _WORD.finditer(text.lower())]

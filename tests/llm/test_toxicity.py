@@ -85,7 +85,7 @@ def test_empty_tables_and_one_class(made):
 def plain_score(text, model):
     """A document's score from its definition, segments by brute force."""
     words = re.findall(r"\w+", (text or "").lower())
-    found = brute([model.log_odds(w) - toxicity.DRIFT for w in words])
+    found = brute([float(x) - toxicity.DRIFT for x in model.log_odds(words)])
     chance = model.constant + math.log(max(1, len(words)))
     surplus = [model.rate * v - chance for _, _, v in found]
     a, b, c = model.curve
@@ -109,7 +109,7 @@ def test_counts_and_scores_equal_plain_ones(made):
         for k in (4, 6, None):
             held = [sum(n for w, n in seen[y].items() if (w == word if k is None else w[:k] == word[:k])) for y in (0, 1)]
             toxic = (held[1] + toxicity.STRENGTH * toxic) / (sum(held) + toxicity.STRENGTH)
-        assert math.isclose(model.log_odds(word), math.log(toxic / (1 - toxic)) - math.log(share / (1 - share)), rel_tol=1e-9), word
+        assert math.isclose(model.log_odds([word])[0], math.log(toxic / (1 - toxic)) - math.log(share / (1 - share)), rel_tol=1e-9), word
     short = docs.where("length(coalesce(text, '')) < 260")
     got = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score(short, model).collect())
     assert len(got) > 50
@@ -144,7 +144,7 @@ def test_long_words_and_many_passages(spark):
         labels.append((i, int(toxic)))
     df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(df, marks)
-    assert model.log_odds(long) > 2 > 0 > model.log_odds(twin)
+    assert model.log_odds([long])[0] > 2 > 0 > model.log_odds([twin])[0]
     many = " ".join(" ".join([long] * 3 + [f"word{i % 200}"] * 60) for i in range(100))
     row = toxicity.score(spark.createDataFrame([(1, many)], "doc_id long, text string"), model).first()
     assert len(row.segments) == 100 and row.predicted == 1
