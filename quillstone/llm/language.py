@@ -137,9 +137,8 @@ class Lexicon:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.met: list[bool] = []
-        self.held = np.zeros((0, len(self.model.languages)))
+        self.held = np.zeros((0, len(self.model.languages)))  # potentials by word, with room for more
 
     def learn(self, words: set[str]) -> None:
         """Make the potentials of words not met before, many at a time."""
@@ -166,9 +165,14 @@ class Lexicon:
                         slots, sizes, owner = array("i"), [], []
             if sizes:
                 flush()
+            first = len(self.row)
             for w in part:
                 self.row[w] = len(self.row)
-            self.rows += [*rows]
+            if len(self.row) > len(self.held):
+                room = np.zeros((len(self.row) + len(self.row) // 2, rows.shape[1]))
+                room[:first] = self.held[:first]
+                self.held = room
+            self.held[first : len(self.row)] = rows
             self.met += (met >= MET * n).tolist()
 
     def numbers(self, words: list[str]) -> list[int]:
@@ -179,13 +183,11 @@ class Lexicon:
             return [*map(self.row.__getitem__, words)]
 
     def table(self) -> np.ndarray:
-        """All potentials so far; the part made before is not built again."""
-        if len(self.rows) > len(self.held):
-            self.held = np.concatenate([self.held, np.array(self.rows[len(self.held) :], np.float64)])
-        return self.held
+        """All potentials so far."""
+        return self.held[: len(self.row)]
 
     def trim(self) -> None:
-        if len(self.rows) * max(16, len(self.model.languages)) > CACHE * 16:
+        if len(self.row) * max(16, len(self.model.languages)) > CACHE * 16:
             self.clear()
 
 
