@@ -426,27 +426,9 @@ def centroid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("vec_id", "label", F.round("similarity_to_centroid", 5).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT e.vec_id, e.label, b.vec_id AS exemplar_idx, b.label AS found, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
-    FROM embeddings e JOIN embeddings b ON b.vec_id < 50),
-  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, exemplar_idx) AS place FROM s)
-  SELECT vec_id, round(max(s), 5) AS max_similarity, round(avg(s) FILTER (WHERE place <= 3), 5) AS mean_top3, round(1 - max(s), 5) + 0.0 AS deviation, bool_or(found = label) FILTER (WHERE place = 1) AS agrees FROM r GROUP BY vec_id""")
-def nearest_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity, deviation and agreement of all vectors with a bank of the first fifty."""
-    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
-    bank = rows.where("vec_id < 50").select(F.col("vec_id").cast("int").alias("exemplar_idx"), "label", F.lit("").alias("text"), "embedding")
-    found = vectors.compared(vectors.nearest(rows, bank))
-    return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
-
-
-@query()
-def bank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity, deviation and agreement of all vectors with the diverse bank of all labels."""
-    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
-    found = vectors.compared(vectors.nearest(rows, vectors.build_bank(rows)))
-    return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
-
-
-@query("""WITH RECURSIVE e AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings),
+def _bank_sql(per_label: int) -> str:
+    """Common tables, the last of them `bank`: exemplar_idx, label, original_index, s, v."""
+    return f"""e AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings),
   m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), c AS (SELECT label, list(m ORDER BY d) AS c, sqrt(sum(m * m)) + 1e-12 AS norm FROM m GROUP BY label),
   s AS MATERIALIZED (SELECT vec_id, v.label, CAST(embedding AS DOUBLE[]) AS v, list_inner_product(CAST(embedding AS DOUBLE[]), c.c) / norm AS s FROM embeddings v JOIN c USING (label)),
   r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS place FROM s),
@@ -455,11 +437,40 @@ def bank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL
     SELECT label, place, CASE WHEN far THEN list_append(taken, v) ELSE taken END, CASE WHEN far THEN list_append(ids, vec_id) ELSE ids END
     FROM (SELECT w.label, w.taken, w.ids, r.place, r.v, r.vec_id, len(list_filter(w.taken, lambda t: list_inner_product(t, r.v) > 0.85)) = 0 AS far
-          FROM walk w JOIN r ON r.label = w.label AND r.place = w.place + 1 WHERE len(w.ids) < 5) next
+          FROM walk w JOIN r ON r.label = w.label AND r.place = w.place + 1 WHERE len(w.ids) < {per_label}) next
   ), last AS (SELECT label, arg_max(ids, place) AS ids FROM walk GROUP BY label),
-  bank AS (SELECT label, unnest(ids) AS original_index FROM last)
-  SELECT CAST(row_number() OVER (ORDER BY CAST(b.label AS VARCHAR), s DESC, original_index) - 1 AS INTEGER) AS exemplar_idx, CAST(b.label AS VARCHAR) AS label, CAST(original_index AS BIGINT) AS original_index, round(s, 5) AS similarity
-  FROM bank b JOIN r ON r.label = b.label AND r.vec_id = original_index""")
+  picked AS (SELECT label, unnest(ids) AS original_index FROM last),
+  bank AS (SELECT CAST(row_number() OVER (ORDER BY CAST(b.label AS VARCHAR), s DESC, original_index) - 1 AS INTEGER) AS exemplar_idx, CAST(b.label AS VARCHAR) AS label,
+             CAST(original_index AS BIGINT) AS original_index, s, v FROM picked b JOIN r ON r.label = b.label AND r.vec_id = original_index)"""
+
+
+def _comparison_sql(per_label: int) -> str:
+    return f"""WITH RECURSIVE {_bank_sql(per_label)},
+  near AS (SELECT e.vec_id, CAST(e.label AS VARCHAR) AS label, b.exemplar_idx, b.label AS found, list_inner_product(CAST(e.embedding AS DOUBLE[]), b.v) AS s FROM embeddings e, bank b),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, exemplar_idx) AS place FROM near)
+  SELECT vec_id, round(max(s), 5) AS max_similarity, round(avg(s) FILTER (WHERE place <= 3), 5) AS mean_top3, round(1 - max(s), 5) + 0.0 AS deviation, bool_or(found = label) FILTER (WHERE place = 1) AS agrees
+  FROM placed GROUP BY vec_id"""
+
+
+def _compared(spark: SparkSession, sf_dir: str, per_label: int) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    found = vectors.compared(vectors.nearest(rows, vectors.build_bank(rows, settings=DEFAULT.with_(bank_per_label=per_label))))
+    return found.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("mean_top3_similarity", 5).alias("mean_top3"), (F.round("deviation", 5) + 0.0).alias("deviation"), "agrees")
+
+
+@query(_comparison_sql(1))
+def nearest_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity, deviation and agreement of all vectors with one exemplar of each label, the nearest to its centroid."""
+    return _compared(spark, sf_dir, 1)
+
+
+@query(_comparison_sql(DEFAULT.bank_per_label))
+def bank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity, deviation and agreement of all vectors with the diverse bank of all labels."""
+    return _compared(spark, sf_dir, DEFAULT.bank_per_label)
+
+
+@query(f"WITH RECURSIVE {_bank_sql(5)} SELECT exemplar_idx, label, original_index, round(s, 5) AS similarity FROM bank")
 def exemplar_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = vectors.build_bank(_table(spark, sf_dir, "embeddings"))
     return bank.select("exemplar_idx", "label", "original_index", F.round("similarity_to_centroid", 5).alias("similarity"))
