@@ -51,6 +51,12 @@ def feature_parts(word: str) -> Iterator[list[int]]:
     names = [f"w{word}"]
     for k in (1, 2, 3):
         names += (f"p{word[:k]}", f"s{word[-k:]}")
+    if len(word) <= PART:
+        marked = f"^{word}$"
+        names += [marked[i : i + 2] for i in range(len(marked) - 1)]
+        names += [marked[i : i + 3] for i in range(len(marked) - 2)]
+        yield [zlib.crc32(n.encode()) % SLOTS for n in names]
+        return
     for at in range(0, len(word), PART):  # a part's n-grams are those that begin in it
         marked = ("^" if at == 0 else word[at - 1]) + word[at : at + PART + 1]
         if at + PART >= len(word):
