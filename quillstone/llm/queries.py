@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, jaccard, language, media, packing, pieces, topk, toxicity, urls
+from . import bpe, extraction, jaccard, language, media, merkle, packing, pieces, topk, toxicity, urls
 from .shared import table
 
 
@@ -92,6 +92,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle digests and proofs of all documents, checked against texts that were tampered with."""
+    return merkle.audited(table(spark, sf_dir, "documents"), every=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_curve_packing": op2_curve_packing,
@@ -103,8 +108,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII string."""
+    step = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    """SQL for the digest of a document with this text."""
+    parts = (f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+def _climb(n: str, rows: str) -> str:
+    """SQL for the trees over `rows` (place, idx, h, n): up, the nodes of all levels, and beside, the siblings of each."""
+    return f"""
+        {n}up AS (
+          SELECT 0 AS lvl, place, idx, h, n FROM {rows}
+          UNION ALL
+          SELECT lvl + 1, place, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16 FROM {n}up WHERE n > 1
+          GROUP BY lvl, place, idx // 16, n
+        ), {n}beside AS (
+          SELECT lvl, place, idx,
+                 coalesce(string_agg(h, '') OVER (PARTITION BY lvl, place, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs,
+                 coalesce(string_agg(h, '') OVER (PARTITION BY lvl, place, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs
+          FROM {n}up WHERE n > 1
+        )"""
+
+
+def _walk(n: str, rows: str) -> str:
+    """SQL for the way of `rows` (rid, place, idx, proof, got) to the top of their tree."""
+    return f"""
+        {n}walk AS (
+          SELECT rid, 0 AS lvl, place, idx, proof, got FROM {rows}
+          UNION ALL
+          SELECT rid, w.lvl + 1, place, idx // 16, proof || lhs || rhs, sha256(lhs || got || rhs)
+          FROM {n}walk w JOIN {n}beside b USING (lvl, place, idx)
+        ), {n}end AS (
+          SELECT rid, arg_max(proof, lvl) AS proof, arg_max(got, lvl) AS got FROM {n}walk GROUP BY rid
+        )"""
+
 #: Only queries that SQL can express have an entry.
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": r"""
@@ -153,4 +201,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
     """,
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE rows AS (
+          SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || source, '') AS place, {_leaf('text')} AS leaf,
+                 CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0
+                      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged
+          FROM documents
+        ), ranked AS (
+          SELECT rid, doc_id, place, leaf, coalesce(forged, leaf) AS got, leaf AS h, count(*) OVER (PARTITION BY place) AS n,
+                 row_number() OVER (PARTITION BY place ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+          FROM rows
+        ), {_climb('s', 'ranked')}, subroots AS (
+          SELECT '' AS place, place AS src, h, row_number() OVER (ORDER BY place) - 1 AS idx, count(*) OVER () AS n FROM sup WHERE n = 1
+        ), {_climb('t', 'subroots')}, starts AS (
+          SELECT rid, place, idx, '' AS proof, got FROM ranked
+        ), {_walk('s', 'starts')}, tops AS (
+          SELECT rid, u.place, u.idx, e.proof, e.got, u.h FROM send e JOIN ranked r USING (rid) JOIN subroots u ON u.src = r.place
+        ), {_walk('t', 'tops')}
+        SELECT r.doc_id, r.leaf, u.h AS subroot, t.h AS root, sha256(e.proof) AS proof_sha256, e.got AS folded_root, e.got = t.h AS verified
+        FROM ranked r JOIN tend e USING (rid) JOIN tops u USING (rid) CROSS JOIN (SELECT h FROM tup WHERE n = 1) t
+    """,
 }

@@ -1,0 +1,89 @@
+"""The manifest against a plain walk over sorted rows."""
+
+import random
+import zlib
+from hashlib import sha256
+
+import pytest
+
+from quillstone.llm import merkle
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, leaf int, key string"
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row, text):
+    i, source, lang, n, _ = row
+    return h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (i, source, lang, n, text)))
+
+
+def climbed(hashes):
+    """The root over the hashes, and for each of them the siblings of its ancestors, as lists of (left, right)."""
+    paths, at, level = [[] for _ in hashes], list(range(len(hashes))), hashes
+    while len(level) > 1:
+        runs = [level[i : i + 16] for i in range(0, len(level), 16)]
+        for k, x in enumerate(at):
+            run = runs[x // 16]
+            paths[k].append((run[: x % 16], run[x % 16 + 1 :]))
+            at[k] = x // 16
+        level = [h(*run) for run in runs]
+    return level[0], paths
+
+
+def brute(rows):
+    order = lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4]))
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    kept = [sorted((r for r in rows if r[1] == s), key=order) for s in sources]
+    made = [climbed([leaf(r, r[4]) for r in own]) for own in kept]
+    root, tops = climbed([sub for sub, _ in made])
+    out = []
+    for own, (sub, paths), top in zip(kept, made, tops, strict=True):
+        for r, path in zip(own, paths, strict=True):
+            whole = path + top
+            text = r[4]
+            if r[0] is not None and text is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                text = text.translate({c: c + 32 for c in range(65, 91)})
+            got = leaf(r, text)
+            for left, right in whole:
+                got = h(*left, got, *right)
+            proof = h(*(x for left, right in whole for x in left + right))
+            out.append((r[0], leaf(r, r[4]), sub, root, proof, got, got == root))
+    return sorted(out, key=str)
+
+
+def run(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA)
+    return sorted((tuple(r) for r in merkle.audited(df).collect()), key=str)
+
+
+def corpus(seed, n, sources):
+    rng = random.Random(seed)
+    ids = rng.sample([*range(-50, 3 * n), *(rng.randrange(-(2**63), 2**63) for _ in range(n))], n)
+    text = lambda: rng.choice([None, "", "Ä b", "ABC def", "x" * rng.randrange(50), "É" * 3])
+    return [(i, rng.choice(sources), rng.choice([None, "en", "de"]), rng.choice([None, 0, 7]), text()) for i in ids]
+
+
+@pytest.mark.parametrize("seed,n,sources", [(1, 1, ["a"]), (2, 2, ["a", None]), (3, 17, ["a"]), (4, 400, ["a", "b", "", None, "ä", "+"] + ["hot"] * 5), (5, 60, [f"s{i}" for i in range(40)])])
+def test_equals_a_plain_walk(spark, seed, n, sources):
+    rows = corpus(seed, n, sources)
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("crowded", [merkle.CROWDED, 3])
+def test_repeated_and_null_ids(spark, monkeypatch, crowded):
+    """Rows of one id have ranks of their own; with a small bound the digits of digests and partitions tell them apart."""
+    monkeypatch.setattr(merkle, "CROWDED", crowded)
+    rows = corpus(6, 40, ["a", None]) + [(7, "a", "en", 1, f"T{i % 9}") for i in range(30)] + [(None, "a", None, None, f"T{i % 5}") for i in range(30)] + [(8, "a", "en", 1, "Same")] * 40
+    assert run(spark, rows) == brute(rows)
+
+
+def test_empty_and_tampered(spark):
+    assert run(spark, []) == []
+    rows = [(i, "s", "en", 3, "Abc") for i in range(200)]
+    got = run(spark, rows)
+    wrong = {r[0] for r in got if not r[6]}
+    assert wrong == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0} and len(wrong) > 20
+    assert len({r[3] for r in got}) == 1
