@@ -30,6 +30,7 @@ nodes that are left after step 2 are read once more.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -46,6 +47,8 @@ from .shared import dealt_join, shuffle_width, slices, staged
 
 #: Shingles that a task gathers before it deals them out; nodes in a group of the matrix; queries met at once.
 BATCH, GROUP, QUERIES = 2_000_000, 64, 512
+#: Bytes of text whose shingles meet in one task; 5 M of them take some 400 MB there.
+SLICE = 32 << 20
 #: Nodes whose ids are broadcast at most (8 bytes each); beyond it their sets are found by a shuffle.
 BROADCAST = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -146,7 +149,8 @@ def surveyed(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     Shingles are sent as the upper 48 bits of their hashes. Two that meet there make a set look
     smaller by one: `lost` counts them, and places are lowered by it, so that no link goes.
     """
-    width = min(shuffle_width(docs.sparkSession), 1 << 16)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(shuffle_width(docs.sparkSession), -(-size // SLICE))
     block = "kind int, slice int, block binary"
 
     def packed(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -179,7 +183,7 @@ def surveyed(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
                 present, local = np.unique(o, return_inverse=True)
                 return squeeze(_deltas(t), local.astype(np.uint16 if len(present) < 1 << 16 else np.uint32), ids[present], sizes[present], lost[present])
 
-            return dealt((tokens >> np.uint64(32)) * np.uint64(width) >> np.uint64(16), (tokens, owner), made)
+            return dealt((tokens >> np.uint64(16)) * np.uint64(width) >> np.uint64(32), (tokens, owner), made)
 
         def documents():
             nonlocal made_blocks
@@ -236,7 +240,7 @@ def surveyed(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         columns = [c[shared] for c in (token, node, n, lost, each)]
         order = np.argsort(columns[1], kind="stable")
         columns = [c[order] for c in columns]
-        yield dealt((columns[1] >> np.uint64(48)) * np.uint64(width) >> np.uint64(16), columns, squeeze)
+        yield dealt((columns[1] >> np.uint64(32)) * np.uint64(width) >> np.uint64(32), columns, squeeze)
 
     def rows(kind: int, **columns) -> pa.RecordBatch:
         size = len(columns["node"])
@@ -416,6 +420,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     found = sets(docs.select("text").withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi"), words)
     stored = staged(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
+    return by_document(own, least, connected(held, stored, percent))
+
+
+def connected(held: DataFrame, stored: DataFrame, percent: int, narrowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, label) of the nodes that links connect, for staged (shingle, node, n, slack) rows: nodes are compared where they share a shingle.
+
+    Holders meet pivots first; what is not settled then meets in the matrix. `narrowed` may give
+    other rows for the nodes that come so far, which share a shingle wherever two are similar.
+    """
     alone = held.withColumn("label", F.col("node"))
     pairs = staged(reduce(DataFrame.unionByName, [pivot_pairs(alone, seed, percent) for seed in (1, 2)]).distinct())
     links = staged(verified(pairs, stored, percent))
@@ -430,12 +443,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
             pairs = staged(pivot_pairs(rest, 3, percent, vary=True).unionByName(pivot_pairs(rest, 4, percent, vary=True)).distinct())
             more = staged(verified(pairs, stored, percent))
         else:
+            if narrowed is not None:
+                rest = staged(unsettled(staged(narrowed(rest)), labels))
             more = staged(opened(rest, stored, percent))
         if not more.isEmpty():
             links = staged(links.unionByName(more))
             labels = None
-    if labels is None:
-        labels = components(links)
+    return components(links) if labels is None else labels
+
+
+def by_document(own: DataFrame, least: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the `own` rows (doc_id, h, node, n); `least` has node, its least id and its copies."""
     # a node of one document without links is its own component; the others get the least id of their label
     named = staged(least.join(labels, "node", "left").where("label is not null or copies > 1").select("node", "least", F.coalesce("label", "node").alias("label")))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))

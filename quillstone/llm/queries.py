@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, jaccard, language, media, merkle, packing, pieces, topk, toxicity, urls
+from . import bpe, extraction, jaccard, language, media, merkle, minhash, packing, pieces, topk, toxicity, urls
 from .shared import table
 
 
@@ -92,6 +92,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle digests and proofs of all documents, checked against texts that were tampered with."""
     return merkle.audited(table(spark, sf_dir, "documents"), every=5)
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
+    "op11_circulant_minhash": op11_circulant_minhash,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -222,3 +228,6 @@ ORACLES: dict[str, str] = {
         FROM ranked r JOIN tend e USING (rid) JOIN tops u USING (rid) CROSS JOIN (SELECT h FROM tup WHERE n = 1) t
     """,
 }
+
+# the same links at another similarity
+ORACLES["op11_circulant_minhash"] = f"SELECT *, doc_id = component_id AS kept FROM ({ORACLES['op1_jaccard_join'].replace('>= 75 *', '>= 85 *')})"

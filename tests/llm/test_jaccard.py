@@ -17,7 +17,7 @@ def plain_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=75):
     """(doc_id, n, component) by comparing every two rows."""
     sets = [plain_set(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -30,7 +30,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i, (d, _) in enumerate(rows):
