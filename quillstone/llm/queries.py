@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, jaccard, language, media, merkle, minhash, packing, pieces, topk, toxicity, urls
+from . import bpe, conversations, extraction, jaccard, language, media, merkle, minhash, packing, pieces, topk, toxicity, urls
 from .shared import table
 
 
@@ -97,6 +97,11 @@ def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after faults were planted in it."""
+    return conversations.audited(*conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle digests and proofs of all documents, checked against texts that were tampered with."""
     return merkle.audited(table(spark, sf_dir, "documents"), every=5)
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
     "op11_circulant_minhash": op11_circulant_minhash,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -231,3 +237,56 @@ ORACLES: dict[str, str] = {
 
 # the same links at another similarity
 ORACLES["op11_circulant_minhash"] = f"SELECT *, doc_id = component_id AS kept FROM ({ORACLES['op1_jaccard_join'].replace('>= 75 *', '>= 85 *')})"
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# paths to each state of the grammar (0 begin, 1 system, 2 user, 3 assistant), row by row, with what they cost, their labels and texts
+ORACLES["op12_conversation_repair"] = f"""
+    WITH RECURSIVE keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k,
+             coalesce('=' || CAST(conv_id AS VARCHAR), '') AS c
+      FROM conversations
+    ), hurt AS (
+      SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM keyed CROSS JOIN (VALUES (0), (1)) copies (copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS i, right(rtrim(text, {_WHITE}), 1) AS ending, substr(role, 1, 1) AS initial
+      FROM hurt
+    ), judged AS (
+      SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault,
+             lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair
+      FROM numbered
+    ), grammar (q, letter, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+    ), given AS (
+      SELECT q, letter, t, CASE letter WHEN 'u' THEN 'user' ELSE 'assistant' END AS role FROM grammar WHERE letter <> 's'
+    ), inserted AS (
+      SELECT q, q AS t, 0 AS cost, '' AS audit, '' AS words FROM (VALUES (0), (1), (2), (3)) s (q)
+      UNION ALL SELECT q, t, 3, 'I', chr(10) || role || ':' FROM given
+      UNION ALL SELECT a.q, b.t, 6, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':' FROM given a JOIN given b ON b.q = a.t
+    ), paths AS (
+      SELECT c, 0 AS i, t AS q, row(cost, audit, words) AS best FROM (SELECT DISTINCT c FROM keyed) CROSS JOIN inserted WHERE inserted.q = 0
+      UNION ALL
+      SELECT c, i, q, min(best) AS best FROM (
+        SELECT c, s.i, n.t AS q, row(s.cost + n.cost, s.audit || n.audit, s.words || n.words) AS best FROM (
+          SELECT p.c, j.i, g.t AS q, p.best[1] + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END + e.cost AS cost, p.best[2] || label AS audit,
+                 p.best[3] || chr(10) || CASE label WHEN 'K' THEN j.role ELSE CASE g.letter WHEN 'u' THEN 'user' ELSE 'assistant' END END || ':' || j.text AS words
+          FROM paths p JOIN judged j ON j.c = p.c AND j.i = p.i + 1 AND fault IN ('sound', 'truncated')
+          JOIN grammar g ON g.q = p.q CROSS JOIN (VALUES ('K', 0), ('R', 3)) e (label, cost)
+          WHERE label = 'K' AND g.letter = j.initial OR label = 'R' AND g.letter <> 's'
+          UNION ALL
+          SELECT p.c, j.i, p.q, p.best[1] + 4, p.best[2] || 'D', p.best[3] FROM paths p JOIN judged j ON j.c = p.c AND j.i = p.i + 1
+        ) s JOIN inserted n ON n.q = s.q
+      ) GROUP BY c, i, q
+    ), ended AS (
+      SELECT c, i, min(best) AS best FROM paths WHERE q IN (0, 3) GROUP BY c, i
+    ), counted AS (
+      SELECT c, max(i) AS i, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM judged GROUP BY c
+    )
+    SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(best[1] AS BIGINT) AS cost, best[2] AS audit, sha256(substr(best[3], 2)) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, c FROM keyed) k LEFT JOIN counted USING (c) JOIN ended e ON e.c = k.c AND e.i = coalesce(counted.i, 0)
+"""
