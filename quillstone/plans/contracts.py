@@ -131,8 +131,8 @@ MARKED_CLAUSES_SQL = f"""
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): a contract of MARKED for each order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """(doc_id, text): a contract of MARKED for each order; short rows are dealt before they grow."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return spark.sql(f"WITH orders AS (SELECT * FROM {{orders}}) {MARKED_SQL}", orders=orders)
 
 

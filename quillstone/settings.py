@@ -177,6 +177,7 @@ class Settings:
     normalize_quotes: bool = True
     normalize_dashes: bool = True
     ellipsis_drift: bool = True  # positions after an ellipsis are those of the expanded text
+    deal_parts: bool = False  # True deals the parts of very long texts over tasks, for one more exchange
     keep_preamble: bool = False  # True gives text before the first marker a clause of its own
     # classification
     top_k: int = 3

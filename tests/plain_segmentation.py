@@ -1,0 +1,145 @@
+"""Plain segmentation, marker by marker: what the engine's columns and windows are compared with."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from quillstone.settings import DEFAULT, Settings
+
+#: Letters that number third-level items.
+ROMAN_ITEMS = frozenset("i ii iii iv v vi vii viii ix x".split())
+#: Typographic characters and what markers are looked for under.
+_PLAIN = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2026": "..."}
+
+
+@dataclass(slots=True)
+class Marker:
+    """Where a clause may begin. More specific markers win over others close by."""
+
+    position: int
+    specificity: int
+    depth: int
+    number: str | None = None
+    role: str | None = None
+
+
+@dataclass(slots=True)
+class Span:
+    start: int
+    end: int
+    marker: Marker
+
+
+def for_matching(text: str, settings: Settings) -> str:
+    """The text that markers are looked for in; an ellipsis becomes three stops and so moves what follows."""
+    if not (settings.normalize_quotes or settings.normalize_dashes):
+        return text
+    kept = {} if settings.ellipsis_drift else {"\u2026": "\u2026"}
+    return text.translate(str.maketrans(_PLAIN | kept))
+
+
+def depth_of(number: str | None) -> int:
+    """Nesting depth that a number implies."""
+    if not number:
+        return 0
+    if number[0].isdigit():
+        return number.count(".") + 1
+    if number[0] == "(":
+        return 3 if number[1:-1].lower() in ROMAN_ITEMS else 2
+    return 1 if number.startswith(("ARTICLE", "Section", "Clause")) else 2
+
+
+def markers(text: str, settings: Settings = DEFAULT) -> list[Marker]:
+    """All markers, numbered ones first, in the order of patterns and matches."""
+    found = []
+    for pattern in settings.numbering:
+        for m in re.finditer(pattern, text):
+            number = m["num"]
+            found.append(Marker(m.start("num"), number.count(".") + len(number), depth_of(number), number))
+    for pattern, role in settings.structural:
+        found += [Marker(m.start(), 100, 1, None, role) for m in re.finditer(pattern, text, re.M)]
+    return found
+
+
+def resolved(found: list[Marker], window: int = 5) -> list[Marker]:
+    """Markers in order, without those close to the one kept last, unless they are more specific."""
+    kept: list[Marker] = []
+    for m in sorted(found, key=lambda m: (m.position, -m.specificity)):
+        if not kept or m.position - kept[-1].position > window:
+            kept.append(m)
+        elif m.specificity > kept[-1].specificity:
+            kept[-1] = m
+    return sorted(kept, key=lambda m: m.position)
+
+
+def spans(text: str, kept: list[Marker], settings: Settings = DEFAULT) -> list[Span]:
+    """From each marker to the next, the last to the end, without white space at the ends."""
+    starts = [m.position for m in kept]
+    if settings.keep_preamble and text.strip() and (not starts or text[: starts[0]].strip()):
+        kept, starts = [Marker(0, 0, 1, None, "PREAMBLE"), *kept], [0, *starts]
+    out = []
+    for m, a, b in zip(kept, starts, [*starts[1:], len(text)] if starts else [], strict=True):
+        piece = text[a:b]
+        start = min(a, len(text)) + len(piece) - len(piece.lstrip())
+        out.append(Span(start, start + len(piece.strip()), m))
+    return out
+
+
+def role_of(text: str, marker: Marker) -> str:
+    if not text.strip():
+        return "UNKNOWN"
+    if marker.role:
+        return marker.role
+    return "SUBCLAUSE" if marker.depth >= 2 else "CLAUSE" if marker.number else "UNKNOWN"
+
+
+def heading_like(text: str) -> bool:
+    t = text.strip()
+    return len(t) <= 80 and (t.endswith(".") or t.isupper() or bool(t) and len(t.split()) <= 6 and t[0].isupper())
+
+
+def merged(text: str, found: list[Span], settings: Settings = DEFAULT) -> list[Span]:
+    """Fragments that are too small and not like a heading go to the clause before them."""
+    out: list[Span] = []
+    for s in found:
+        own = text[s.start : s.end]
+        small = s.end - s.start < settings.min_clause_length or len(own.split()) < settings.min_clause_words
+        if small and out and not heading_like(own):
+            out[-1] = Span(out[-1].start, s.end, out[-1].marker)
+        else:
+            out.append(s)
+    return out
+
+
+def parents(levels: list[int]) -> list[int | None]:
+    """For each clause the nearest one before it with a smaller level."""
+    open_: list[int] = []
+    out: list[int | None] = []
+    for i, level in enumerate(levels):
+        while open_ and levels[open_[-1]] >= level:
+            open_.pop()
+        out.append(open_[-1] if open_ else None)
+        open_.append(i)
+    return out
+
+
+def clauses_of(text: str, settings: Settings = DEFAULT) -> list[dict]:
+    """The clauses of one text, in order; none if it has no marker (and no preamble is asked for)."""
+    raw = spans(text, resolved(markers(for_matching(text, settings), settings), settings.overlap_window), settings)
+    roles = {id(s.marker): role_of(text[s.start : s.end], s.marker) for s in raw}
+    found = merged(text, raw, settings)
+    levels = [min(s.marker.depth, settings.max_level) for s in found]
+    above = parents(levels)
+    children: list[list[int]] = [[] for _ in found]
+    for i, p in enumerate(above):
+        if p is not None:
+            children[p].append(i)
+    return [
+        {
+            "clause_id": i, "text": text[s.start : s.end], "char_start": s.start, "char_end": s.end, "level": levels[i],
+            "parent_id": above[i], "child_ids": children[i], "number": s.marker.number, "structural_role": roles[id(s.marker)],
+            "boundary_kind": "number" if s.marker.number else "structural",
+        }
+        for i, s in enumerate(found)
+    ]

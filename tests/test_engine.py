@@ -21,61 +21,6 @@ def values(spark, texts, f):
     return [r.v for r in sorted(rows, key=lambda r: r.i)]
 
 
-# ---- segmentation ----
-
-
-def test_overlaps_keep_the_last_kept():
-    m = lambda p, s: segmentation.Marker(p, s, 1, "x")
-    assert [x.position for x in segmentation.resolved([m(13, 4), m(16, 4), m(21, 3)])] == [13, 21]
-    assert [x.position for x in segmentation.resolved([m(13, 4), m(16, 9)])] == [16]
-
-
-@pytest.mark.parametrize(
-    ("number", "depth"),
-    [(None, 0), ("1", 1), ("1.1", 2), ("1.2.3", 3), ("(a)", 2), ("(iv)", 3), ("(xi)", 2), ("IV", 2), ("a.", 2), ("ARTICLE IV", 1), ("Section 1.2", 1), ("Clause 3", 1)],
-)
-def test_depth(number, depth):
-    assert segmentation.depth_of(number) == depth
-
-
-CONTRACT = """Preface that no marker begins.
-WHEREAS the parties wish to trade on the terms below;
-1. Definitions. Words in this agreement have their usual meaning.
-1.1 Goods are what the order names and what replaces them.
-(a) spare parts of all kinds that the buyer may ask for
-2. Short
-3. TERM
-ARTICLE IV Payment is due within thirty days of the invoice.
-IN WITNESS WHEREOF the parties have signed this agreement."""
-
-
-def test_clauses():
-    found = segmentation.clauses_of(CONTRACT)
-    assert [(c["number"], c["level"], c["structural_role"], c["parent_id"]) for c in found] == [
-        (None, 1, "RECITAL", None), ("1", 1, "CLAUSE", None), ("1.1", 2, "SUBCLAUSE", 1), ("(a)", 2, "SUBCLAUSE", 1),
-        ("3", 1, "CLAUSE", None), ("ARTICLE IV", 1, "CLAUSE", None), (None, 1, "SIGNATURE", None),
-    ]
-    assert found[3]["text"].endswith("2. Short")  # a fragment goes to the clause before it
-    assert all(CONTRACT[c["char_start"] : c["char_end"]] == c["text"] for c in found)
-    assert segmentation.clauses_of("no marker at all") == []
-    assert segmentation.clauses_of(CONTRACT, DEFAULT.with_(keep_preamble=True))[0]["structural_role"] == "PREAMBLE"
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["1. ", "1.1 ", "(a) ", "(iv) ", "\n", "WHEREAS ", "word ", "Some longer words here. ", "Section 2 ", "—“”", " "]), max_size=40))
-def test_offsets_always_hold(parts):
-    text = "".join(parts)
-    found = segmentation.clauses_of(text)
-    assert all(text[c["char_start"] : c["char_end"]] == c["text"] for c in found)
-    assert [c["clause_id"] for c in found] == list(range(len(found)))
-
-
-@given(st.lists(st.integers(1, 5), max_size=30))
-def test_parents(levels):
-    want = [max((j for j in range(i) if levels[j] < levels[i]), default=None) for i in range(len(levels))]
-    assert segmentation.parents(levels) == want
-
-
 # ---- scoring ----
 
 
