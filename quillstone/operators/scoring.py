@@ -12,16 +12,57 @@ from pyspark.sql import functions as F
 from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, STRUCTURAL_ROLES, TAG_CATEGORY, Settings
 
 
-def lexicon_hits(text: Column, settings: Settings = DEFAULT) -> Column:
+#: Letters that a pattern without regard to case takes for ASCII ones, beside capitals.
+FOLDED = "ſKıİ", "skii"
+
+
+def folded(text: Column) -> Column:
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def required(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds, in small letters; empty if none is sure.
+
+    Only what stands outside groups and classes counts, and nothing that a quantifier may leave out.
+    """
+    runs, run, at = [""], "", 0
+    while at < len(pattern):
+        c, size = pattern[at], 1
+        if c == "|":
+            return ""
+        if c == "\\":
+            size = 2
+        elif c in "([":
+            size, depth = 0, 0
+            while not size or depth:
+                x = pattern[at + size]
+                depth += x == c
+                depth -= x == {"(": ")", "[": "]"}[c]
+                size += 2 if x == "\\" else 1
+        after = pattern[at + size : at + size + 1]
+        letter = c.isascii() and c.isalpha() and after not in ("?", "*", "{")
+        run = run + c.lower() if letter else ""
+        runs.append(run)
+        if after in ("+", "?", "*", "{") and after:
+            run = ""
+            size += 1 if after != "{" else pattern.index("}", at + size) - at - size + 1
+        at += size
+    return max(runs, key=len)
+
+
+def lexicon_hits(text: Column, settings: Settings = DEFAULT, small: Column | None = None) -> Column:
     """An array of (weight, tag) for every lexicon entry found in the text, in lexicon order.
 
     Each pattern is a literal, so that it is compiled once; the flags make classes and dots match
-    as Unicode text and case never matters.
+    as Unicode text and case never matters. With `small`, the `folded` text, a pattern is tried
+    only where the letters stand that all its matches hold.
     """
-    hits = [
-        F.when(F.rlike(text, F.lit(f"(?iuUd){p}")), F.struct(F.lit(float(w)).alias("weight"), F.lit(tag).alias("tag")))
-        for p, w, tag in settings.lexicon
-    ]
+
+    def met(pattern: str) -> Column:
+        whole, least = F.rlike(text, F.lit(f"(?iuUd){pattern}")), required(pattern)
+        return F.contains(small, F.lit(least)) & whole if small is not None and least else whole
+
+    hits = [F.when(met(p), F.struct(F.lit(float(w)).alias("weight"), F.lit(tag).alias("tag"))) for p, w, tag in settings.lexicon]
     found = F.array_compact(F.array(*hits))
     if settings.lexicon_dedupe_tags:
         best = lambda tag: F.array_max(F.transform(F.filter(found, lambda h: h["tag"] == tag), lambda h: h["weight"]))
@@ -31,7 +72,8 @@ def lexicon_hits(text: Column, settings: Settings = DEFAULT) -> Column:
 
 def with_hits(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """`clauses` with a column `hits`, which others may mention often: its patterns run once a clause."""
-    return clauses.select("*", F.explode(F.array(lexicon_hits(F.col("text"), settings))).alias("hits"))
+    rows = clauses.withColumn("_small", folded(F.col("text")))
+    return rows.select(*clauses.columns, F.explode(F.array(lexicon_hits(F.col("text"), settings, F.col("_small")))).alias("hits"))
 
 
 def language_score(hits: Column) -> Column:
@@ -114,9 +156,9 @@ def score(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     w = settings.weights
     total = w["deviation"] + w["uncertainty"] + w["mismatch"] + w["language"]
     c = F.col
-    step = clauses.withColumns(
+    step = clauses.withColumn("_small", folded(c("text"))).withColumns(
         {
-            "_hits": lexicon_hits(c("text"), settings),
+            "_hits": lexicon_hits(c("text"), settings, c("_small")),
             "_placeholder": is_placeholder(c("text"), settings),
             "_short": short_penalty(c("char_end") - c("char_start")).cast("double"),
             "_confidence": F.coalesce(c("confidence").cast("double"), F.lit(0.0)),

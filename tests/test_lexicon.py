@@ -1,0 +1,42 @@
+"""A pattern is tried only where its letters stand, and nothing is missed by that."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.operators import scoring
+from quillstone.plans import contracts
+from quillstone.settings import LEXICON
+
+SENTENCES = [
+    "In its SOLE AND ABSOLUTE DISCRETION, at  any\ttime, with or without cause and without prior notice.", "without any liability; without limitation, any and all, whatsoever, in perpetuity",
+    "It irrevocably assigns and waives all rights; no waiver; waived any claim.", "It shall automatically renew and is evergreen: non-compete, noncompetition, non-solicit.", "without additional compensation, immediately upon, hold harmless",
+    "shall not in any way compete, not engage in a competing firm anywhere in the state or throughout the world", "five (5) five years, ten (ten) years for a period of ten", "one hundred eighty (180) days and 90 (ninety) days",
+    "may at its option unilaterally change; shall have the right to at once suspend", "ſole diſcretion without notice", "hold harmleSS, Known, ANYWHERE IN", "wıthout lımıtatıon; İRREVOCABLY", "automaticall renew", "solo discretion", "xdiscretion sole discretions",
+]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [(r"\bsolo?\s+discretion\b", "discretion"), (r"\bnon-?compet(?:e|ition)\b", "compet"), (r"\bautomatically?\s+renew", "automaticall"), (r"a|b", ""), (r"(ab)+c?d", "d"), (r"x{2}yz*q", "y"), (r"[abc)]w\)ef", "ef"), (r"ab+cd", "ab"), (r"(a(b)\))cde", "cde")],
+)
+def test_required(pattern, want):
+    assert scoring.required(pattern) == want
+
+
+def test_every_pattern_has_letters():
+    assert all(len(scoring.required(p)) >= 3 for p, _, _ in LEXICON)
+
+
+def test_same_hits(spark):
+    rng = random.Random(4)
+    texts = [*SENTENCES, *contracts.PHRASES, "", None]
+    for _ in range(600):  # pieces of the sentences in other company and case
+        words = [w for s in rng.sample(SENTENCES, 3) for w in s.split()[rng.randrange(3) :]]
+        rng.shuffle(words) if rng.random() < 0.2 else None
+        texts.append(rng.choice([" ", "\n", " "]).join(w.upper() if rng.random() < 0.2 else w for w in words))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = scoring.with_hits(df).withColumn("plain", scoring.lexicon_hits(F.col("text"))).collect()
+    assert all(r.hits == r.plain for r in both)
+    assert len({(h.tag, h.weight) for r in both for h in r.hits}) == len({(t, w) for _, w, t in LEXICON})

@@ -32,7 +32,7 @@ def values(spark, texts, f):
 
 def test_flagship_runs_each_pattern_once(spark):
     plan = optimized(registry.QUERIES["flagship_contract_risk"](spark, DATA))
-    assert len(re.findall(r"RLIKE \(\?iuUd\)", plan)) == len(S.LEXICON)
+    assert len(re.findall(r"RLIKE\(text#\d+, \(\?iuUd\)", plan)) == len(S.LEXICON)
 
 
 def test_cleaning_is_written_out_once(spark):
@@ -45,7 +45,9 @@ def test_cleaning_is_written_out_once(spark):
 
 
 def test_audit_and_repeated_lines_read_once(spark):
-    assert optimized(registry.QUERIES["offset_audit"](spark, DATA)).count("MapInArrow") == 1
+    # markers are looked for once in texts of usual length, once in long ones; nothing runs in Python
+    plan = optimized(registry.QUERIES["offset_audit"](spark, DATA))
+    assert plan.count(r"(?<num>\d+(?:\.\d+)+)") == 2 and "MapInArrow" not in plan
     assert optimized(registry.QUERIES["repeated_lines"](spark, DATA)).count("Generate") == 1
 
 
