@@ -35,8 +35,8 @@ SAMPLE, SAMPLE_WORDS = 250, 1_500
 SLOTS, CHAIN, CACHE = 1 << 17, 256, 500_000
 #: Positions times states that advance together, in scoring and in training.
 CELLS, TRAIN_CELLS = 1 << 22, 1 << 19
-#: Share of a word's features that training must have met for the word to be familiar.
-MET = 0.85
+#: Share of a word's n-grams of three that training must have met in the word's language for the word to be familiar.
+MET = 0.7
 #: One in so many training chains is followed by one that joins it with another language; words of each piece at most.
 JOINED, PIECE = 3, 12
 #: Letters of a word whose features are held at once; words whose potentials are made together.
@@ -45,9 +45,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def feature_parts(word: str) -> Iterator[list[int]]:
-    """Slots of a word's features, those of a very long word in parts: the word, affixes of one to
-    three letters, n-grams of two and three."""
+def feature_parts(word: str) -> Iterator[tuple[list[int], int]]:
+    """Hashes of a word's features, those of a very long word in parts: the word, affixes of one to
+    three letters, n-grams of two and three; and how many of the last ones are n-grams of three."""
     names = [f"w{word}"]
     for k in (1, 2, 3):
         names += (f"p{word[:k]}", f"s{word[-k:]}")
@@ -55,21 +55,22 @@ def feature_parts(word: str) -> Iterator[list[int]]:
         marked = f"^{word}$"
         names += [marked[i : i + 2] for i in range(len(marked) - 1)]
         names += [marked[i : i + 3] for i in range(len(marked) - 2)]
-        yield [zlib.crc32(n.encode()) % SLOTS for n in names]
+        yield [zlib.crc32(n.encode()) for n in names], len(word)
         return
     for at in range(0, len(word), PART):  # a part's n-grams are those that begin in it
         marked = ("^" if at == 0 else word[at - 1]) + word[at : at + PART + 1]
         if at + PART >= len(word):
             marked += "$"
         first = min(len(word), at + PART) - at + (at + PART >= len(word))
-        names += [marked[i : i + k] for k in (2, 3) for i in range(first) if i + k <= len(marked)]
-        yield [zlib.crc32(n.encode()) % SLOTS for n in names]
+        threes = [marked[i : i + 3] for i in range(first) if i + 3 <= len(marked)]
+        names += [marked[i : i + 2] for i in range(first) if i + 2 <= len(marked)] + threes
+        yield [zlib.crc32(n.encode()) for n in names], len(threes)
         names = []
 
 
 def features(word: str) -> list[int]:
     """All slots of a word's features."""
-    return [slot for part in feature_parts(word) for slot in part]
+    return [h % SLOTS for part, _ in feature_parts(word) for h in part]
 
 
 def chains(text: str) -> list[list[str]]:
@@ -130,8 +131,16 @@ class Model:
     languages: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((SLOTS, 0), np.float32))
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    #: Whether training met a feature of the slot, in any language.
-    met: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, bool))
+    #: The n-grams of three that training met, in order, and for each of them a bit for every language it was met in.
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    bits: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.uint8))
+
+    def met(self, hashes: np.ndarray) -> np.ndarray:
+        """[hash, language]: whether training met the n-gram in the language."""
+        if not len(self.grams):
+            return np.zeros((len(hashes), len(self.languages)), np.uint8)
+        at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+        return np.unpackbits(self.bits[at] * (self.grams[at] == hashes)[:, None], axis=1, count=len(self.languages))
 
 
 class Lexicon:
@@ -143,32 +152,38 @@ class Lexicon:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.met: list[bool] = []
         self.held = np.zeros((0, len(self.model.languages)))  # potentials by word, with room for more
+        self.familiar = np.zeros((0, len(self.model.languages)), bool)  # whether a word looks like one of a language
 
     def learn(self, words: set[str]) -> None:
         """Make the potentials of words not met before, many at a time."""
         new = sorted(w for w in words if w not in self.row)
         for at in range(0, len(new), LEARNED):
             part = new[at : at + LEARNED]
-            # a run of slots for each word, and for each part of a very long one
-            slots, sizes, owner = array("i"), [], []
-            rows, met, n = np.zeros((len(part), self.model.weights.shape[1]), np.float32), np.zeros(len(part)), np.zeros(len(part))
+            # a run of hashes for each word, and for each part of a very long one; the last `threes` of it are n-grams of three
+            hashes, sizes, threes, owner = array("I"), [], [], []
+            states = self.model.weights.shape[1]
+            rows, met, n = np.zeros((len(part), states), np.float32), np.zeros((len(part), states), np.int32), np.zeros(len(part), np.int32)
 
             def flush():
-                flat, start = np.frombuffer(slots, np.int32), np.cumsum(sizes) - sizes
-                np.add.at(rows, owner, np.add.reduceat(self.model.weights[flat], start, axis=0))
-                np.add.at(met, owner, np.add.reduceat(self.model.met[flat].astype(np.int64), start))
-                np.add.at(n, owner, sizes)
+                flat, start, tail, of = np.frombuffer(hashes, np.uint32), np.cumsum(sizes) - sizes, np.array(threes), np.array(owner)
+                np.add.at(rows, of, np.add.reduceat(self.model.weights[flat % np.uint32(SLOTS)], start, axis=0))
+                last = np.repeat(start + sizes - np.cumsum(tail), tail) + np.arange(tail.sum())
+                found, begins = self.model.met(flat[last]), np.cumsum(tail) - tail
+                some = tail > 0
+                if some.any():
+                    np.add.at(met, of[some], np.add.reduceat(found, begins[some], axis=0, dtype=np.int32))
+                np.add.at(n, of, tail)
 
             for i, w in enumerate(part):
-                for run in feature_parts(w):
-                    slots.extend(run)
+                for run, tail in feature_parts(w):
+                    hashes.extend(run)
                     sizes.append(len(run))
+                    threes.append(tail)
                     owner.append(i)
-                    if len(slots) > 1 << 18:
+                    if len(hashes) > 1 << 18:
                         flush()
-                        slots, sizes, owner = array("i"), [], []
+                        hashes, sizes, threes, owner = array("I"), [], [], []
             if sizes:
                 flush()
             first = len(self.row)
@@ -177,9 +192,11 @@ class Lexicon:
             if len(self.row) > len(self.held):
                 room = np.zeros((len(self.row) + len(self.row) // 2, rows.shape[1]))
                 room[:first] = self.held[:first]
-                self.held = room
+                known = np.zeros(room.shape, bool)
+                known[:first] = self.familiar[:first]
+                self.held, self.familiar = room, known
             self.held[first : len(self.row)] = rows
-            self.met += (met >= MET * n).tolist()
+            self.familiar[first : len(self.row)] = met >= MET * n[:, None]
 
     def numbers(self, words: list[str]) -> list[int]:
         try:
@@ -197,8 +214,8 @@ class Lexicon:
             self.clear()
 
 
-def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[list[str], list[float]]:
-    """Language and its share of the expected words, for each text."""
+def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[list[str], list[float], list[float]]:
+    """Language, its share of the expected words, and the share of words that look like words of their language, for each text."""
     numbers, lengths, owner, letters = [], [], [], []
     runs = [chains(text) if text else [] for text in texts]
     lexicon.learn({w for found in runs for chain in found for w in chain})
@@ -208,7 +225,7 @@ def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[li
             lengths.append(len(chain))
             owner.append(i)
         letters.append(bool(text) and any(map(str.isalpha, text)))
-    share = np.zeros((len(texts), len(model.languages)))
+    share, looks, count = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts)), np.zeros(len(texts))
     if numbers and model.languages:
         lengths, numbers, owner, potentials = np.array(lengths), np.array(numbers), np.array(owner), lexicon.table()
         for first, last, a, b in blocks(lengths, len(model.languages), CELLS):
@@ -216,20 +233,13 @@ def predict(texts: list[str | None], model: Model, lexicon: Lexicon) -> tuple[li
             of = np.repeat(owner[first:last], lengths[first:last])
             for k in range(share.shape[1]):
                 share[:, k] += np.bincount(of, marginals[:, k], len(texts))
+            looks += np.bincount(of, lexicon.familiar[numbers[a:b], marginals.argmax(axis=1)], len(texts))
+            count += np.bincount(of, minlength=len(texts))
     total = share.sum(axis=1)
     best = share.argmax(axis=1) if model.languages else np.zeros(len(texts), int)
     known = [has and n > 0 for has, n in zip(letters, total, strict=True)]
     scores = [float(min(1.0, share[i, b] / total[i])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best.tolist(), known, strict=True))]
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known, strict=True)], scores
-
-
-def familiar(texts: list[str | None], lexicon: Lexicon) -> list[float]:
-    """The share of each text's words that look like words of any learned language; 0 without words."""
-    out = []
-    for text in texts:
-        numbers = [i for chain in (chains(text) if text else ()) for i in lexicon.numbers(chain)]
-        out.append(sum(map(lexicon.met.__getitem__, numbers)) / len(numbers) if numbers else 0.0)
-    return out
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known, strict=True)], scores, (looks / np.maximum(count, 1)).tolist()
 
 
 Chain = tuple[str | list[str], list[str]]
@@ -264,21 +274,27 @@ def train(lines: list[Chain], languages: list[str], rounds: int = 25, ridge: flo
     """Fit on (language of all words, or of each word; words) chains."""
     model = Model(languages, np.zeros((SLOTS, len(languages)), np.float32), np.zeros((len(languages),) * 2))
     lines = [(lang, words) for lang, words in lines if words]
-    for w in {w for _, words in lines for w in words}:
-        for part in feature_parts(w):
-            model.met[part] = True
+    place_of = {lang: i for i, lang in enumerate(languages)}
+    of_language: list[set[str]] = [set() for _ in languages]
+    for lang, words in lines:
+        for x, w in zip([lang] * len(words) if isinstance(lang, str) else lang, words, strict=True):
+            of_language[place_of[x]].add(w)
+    met = [np.unique(np.fromiter((h for w in sorted(own) for part, tail in feature_parts(w) for h in part[len(part) - tail :]), np.uint32)) for own in of_language]
+    model.grams = np.unique(np.concatenate([*met, np.zeros(0, np.uint32)]))
+    model.bits = np.zeros((len(model.grams), -(-len(languages) // 8)), np.uint8)
+    for k, own in enumerate(met):
+        model.bits[np.searchsorted(model.grams, own), k // 8] |= np.uint8(128 >> k % 8)
     if not lines or len(languages) < 2:
         return model
     number: dict[str, int] = {}
     at = np.fromiter((number.setdefault(w, len(number)) for _, words in lines for w in words), np.int64)
     lengths = np.array([len(words) for _, words in lines])
-    place_of = {lang: i for i, lang in enumerate(languages)}
     y_all = np.fromiter((place_of[x] for lang, words in lines for x in ([lang] * len(words) if isinstance(lang, str) else lang)), np.int64)
     held, sizes = array("i"), []
     for w in number:
         sizes.append(0)
-        for part in feature_parts(w):
-            held.extend(part)
+        for part, _ in feature_parts(w):
+            held.extend(h % SLOTS for h in part)
             sizes[-1] += len(part)
     slots, sizes = np.frombuffer(held, np.int32), np.array(sizes)
     begin = np.cumsum(sizes) - sizes
@@ -389,8 +405,9 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.4, known:
 
     Texts without letters go, null and empty ones among them, and those of which no language has
     that share of the words. Shares are among learned languages only, so texts of which less than
-    `known` of the words look like words of any learned language (other languages, random letters)
-    go as well. A model without languages keeps nothing. Nulls in other columns do not matter; each
+    `known` of the words look like words of the language that they are taken for (other languages,
+    random letters) go as well; a word is held against that one language only, so more languages
+    do not make more words familiar. A model without languages keeps nothing. Nulls in other columns do not matter; each
     of repeated rows stays or goes as the others do; an empty table gives no rows; further columns,
     also such as score or lang_pred, go through as they are.
     """
@@ -400,8 +417,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.4, known:
         for b in slices(batches):
             lexicon.trim()
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            langs, scores = predict(texts, model, lexicon)
-            looks = familiar(texts, lexicon)
+            langs, scores, looks = predict(texts, model, lexicon)
             yield b.filter(pa.array([lang != UNKNOWN and s >= least and f >= known for lang, s, f in zip(langs, scores, looks, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -420,7 +436,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         lexicon = Lexicon(model)
         for b in slices(batches):
             lexicon.trim()
-            langs, scores = predict(b.column(1).to_pylist(), model, lexicon)
+            langs, scores, _ = predict(b.column(1).to_pylist(), model, lexicon)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -1,6 +1,7 @@
 """Language identification: forward-backward against enumeration, held-out accuracy, edge cases."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -254,3 +255,29 @@ def test_foreign_and_random_texts_go_and_clean_ones_stay(spark, docs, model):
     kept = {r.doc_id for r in language.in_known_language(df, model).collect()}
     assert not kept & {-1, -2, -3, -4, -5, -6}
     assert kept == {r.doc_id for r in clean.collect()}
+
+
+def made_up(seed, documents, own=None):
+    """A language of its own syllables: words and documents of it."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = own or ["".join(rng.choice(x) for x in (letters, "aeiouy", rng.choice([letters, [""]]))) for _ in range(30)]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(4000)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(20, 80))) for _ in range(documents)]
+
+
+def test_thirty_languages_do_not_make_gibberish_familiar(spark):
+    """With thirty learned languages foreign and random texts still go, and clean texts, mixed ones too, stay."""
+    learned = {f"l{k:02}": made_up(k, 60) for k in range(30)}
+    lines = [(lang, t.split()) for lang, texts in learned.items() for t in texts[:40]]
+    model = language.train(lines + language.joined(lines), sorted(learned))
+    rng = random.Random(99)
+    clean = [t for texts in learned.values() for t in texts[40:]]
+    mixed = ["\n".join(rng.sample(clean, 2)) for _ in range(30)]
+    foreign = [t for k in range(100, 110) for t in made_up(k, 10)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(50)) for _ in range(100)]
+    rows = [(i, t, kind) for i, (t, kind) in enumerate([(t, "clean") for t in clean] + [(t, "mixed") for t in mixed] + [(t, "foreign") for t in foreign] + [(t, "noise") for t in noise])]
+    kept = language.in_known_language(spark.createDataFrame(rows, "doc_id long, text string, kind string"), model, least=0.3).groupBy("kind").count().collect()
+    kept = {r["kind"]: r["count"] for r in kept}
+    assert kept["clean"] >= 0.99 * len(clean) and kept["mixed"] >= 0.99 * len(mixed)
+    assert kept.get("foreign", 0) <= 0.05 * len(foreign) and kept.get("noise", 0) <= 0.05 * len(noise)
