@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classification, cleaning, explanation, reports, scoring, segmentation, vectors
 from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, LEXICON, TAG_CATEGORY
+from ..sources import store
 from ..streaming import ingest
 from . import analysis, contracts
 
@@ -409,6 +410,15 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.repeated_line_counts(pages, DEFAULT.with_(min_page_fraction=0.04)).withColumnRenamed("on", "n")
 
 
+@query("""SELECT o_custkey AS user_id, o_orderkey AS id, o_orderdate AS created_at FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 10""")
+def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's list of every user's newest documents, taking orders as documents."""
+    orders = _table(spark, sf_dir, "orders")
+    held = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("string").alias("analysis_json"))
+    return store.listed(held, 10, by="user_id")
+
+
 @query("SELECT c_custkey, upper(CASE WHEN contains(c_name, ' ') THEN c_name[1] || string_split(c_name, ' ')[-1][1] ELSE c_name[1:2] END) AS initials, CASE WHEN length(c_name) > 6 THEN c_name[1:6] || '…' ELSE c_name END AS short FROM customer")
 def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("c_name")
@@ -420,10 +430,11 @@ def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL),
   c AS (SELECT label, list(m ORDER BY d) AS c, sqrt(sum(m * m)) + 1e-12 AS norm FROM m GROUP BY label)
-  SELECT vec_id, e.label, round(list_inner_product(CAST(embedding AS DOUBLE[]), c.c) / norm, 5) AS similarity FROM embeddings e JOIN c USING (label)""")
+  SELECT vec_id, label, round(s, 5) AS similarity, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS place
+  FROM (SELECT vec_id, e.label, list_inner_product(CAST(embedding AS DOUBLE[]), c.c) / norm AS s FROM embeddings e JOIN c USING (label))""")
 def centroid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = vectors.ranked_by_centroid(_table(spark, sf_dir, "embeddings"))
-    return ranked.select("vec_id", "label", F.round("similarity_to_centroid", 5).alias("similarity"))
+    return ranked.select("vec_id", "label", F.round("similarity_to_centroid", 5).alias("similarity"), "place")
 
 
 def _bank_sql(per_label: int) -> str:
