@@ -1,7 +1,8 @@
 """A forgiving reading of HTML into a tree of blocks.
 
 Only elements that start a block become nodes; the text of inline elements goes to the block
-around them. Scripts, styles and other elements without readable text are dropped whole.
+around them. Scripts, styles and other elements without readable text are dropped whole, and so
+are those that the page itself hides.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ _TAG = re.compile(
     r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+)(?:>|\Z)",
     re.S,
 )
+_HIDING = re.compile(r"display\s*+:\s*+none", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
 
@@ -56,20 +58,28 @@ def attribute(source: str, name: str) -> str:
     return ""
 
 
+def hidden(tag: str, attributes: str) -> bool:
+    """Whether an element says that it is not shown. Pages that hide themselves until a script shows them are shown."""
+    if tag in ("html", "body") or not ("hidden" in attributes.lower() or "display" in attributes.lower()):
+        return False
+    bare = _ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()
+    return "hidden" in bare or any(m[1].lower() == "hidden" for m in _ATTRIBUTE.finditer(attributes)) or bool(_HIDING.search(attribute(attributes, "style")))
+
+
 def parse(source: str) -> list[Node]:
     """The blocks of a page in page order; the first is the page itself."""
     nodes = [Node("#page", "", -1, [])]
-    # open elements: (tag, node that takes text inside it)
-    stack: list[tuple[str, int]] = [("#page", 0)]
+    # open elements: (tag, node that takes text inside it, whether its text is dropped)
+    stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
     opened: dict[str, int] = {}  # how often a tag is open
     dropped = links = 0
     at, end, order = 0, len(source), 0
 
     def close_top() -> None:
         nonlocal dropped, links
-        tag, _ = stack.pop()
+        tag, _, silent = stack.pop()
         opened[tag] -= 1
-        dropped -= tag in DROPPED
+        dropped -= silent
         links -= tag == "a"
 
     def text(piece: str) -> None:
@@ -132,8 +142,9 @@ def parse(source: str) -> list[Node]:
             text(" ")
             nodes.append(Node(tag, m[3], node, []))
             node = len(nodes) - 1
-        stack.append((tag, node))
+        silent = tag in DROPPED or hidden(tag, m[3])
+        stack.append((tag, node, silent))
         opened[tag] = opened.get(tag, 0) + 1
-        dropped += tag in DROPPED
+        dropped += silent
         links += tag == "a"
     return nodes

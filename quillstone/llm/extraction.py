@@ -19,30 +19,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import dom
-from .labelled_pages import labelled_pages
+from .labelled_pages import KNOWN, labelled_pages
 from .shared import slices
 
 # fixed values: kinds of elements
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption address summary".split())
 SECTIONS = frozenset("article main nav aside header footer form section".split())
+PAGE = frozenset(("#page", "html", "body"))
 _WORD = re.compile(r"[a-z]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def describe(node: dom.Node) -> list[str]:
-    """Names of the features that a node has."""
-    found = [f"tag={node.tag}"]
-    if not named(node):
-        found.append(f"bare={node.tag}")
+def names(node: dom.Node) -> set[str]:
+    """The words of a node's class, id and role that sites give their parts; generated names say nothing."""
+    found: set[str] = set()
     if node.attributes:
         for name in ("class", "id", "role"):
             if name in node.attributes.lower():
-                value = _SPLIT_CASE.sub(" ", dom.attribute(node.attributes, name)).lower()
-                found += [f"named={w}" for w in set(_WORD.findall(value))]
+                found.update(_WORD.findall(_SPLIT_CASE.sub(" ", dom.attribute(node.attributes, name)).lower()))
+    return found & KNOWN
+
+
+def describe(node: dom.Node, said: set[str]) -> list[str]:
+    """Names of the features of a node that has these names."""
+    found = [f"tag={node.tag}"]
+    found += [f"named={w}" for w in said] if said else [f"bare={node.tag}"]
     own = "".join([t for _, t in node.text])
     n = len(own.strip())
     if n:
         found.append(f"length={sum(n >= k for k in (25, 80, 250))}")
+        if node.tag in PAGE:  # text of the page itself, in no element
+            found.append(f"loose={sum(n >= k for k in (25, 80))}")
         found.append(f"links={sum(node.linked > k * n for k in (0.0, 0.3, 0.7))}")
         stops = own.count(". ") + own.count(", ") + (own.rstrip()[-1:] in ".!?")
         found.append(f"stops={sum(stops >= k for k in (1, 2, 5))}")
@@ -52,32 +59,36 @@ def describe(node: dom.Node) -> list[str]:
 
 
 def insides(nodes: list[dom.Node]) -> list[list[str]]:
-    """For each node names for how much text its subtree holds, and how much of that is links."""
-    size, linked = [0] * len(nodes), [0] * len(nodes)
+    """For each node names for how much text its subtree holds, how much of that is links, and how much stands in the node and its paragraphs."""
+    size, linked, near = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
-        size[i] += sum(len(t.strip()) for _, t in nodes[i].text)
+        own = sum(len(t.strip()) for _, t in nodes[i].text)
+        size[i] += own
+        near[i] += max(0, own - nodes[i].linked)
+        if nodes[i].parent >= 0 and nodes[i].tag in TEXTUAL:
+            near[nodes[i].parent] += max(0, own - nodes[i].linked)
         linked[i] += nodes[i].linked
         if nodes[i].parent >= 0:
             size[nodes[i].parent] += size[i]
             linked[nodes[i].parent] += linked[i]
     whole = max(1, size[0]) if nodes else 1
     return [
-        [f"inside={sum(n >= k for k in (1, 40, 150, 600))}", f"inlinks={sum(m > k * n for k in (0.0, 0.3, 0.7))}", f"share={sum(n > k * whole for k in (0.02, 0.1, 0.3, 0.6))}"]
-        for n, m in zip(size, linked, strict=True)
+        [
+            f"inside={sum(n >= k for k in (1, 40, 150, 600))}",
+            f"inlinks={sum(m > k * n for k in (0.0, 0.3, 0.7))}",
+            f"share={sum(n > k * whole for k in (0.02, 0.1, 0.3, 0.6))}",
+            f"near={'page' if node.tag in PAGE else ''}{sum(h >= k for k in (1, 80, 250))}",
+        ]
+        for node, n, m, h in zip(nodes, size, linked, near, strict=True)
     ]
 
 
-def named(node: dom.Node) -> bool:
-    """Whether a class, id or role says something about the node."""
-    return any(f"{name}=" in node.attributes.lower() for name in ("class", "id", "role"))
-
-
 #: Kinds of children that edges tell apart.
 KINDS = 4
 
 
-def kind(node: dom.Node) -> int:
-    return 0 if node.tag in TEXTUAL else 1 if node.tag in SECTIONS else 2 + named(node)
+def kind(node: dom.Node, said: set[str]) -> int:
+    return 0 if node.tag in TEXTUAL else 1 if node.tag in SECTIONS else 2 + bool(said)
 
 
 @dataclass
@@ -97,13 +108,14 @@ def forest(pages: list[list[dom.Node]], number: dict[str, int], learn: bool = Fa
     for nodes in pages:
         whole = insides(nodes)
         for i, node in enumerate(nodes):
-            for name in describe(node) + whole[i]:
+            said = names(node)
+            for name in describe(node, said) + whole[i]:
                 k = number.setdefault(name, len(number)) if learn else number.get(name)
                 if k is not None:
                     features.append(k)
                     owner.append(base + i)
             parent.append(base + node.parent if node.parent >= 0 else -1)
-            kinds.append(kind(node))
+            kinds.append(kind(node, said))
             depth.append(depth[parent[-1]] + 1 if node.parent >= 0 else 0)
         base += len(nodes)
     depths = np.array(depth, np.int64)
@@ -169,7 +181,7 @@ def fit(pages: list[tuple[list[dom.Node], list[int]]], rounds: int = 250, ridge:
 
 
 @functools.cache
-def default_model(pages: int = 480, seed: int = 1) -> Model:
+def default_model(pages: int = 640, seed: int = 1) -> Model:
     """The model fitted on the package's own labelled pages."""
     return fit(labelled_pages(pages, seed))
 
@@ -196,7 +208,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Per page: page_id, url, text and n_chars (code points).
 
     One pass without a shuffle. White space inside a block, Unicode's included, becomes one space;
-    blocks are joined in page order by one space. A null or empty page has an empty text; a page
+    blocks are joined in page order by one space. Elements that are hidden by attribute or style are not read. A null or empty page has an empty text; a page
     without tags is one block of its own and is judged like any other; broken markup is read as
     browsers would, without failing. Nulls in page_id and url stay; repeated rows each keep their
     row; an empty table gives no rows; other columns are not read.

@@ -3,13 +3,14 @@
 A page is drawn from a grammar of layouts: an article in one of several containers, which may
 have no name, one that says nothing, or may be the page's body itself, surrounded by and sometimes
 interleaved with menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
-Each element of the grammar says whether its text is content. An article's own header, with its
+Content and noise alike may bear names that a program generated. Each element of the grammar says whether its text is content. An article's own header, with its
 heading and byline, is.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 from . import dom
 
@@ -29,6 +30,15 @@ TOP = ["entry-header", "post-header", "article-header"]
 PLAIN = ["wrapper", "container", "page", "layout", "row", "inner", "col", "site", "wrap"]
 FORM = ["form", "search", "newsletter", "subscribe", "signup", "login", "contact-form"]
 
+ROLES = {"nav": ["navigation"], "aside": ["complementary"], "footer": ["contentinfo"], "header": ["banner"], "form": ["search"], "main": ["main"]}
+#: All words of these names; any other word of a class, id or role says nothing.
+KNOWN = frozenset(
+    w.lower()
+    for names in (CONTENT, MENU, SIDE, ADVERT, NOTICE, COMMENT, FOOTER, HEADER, SHARE, BYLINE, TOP, PLAIN, FORM, *ROLES.values())
+    for name in names
+    for w in re.findall(r"[A-Z]?[a-z]+", name)
+)
+
 
 class Maker:
     def __init__(self, seed: int):
@@ -51,10 +61,19 @@ class Maker:
 
     def tag(self, name: str, inner: str, y: int, names: list[str] | None = None) -> str:
         r, extra = self.rng, ""
-        if names and r.random() < 0.96:
+        if name in ROLES and r.random() < 0.1:
+            extra = f' role="{ROLES[name][0]}"'
+        elif names is None and r.random() < 0.1:
+            extra = f' class="{self.generated()}"'
+        elif names and r.random() < 0.96:
             extra = f' {r.choice(["class", "class", "id"])}="{r.choice(names)}"'
         return f'<{name}{extra} {_MARK}="{y}">{inner}</{name}>'
 
+    def generated(self) -> str:
+        """A name as programs make them."""
+        r = self.rng
+        return r.choice(["css-", "sc-", "jsx-", "_", "x", ""]) + "".join(r.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(r.randint(2, 8)))
+
     def links(self, y: int = 0) -> str:
         r = self.rng
         items = "".join(self.tag("li", f'<a href="/{i}">{self.words(1, 4)}</a>', y) for i in range(r.randint(2, 9)))
@@ -124,8 +143,10 @@ class Maker:
             elif p < 0.92:
                 out.append(self.tag("blockquote", r.choice([text, self.tag("p", text, 1)]), 1))
             elif p < 0.95:
-                row = lambda: self.tag("tr", "".join(self.tag("td", self.words(1, 4), 1) for _ in range(3)), 1)
-                out.append(self.tag("table", row() + row(), 1))
+                row = lambda cell: self.tag("tr", "".join(self.tag(cell, self.words(1, 4), 1) for _ in range(3)), 1)
+                out.append(self.tag("table", row(r.choice(["td", "th"])) + row("td") + row("td") * r.randint(0, 3), 1))
+            elif p < 0.97:
+                out.append(self.tag("pre", "\n".join(self.words(1, 12) for _ in range(r.randint(1, 6))), 1))
             else:
                 out.append(self.tag("div", text, 1))
             if r.random() < 0.08:
@@ -135,9 +156,21 @@ class Maker:
             out = [self.tag(name, "".join(out[i:k]), 1) for i, k in zip([0, *cut], [*cut, len(out)], strict=True)]
         return "".join(out)
 
+    def loose(self) -> str:
+        """An article whose paragraphs are lines of text without elements of their own, or one element of such lines."""
+        r = self.rng
+        line = lambda: self.words(6, 60)
+        lines = r.choice(["<br><br>", "<br>", "<br/>\n"]).join(line() for _ in range(r.randint(1, 6)))
+        whole = r.choice([lines, lines, self.tag("pre", lines, 1)])
+        return (self.tag("h1", self.words(2, 9), 1) if r.random() < 0.4 else "") + whole
+
     def page(self) -> str:
-        r, body = self.rng, self.body()
-        layout = r.randrange(11)
+        r = self.rng
+        if r.random() < 0.04:  # plain prose
+            return self.words(8, 120)
+        bare = r.random() < 0.12
+        body = self.loose() if bare else self.body()
+        layout = r.choice([0, 2, 6, 9, 9, 9]) if bare else r.randrange(11)
         if layout <= 1:
             main = self.tag("article", body, 1, r.choice([None, None, CONTENT]))
         elif layout == 2:
@@ -145,7 +178,7 @@ class Maker:
         elif layout == 3:
             main = self.tag("div", body, 1, CONTENT)
         elif layout == 4:
-            main = self.tag("main", self.tag("article", body, 1), 0)
+            main = self.tag("main", self.tag("article", body, 1), 1)
         elif layout == 5:
             main = self.tag("section", body, 1, CONTENT)
         elif layout <= 7:
@@ -156,11 +189,11 @@ class Maker:
             main = body  # in the page's body, or in the whole of the document
         else:
             cells = self.tag("td", body, 1) + self.tag("td", self.links(), 0, r.choice([None, SIDE])) * r.randint(0, 1)
-            main = self.tag("table", self.tag("tr", cells, 0), 0)
+            main = self.tag("table", self.tag("tr", cells, 1), 1)
         if r.random() < 0.15:  # the article alone
             return self.tag("body", main, 1) if layout == 9 else main
         while layout != 9 and r.random() < 0.35:
-            main = self.tag("div", main, 0, r.choice([None, PLAIN]))
+            main = self.tag("div", main, 1, r.choice([None, PLAIN]))
         top = self.tag("header", self.tag(r.choice(["div", "p", "h2"]), self.words(1, 5), 0) + r.choice(["", self.links()]), 0, r.choice([None, HEADER])) if r.random() < 0.5 else ""
         if r.random() < 0.2:
             top += self.tag("div", r.choice([self.words(1, 8), self.links()]), 0, HEADER)
@@ -168,15 +201,17 @@ class Maker:
         after = "".join(self.noise() for _ in range(r.randint(0, 3)))
         sign = r.choice(["&copy; ", "&copy; ", "", "© "]) + self.words(2, 25)
         end = self.tag("footer", r.choice([sign, self.tag("p", sign, 0), self.links()]), 0, r.choice([None, FOOTER])) if r.random() < 0.8 else self.tag("div", sign, 0, FOOTER)
+        if bare and r.random() < 0.5:
+            top = before = after = end = ""
         return f'<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body {_MARK}="{int(layout == 9)}">{top}{before}{main}{after}{end}</body></html>'
 
 
 def labels(nodes: list[dom.Node]) -> list[int]:
-    """The mark of each node, or that of the nearest marked node around it."""
+    """The mark of each node, or that of the nearest marked node around it; a page of nothing but text is content."""
     out: list[int] = []
     for node in nodes:
         mark = dom.attribute(node.attributes, _MARK)
-        out.append(int(mark) if mark else out[node.parent] if node.parent >= 0 else 0)
+        out.append(int(mark) if mark else out[node.parent] if node.parent >= 0 else int(len(nodes) == 1))
     return out
 
 

@@ -1,0 +1,41 @@
+"""Thirty more pages written by hand. On their first run 27 were exact; labels of wrappers and one feature were then changed."""
+
+A = "The old lighthouse was sold on Monday. Its new owner, a retired pilot, wants to keep the lamp burning."
+B = "Visitors came from three valleys to see it. Some stayed until the light was lit, and the last boat waited for them."
+C = "Nobody in the village could say how old the tower is. A stone above the door bears the year 1741."
+D = "In winter the road is closed, so supplies come by sea. The pilot has already bought a boat for that."
+NAV = '<ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li></ul>'
+
+#: name: (page, text of the article)
+PAGES = {
+    "article in main": (f"<body><nav>{NAV}</nav><main><article><h1>Sold</h1><p>{A}</p><p>{B}</p></article></main><footer>© 2024 Coast Press</footer></body>", f"Sold {A} {B}"),
+    "hashed names": (f'<div class="k3j"><div class="css-1x2y"><nav>{NAV}</nav></div><div class="css-77q"><h1>Sold</h1><div class="css-0p"><p>{A}</p><p>{B}</p><p>{C}</p></div></div></div>', f"Sold {A} {B} {C}"),
+    "hashed paragraphs": (f'<article class="sc-ab12"><h1 class="sc-q9">Sold</h1><p class="sc-z1">{A}</p><p class="sc-z1">{B}</p></article>', f"Sold {A} {B}"),
+    "hashed everything": (f'<div id="app"><header class="a1b2">Coast Press</header><div class="c3d4"><div class="e5f6"><p class="g7">{A}</p><p class="g7">{B}</p></div></div><footer class="h8">© Coast Press, all rights reserved.</footer></div>', f"{A} {B}"),
+    "lines in the body": (f"<html><head><title>x</title></head><body>{A}<br><br>{B}<br><br>{C}</body></html>", f"{A} {B} {C}"),
+    "heading and lines": (f"<html><body><h1>Sold</h1>{A}<br><br>{B}</body></html>", f"Sold {A} {B}"),
+    "preformatted": (f"<html><body><pre>{A}\n{B}\n\n{C}</pre></body></html>", f"{A} {B} {C}"),
+    "prose": (f"{A} {B} {C}", f"{A} {B} {C}"),
+    "prose with bold words": (f"{A} <b>{B}</b> {C}", f"{A} {B} {C}"),
+    "table with heads": (f"<main><h1>Boats</h1><p>{A}</p><table><thead><tr><th>Year</th><th>Boats</th></tr></thead><tbody><tr><td>1990</td><td>12</td></tr><tr><td>2000</td><td>9</td></tr></tbody></table><p>{B}</p></main>", f"Boats {A} Year Boats 1990 12 2000 9 {B}"),
+    "row heads": (f"<article><p>{A}</p><table><tr><th>Height</th><td>31 metres</td></tr><tr><th>Built</th><td>1741</td></tr></table></article>", f"{A} Height 31 metres Built 1741"),
+    "hidden by style": (f'<article><p>{A}</p><div style="color:red; display: none">Secret words, not shown. None of them.</div><p>{B}</p></article>', f"{A} {B}"),
+    "hidden by attribute": (f"<article><p>{A}</p><div hidden><p>{C}</p></div><p>{B}</p></article>", f"{A} {B}"),
+    "hidden body": (f'<html><body style="display:none"><article><p>{A}</p><p>{B}</p></article></body></html>', f"{A} {B}"),
+    "cookie notice": (f'<div class="cookie-consent"><p>We use cookies to improve this site. By reading on, you agree.</p><button>OK</button></div><article><h1>Sold</h1><p>{A}</p></article>', f"Sold {A}"),
+    "comments below": (f'<article><h1>Sold</h1><p>{A}</p><p>{B}</p></article><section id="comments"><h3>Comments</h3><div class="comment"><p>What a sad day, I loved it.</p></div><div class="comment"><p>Good news for the village!</p></div></section>', f"Sold {A} {B}"),
+    "advert inside": (f'<article><h1>Sold</h1><p>{A}</p><div class="ad-slot">Buy two lamps, get one free. Only today!</div><p>{B}</p></article>', f"Sold {A} {B}"),
+    "sidebar of links": (f'<div class="wrapper"><div class="post-content"><h1>Sold</h1><p>{A}</p><p>{B}</p></div><aside class="sidebar"><h3>Most read</h3>{NAV}</aside></div>', f"Sold {A} {B}"),
+    "newsletter form": (f'<main><h1>Sold</h1><p>{A}</p><form class="newsletter"><p>Get our letter every week.</p><input name="mail"><button>Join</button></form><p>{B}</p></main>', f"Sold {A} {B}"),
+    "roles": (f'<div role="banner">Coast Press</div><div role="navigation">{NAV}</div><div role="main"><h1>Sold</h1><p>{A}</p><p>{B}</p></div><div role="contentinfo">© Coast Press</div>', f"Sold {A} {B}"),
+    "quotation": (f"<article><h1>Sold</h1><p>{A}</p><blockquote><p>{C}</p></blockquote><p>{B}</p></article>", f"Sold {A} {C} {B}"),
+    "list": (f"<article><h1>Sold</h1><p>{A}</p><ul><li>a lamp of brass</li><li>two iron stairs</li><li>one bell</li></ul></article>", f"Sold {A} a lamp of brass two iron stairs one bell"),
+    "figure": (f'<article><h1>Sold</h1><figure><img src="x.jpg"></figure><p>{A}</p><p>{D}</p></article>', f"Sold {A} {D}"),
+    "sections": (f"<main><h1>Sold</h1><section><h2>The sale</h2><p>{A}</p></section><section><h2>The tower</h2><p>{C}</p></section></main>", f"Sold The sale {A} The tower {C}"),
+    "paragraphs in divs": (f'<div class="story"><div>{A}</div><div>{B}</div><div>{D}</div></div>', f"{A} {B} {D}"),
+    "deep and plain": (f"<div><div><div><div><h1>Sold</h1><p>{A}</p><p>{B}</p></div></div></div></div>", f"Sold {A} {B}"),
+    "old layout table": (f'<table><tr><td class="menu">{NAV}</td><td><h1>Sold</h1><p>{A}</p><p>{B}</p></td></tr></table>', f"Sold {A} {B}"),
+    "share buttons": (f'<article><h1>Sold</h1><div class="share-buttons"><a href=x>Post</a> <a href=y>Mail</a></div><p>{A}</p><p>{B}</p></article>', f"Sold {A} {B}"),
+    "footer in hashes": (f'<main class="m9x"><p>{A}</p><p>{B}</p></main><footer class="f0z"><p>© 2023 Coast Press. All rights reserved.</p>{NAV}</footer>', f"{A} {B}"),
+    "unclosed tags": (f"<body><nav>{NAV}</nav><article><h1>Sold</h1><p>{A}<p>{B}<p>{C}</article>", f"Sold {A} {B} {C}"),
+}

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quillstone.llm import dom, extraction, labelled_pages
+from tests.llm.fresh_pages import PAGES as FRESH
 from tests.llm.hand_pages import PAGES
 
 
@@ -51,15 +52,47 @@ def test_pages_of_the_table(spark, model):
         assert text == " ".join(html.unescape(article).split())
 
 
-def test_hand_written_pages(model):
-    """Pages that the grammar did not make: nearly all are read exactly."""
-    got = extraction.main_texts([page for page, _ in PAGES.values()], model)
-    wrong = {name: (text, want) for (name, (_, want)), text in zip(PAGES.items(), got, strict=True) if text != want}
-    print("not exact:", {n: (g[:300], len(w)) for n, (g, w) in wrong.items()})
-    assert len(PAGES) == 30 and len(wrong) <= 3
-    assert all(text for text in got)
-    for name in ("unnamed container", "bare body", "bare body alone", "byline in a header"):
-        assert name not in wrong
+@pytest.mark.parametrize("pages", [PAGES, FRESH], ids=["hand", "fresh"])
+def test_hand_written_pages(model, pages):
+    """Pages that the grammar did not make are read exactly."""
+    got = extraction.main_texts([page for page, _ in pages.values()], model)
+    assert len(pages) == 30 and {name: t for name, t in zip(pages, got, strict=True) if t != pages[name][1]} == {}
+
+
+P = "The council agreed on the plan for the harbour. Work begins in the spring, and it will take two years."
+Q = "Boats may use the northern pier until then. The southern one stays closed for repairs."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><h1>T</h1><div class="css-9z">{P}</div><div class="css-4k">{Q}</div></article>', f"T {P} {Q}"),
+        (f'<div id="__next"><div class="sc-a"><nav><a href=x>Home</a></nav><h1>T</h1><div class="sc-gz"><p>{P}</p><p>{Q}</p></div></div></div>', f"T {P} {Q}"),
+        (f"<body>{P}<br><br>{Q}</body>", f"{P} {Q}"),
+        (f"<pre>{P} {Q}</pre>", f"{P} {Q}"),
+        (f"{P} {Q}", f"{P} {Q}"),
+        (f"<main><h1>T</h1><p>{P}</p><table><tr><th>Year</th><th>Boats</th></tr><tr><td>1990</td><td>12</td></tr></table></main>", f"T {P} Year Boats 1990 12"),
+        (f'<article><p>{P}</p><p style="display:none">{Q}</p><p hidden>{Q}</p></article>', P),
+    ],
+)
+def test_generated_names_loose_text_and_hidden_parts(model, page, text):
+    assert extraction.main_texts([page], model) == [text]
+
+
+@pytest.mark.parametrize(
+    ("tag", "attributes", "want"),
+    [("p", " hidden", True), ("p", " hidden=''", True), ("div", ' style="color: red; DISPLAY : none"', True), ("div", ' class="hidden-xs display"', False), ("p", ' title="hidden"', False), ("body", ' style="display:none"', False), ("p", " data-hidden", False)],
+)
+def test_hidden(tag, attributes, want):
+    assert dom.hidden(tag, attributes) == want
+
+
+def test_a_very_long_page(model):
+    """Many deep and many flat blocks: nothing is cut."""
+    line = "One sentence, and one more of the same. "
+    page = f"<article>{'<div>' * 2000}<p>{line}</p>{'</div>' * 2000}{f'<p>{line}</p>' * 20_000}</article>"
+    (text,) = extraction.main_texts([page], model)
+    assert text.count("same.") >= 20_000
 
 
 def test_white_space_references_and_inline(model):
