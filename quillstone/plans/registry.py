@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classification, cleaning, explanation, reports, scoring, segmentation, vectors
+from ..operators import cells, classification, cleaning, explanation, reports, scoring, segmentation, vectors
 from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, LEXICON, TAG_CATEGORY
 from ..sources import store
 from ..streaming import ingest
@@ -487,6 +487,18 @@ def exemplar_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.select("exemplar_idx", "label", "original_index", F.round("similarity_to_centroid", 5).alias("similarity"))
 
 
+@query(f"""WITH near AS (SELECT q.vec_id, b.vec_id AS exemplar_idx, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0)
+  SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, exemplar_idx) AS INTEGER) AS place, exemplar_idx, round(s, 6) AS similarity FROM near
+  QUALIFY place <= {DEFAULT.neighbours}""")
+def indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors to every vector whose id is divisible by 50, by an index of cells."""
+    rows = _table(spark, sf_dir, "embeddings")
+    index = cells.build(rows.select(F.col("vec_id").alias("exemplar_idx"), F.col("label").cast("string").alias("label"), F.lit("").alias("text"), "embedding"))
+    found = cells.search(rows.where("vec_id % 50 = 0").select("vec_id", "embedding"), index)
+    near = found.select("vec_id", F.posexplode("nearest").alias("place", "n"))
+    return near.select("vec_id", (F.col("place") + 1).alias("place"), "n.exemplar_idx", F.round("n.similarity", 6).alias("similarity"))
+
+
 @query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER) AS place,
   round(max(n) OVER () / min(n) OVER (), 6) AS imbalance FROM n""")
 def label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
