@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..settings import CATEGORIES, STRUCTURAL_ROLES
+from .vectors import checkpointed
 
 LEVEL_PLACE = {"high": 0, "medium": 1, "low": 2}
 
@@ -26,10 +27,36 @@ def top(df: DataFrame, n: int, *order: Column | str, by: str | None = "doc_id")
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: the element in the middle of the sorted values, the upper one of two."""
-    held = F.array_sort(F.collect_list(values))
-    return F.get(held, F.floor(F.size(held) / 2).cast("int"))
+def upper_medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(`by`, median): the element in the middle of each group's sorted values, the upper one of two; nulls do not count.
+
+    Equal values are counted before they are exchanged, then dealt by ranges of (group, value); the
+    range that holds the middle follows from the counts of ranges, and only that range is walked.
+    No task holds a group, and nothing but its counts is gathered. Groups without a value have no row.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # written once, as a range's number must not change between the two uses
+    dealt = checkpointed(counted.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_g", "_range").agg(F.sum("_n").alias("_rows"))
+    group = Window.partitionBy("_g")  # a row for each range
+    upto = F.sum("_rows").over(group.orderBy("_range"))
+    ranges = ranges.withColumns({"_before": upto - F.col("_rows"), "_half": F.floor(F.sum("_rows").over(group) / 2)})
+    middle = ranges.where("_before <= _half AND _half < _before + _rows").select(F.col("_g").alias("_h"), F.col("_range").alias("_r"), "_before", "_half")
+    near = dealt.join(middle, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_range") == F.col("_r")))
+    running = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g").orderBy("_v"))
+    return near.withColumn("_upto", running).where("_upto > _half AND _upto - _n <= _half").select(F.col("_g").alias(by), F.col("_v").alias("median"))
+
+
+def median_to_come() -> Column:
+    """Holds the place of the median among aggregates until `with_medians` puts it in."""
+    return F.lit(None).cast("double").alias("median")
+
+
+def with_medians(stats: DataFrame, medians: DataFrame, by: str) -> DataFrame:
+    """`stats`, one row for each group, with the median in place of its column of that name."""
+    found = medians.select(F.col(by).alias("_g"), F.col("median").alias("_m"))
+    columns = [F.col("_m").alias("median") if c == "median" else F.col(c) for c in stats.columns]
+    return stats.join(found, F.col(by).eqNullSafe(F.col("_g")), "left").select(*columns)
 
 
 def summary_columns() -> list[Column]:
@@ -104,9 +131,10 @@ def deviation_stats(clauses: DataFrame, by: str = "doc_id") -> DataFrame:
     """Of substantive clauses: least, upper median, mean and largest deviation, and five bins of a fifth."""
     d = F.col("deviation")
     bins = {f"bin_{i}": F.count_if((d >= 0.2 * i if i else F.lit(True)) & (d < 0.2 * (i + 1) if i < 4 else F.lit(True))) for i in range(5)}
-    stats = [F.count("*").alias("n"), F.min(d).alias("low"), upper_median(d).alias("median"), F.avg(d).alias("mean"), F.max(d).alias("high")]
+    stats = [F.count("*").alias("n"), F.min(d).alias("low"), median_to_come(), F.avg(d).alias("mean"), F.max(d).alias("high")]
     mismatches = F.count_if(F.col("agrees").eqNullSafe(False)).alias("mismatches")
-    return clauses.where(~F.col("skipped")).groupBy(by).agg(*stats, *[c.alias(n) for n, c in bins.items()], mismatches)
+    rows = checkpointed(clauses.where(~F.col("skipped")).select(by, "deviation", "agrees"))  # read twice
+    return with_medians(rows.groupBy(by).agg(*stats, *[c.alias(n) for n, c in bins.items()], mismatches), upper_medians(rows, by, "deviation"), by)
 
 
 def mismatches(clauses: DataFrame, n: int = 5) -> DataFrame:
@@ -119,9 +147,11 @@ def by_deviation(clauses: DataFrame) -> DataFrame:
 
 def risk_stats(clauses: DataFrame) -> DataFrame:
     """Of substantive clauses: counts by level, and least, upper median, mean and largest score."""
-    s = F.col("risk.score")
-    levels = [F.count_if(F.col("risk.level") == x).alias(x) for x in ("high", "medium", "low")]
-    return clauses.where(~F.col("skipped")).groupBy("doc_id").agg(F.count("*").alias("n"), *levels, F.min(s).alias("least"), upper_median(s).alias("median"), F.avg(s).alias("mean"), F.max(s).alias("most"))
+    s = F.col("score")
+    levels = [F.count_if(F.col("level") == x).alias(x) for x in ("high", "medium", "low")]
+    rows = checkpointed(clauses.where(~F.col("skipped")).select("doc_id", "risk.score", "risk.level"))  # read twice
+    stats = rows.groupBy("doc_id").agg(F.count("*").alias("n"), *levels, F.min(s).alias("least"), median_to_come(), F.avg(s).alias("mean"), F.max(s).alias("most"))
+    return with_medians(stats, upper_medians(rows, "doc_id", "score"), "doc_id")
 
 
 def category_counts(clauses: DataFrame) -> DataFrame:
@@ -135,13 +165,15 @@ def risk_ranking(clauses: DataFrame, n: int = 5) -> DataFrame:
 
 def classification_stats(clauses: DataFrame) -> DataFrame:
     """Skipped, with context and alone; least, upper median, mean and largest confidence of labelled clauses."""
-    c = F.when(F.col("label").isNotNull(), F.col("confidence"))
-    return clauses.groupBy("doc_id").agg(
+    c = F.col("sure_of")
+    rows = checkpointed(clauses.select("doc_id", "label", "skipped", "used_context", F.when(F.col("label").isNotNull(), F.col("confidence")).alias("sure_of")))  # read twice
+    stats = rows.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"), F.count_if("skipped").alias("skipped"), F.count_if("used_context").alias("with_context"),
         F.count_if(~F.col("skipped") & ~F.col("used_context")).alias("standalone"),
-        F.min(c).alias("low"), upper_median(c).alias("median"), F.max(c).alias("high"), F.avg(c).alias("mean"),
+        F.min(c).alias("low"), median_to_come(), F.max(c).alias("high"), F.avg(c).alias("mean"),
         F.count_if(c >= 0.7).alias("sure"), F.count_if(c < 0.5).alias("unsure"),
     )
+    return with_medians(stats, upper_medians(rows, "doc_id", "sure_of"), "doc_id")
 
 
 def frequent_labels(clauses: DataFrame, n: int = 10) -> DataFrame:

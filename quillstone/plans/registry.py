@@ -401,6 +401,15 @@ def clean_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.crc32("cleaned").alias("crc32"), F.length("cleaned").alias("n_chars"))
 
 
+@query(f"SELECT doc_id, rn, line AS cleaned FROM ({contracts.LINES}) l")
+def unicode_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses with ligatures, full-width letters, raised digits and other spaces put in, cleaned to what they were."""
+    dirty = F.col("line")
+    for written, found in (("ffi", "\ufb03"), ("fi", "\ufb01"), ("ff", "\ufb00"), ("fl", "\ufb02"), ("S", "\uff33"), ("T", "\uff34"), ("9", "\u2079"), (" the ", "\u00a0the\u3000"), (" of ", "\u2003 of ")):
+        dirty = F.replace(dirty, F.lit(written), F.lit(found))
+    return contracts.lines(spark, sf_dir).select("doc_id", "rn", T.clean_text(dirty).alias("cleaned"))
+
+
 @query("""WITH k AS (SELECT DISTINCT source AS doc_id, doc_id AS page, regexp_replace(trim(unnest(string_split(text, chr(10)))), '\\s+', ' ', 'g') AS line FROM documents WHERE text IS NOT NULL),
   n AS (SELECT source AS doc_id, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 2)
   SELECT doc_id, line, count(*) AS n FROM k JOIN n USING (doc_id) WHERE length(line) > 2 GROUP BY doc_id, line, pages HAVING count(*) >= pages * 0.04""")

@@ -1,11 +1,11 @@
-"""Places within a label by ranges, against one sort of each label."""
+"""Places within a label and medians by ranges, against one sort of each group."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import vectors
+from quillstone.operators import reports, vectors
 
 
 def test_places_of_a_hot_label(spark):
@@ -27,3 +27,28 @@ def test_places_of_a_hot_label(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_upper_medians_of_hot_groups(spark):
+    """One group with most rows, one of one value, single rows, nulls in both columns; ranges cut the hot group."""
+    rng = random.Random(5)
+    rows = [("hot", rng.random()) for _ in range(2001)] + [("hot", 0.25)] * 701 + [("same", 0.5)] * 400 + [(None, float(i)) for i in range(6)] + [("none", None), ("hot", None), ("one", -1.0), ("two", 2.0), ("two", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = reports.upper_medians(df, "g", "v")
+        got = {r.g: r.median for r in found.collect()}
+        plan = found._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    held: dict = {}
+    for g, v in rows:
+        if v is not None:
+            held.setdefault(g, []).append(v)
+    assert got == {g: sorted(v)[len(v) // 2] for g, v in held.items()}
+    assert "collect_list" not in plan
+    assert reports.upper_medians(df.limit(0), "g", "v").count() == 0
