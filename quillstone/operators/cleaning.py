@@ -41,7 +41,9 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
     The offsets index the joined cleaned pages, not the document cleaned as a whole.
     """
-    cleaned = pages.withColumn("text", T.clean_text(F.col("text"))).where(F.length("text") > 0)
+    # a generator of one row: the filter stays above the cleaning, which would be written out for each of them
+    others = [c for c in pages.columns if c != "text"]
+    cleaned = pages.select(*others, F.explode(F.array(T.clean_text(F.col("text")))).alias("text")).select(*pages.columns).where(F.length("text") > 0)
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
     return cleaned.withColumn("char_start", start.cast("int")).withColumn("char_end", (start + F.length("text")).cast("int"))
