@@ -260,7 +260,8 @@ def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_SCORED} SELECT * FROM (SELECT doc_id, coalesce(label, 'Unclassified') AS label, count(*) AS n FROM scored GROUP BY 1, 2) t
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label) <= 3""")
 def clause_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.clause_types(_scored(spark, sf_dir), 3)
+    # labels are there before any scoring
+    return reports.clause_types(contracts.clauses(spark, sf_dir), 3)
 
 
 @query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score, hint[1:300] AS why FROM ({HINTED_SQL}) h WHERE risk_level IN ('high', 'medium')
