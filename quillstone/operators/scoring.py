@@ -6,6 +6,9 @@ confidence, deviation, agrees (nullable), skipped; it adds one struct column `ri
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..functions.text import replaced
 from ..settings import DEFAULT, HINTS, LABEL_CATEGORY, LABEL_MULTIPLIER, STRUCTURAL_ROLES, TAG_CATEGORY, Settings
 
 
+#: What `score` gives.
+RISK = ("score", "level", "categories", "hint", "signals")
 #: Letters that a pattern without regard to case takes for ASCII ones, beside capitals.
 FOLDED = "ſKıİ", "skii"
 
@@ -21,6 +26,32 @@ def folded(text: Column) -> Column:
     return F.lower(replaced(text, *FOLDED))
 
 
+def simple(pattern: str) -> bool:
+    """Whether a pattern means the same with and without Unicode's classes and cases, as long as the text is ASCII."""
+    return pattern.isascii() and not any(x in pattern for x in ("\\p", "\\P", "\\x", "\\u", "\\N", "\\X", "\\c", "\\0", "(?i", "(?u", "(?U", "(?-"))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def begins(pattern: str) -> str:
+    """The characters that every match of a pattern begins with, as far as they are plain; empty if none are."""
+    run, at = "", 0
+    while at < len(pattern) and "|" not in pattern:
+        c, size = pattern[at], 1
+        if c == "\\" and at + 1 < len(pattern) and not pattern[at + 1].isalnum():
+            c, size = pattern[at + 1], 2
+        elif c in "\\.^$|?*+()[]{}":
+            break
+        after = pattern[at + size : at + size + 1]
+        if after and after in "?*{+":
+            least = pattern[at + size + 1 : pattern.find(",", at)] if after == "{" else ""
+            return run + c * (int(least) if least.isdecimal() else int(after == "+"))
+        run, at = run + c, at + size
+    return run
+
+
 def required(pattern: str) -> str:
     """The longest run of letters that every match of a pattern holds, in small letters; empty if none is sure.
 
@@ -51,16 +82,19 @@ def required(pattern: str) -> str:
     return max(runs, key=len)
 
 
-def lexicon_hits(text: Column, settings: Settings = DEFAULT, small: Column | None = None) -> Column:
+def lexicon_hits(text: Column, settings: Settings = DEFAULT, small: Column | None = None, ascii: Column | None = None) -> Column:
     """An array of (weight, tag) for every lexicon entry found in the text, in lexicon order.
 
     Each pattern is a literal, so that it is compiled once; the flags make classes and dots match
     as Unicode text and case never matters. With `small`, the `folded` text, a pattern is tried
-    only where the letters stand that all its matches hold.
+    only where the letters stand that all its matches hold; with `ascii`, whether the text is ASCII,
+    such texts are spared Unicode's classes, which cost most of the time.
     """
 
     def met(pattern: str) -> Column:
         whole, least = F.rlike(text, F.lit(f"(?iuUd){pattern}")), required(pattern)
+        if ascii is not None and simple(pattern):
+            whole = F.when(ascii, F.rlike(text, F.lit(f"(?id){pattern}"))).otherwise(whole)
         return F.contains(small, F.lit(least)) & whole if small is not None and least else whole
 
     # joined arrays of one or none: functions that take functions, as array_compact, keep all below them from being compiled
@@ -74,8 +108,8 @@ def lexicon_hits(text: Column, settings: Settings = DEFAULT, small: Column | Non
 
 def with_hits(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """`clauses` with a column `hits`, which others may mention often: its patterns run once a clause."""
-    rows = clauses.withColumn("_small", folded(F.col("text")))
-    return rows.select(*clauses.columns, F.explode(F.array(lexicon_hits(F.col("text"), settings, F.col("_small")))).alias("hits"))
+    rows = clauses.withColumns({"_small": folded(F.col("text")), "_ascii": is_ascii(F.col("text"))})
+    return rows.select(*clauses.columns, F.explode(F.array(lexicon_hits(F.col("text"), settings, F.col("_small"), F.col("_ascii")))).alias("hits"))
 
 
 def language_score(hits: Column) -> Column:
@@ -94,7 +128,9 @@ def is_placeholder(text: Column, settings: Settings = DEFAULT) -> Column:
     found = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?U){p}"), 0) for p in settings.placeholders])
     chars = F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))
     many = (chars / F.greatest(F.length(text), F.lit(1)) > 0.15) | (F.size(found) >= 2)
-    return F.when(F.rlike(text, F.lit("(?U)" + "|".join(f"(?:{p})" for p in settings.placeholders))), F.coalesce(many, F.lit(False))).otherwise(False)
+    # what a match begins with is looked for first: most texts have none
+    tried = [F.contains(text, F.lit(begins(p))) & F.rlike(text, F.lit(f"(?U){p}")) if begins(p) else F.rlike(text, F.lit(f"(?U){p}")) for p in settings.placeholders]
+    return F.when(reduce(or_, tried, F.lit(False)), F.coalesce(many, F.lit(False))).otherwise(False)
 
 
 def short_penalty(length: Column) -> Column:
@@ -123,7 +159,9 @@ def categories_of(label: Column, level: Column, tags: Column, ambiguous: Column,
 
 def percent(x: Column) -> Column:
     """A share as whole per cent, halves to even."""
-    return F.concat(F.format_string("%.0f", F.bround(x * 100, 0)), F.lit("%"))
+    whole = F.bround(x * 100, 0)
+    # a format is read anew for every row; whole numbers that a long holds are written alike without one
+    return F.concat(F.when(F.abs(whole) < 1e15, whole.cast("long").cast("string")).otherwise(F.format_string("%.0f", whole)), F.lit("%"))
 
 
 def hint_of(label: Column, level: Column, s: dict[str, Column]) -> Column:
@@ -154,14 +192,18 @@ def hint_of(label: Column, level: Column, s: dict[str, Column]) -> Column:
     return F.array_join(F.array(*parts), HINTS["between"])  # nulls are left out
 
 
-def score(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """`clauses` with a struct `risk`: score (4 decimals), level, categories, hint, and all signals."""
+def score(clauses: DataFrame, settings: Settings = DEFAULT, wanted: tuple[str, ...] = RISK) -> DataFrame:
+    """`clauses` with a struct `risk`: score (4 decimals), level, categories, hint, and all signals.
+
+    Of these only those `wanted` are worked out: Spark works out all that a struct holds if two of
+    its fields are used.
+    """
     w = settings.weights
     total = w["deviation"] + w["uncertainty"] + w["mismatch"] + w["language"]
     c = F.col
-    step = clauses.withColumn("_small", folded(c("text"))).withColumns(
+    step = clauses.withColumns({"_small": folded(c("text")), "_ascii": is_ascii(c("text"))}).withColumns(
         {
-            "_hits": lexicon_hits(c("text"), settings, c("_small")),
+            "_hits": lexicon_hits(c("text"), settings, c("_small"), c("_ascii")),
             "_placeholder": is_placeholder(c("text"), settings),
             "_short": short_penalty(c("char_end") - c("char_start")).cast("double"),
             "_confidence": F.coalesce(c("confidence").cast("double"), F.lit(0.0)),
@@ -188,35 +230,39 @@ def score(clauses: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     step = step.withColumns({"_override": named, "_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(raised, floor).otherwise(c("_scaled"))))})
     step = step.withColumn("_level", level_of(c("_score"), settings))
     ambiguous = (c("_mismatch") > 0) & ((c("_confidence") < 0.35) | (c("_deviation") > 0.55)) & ~c("_placeholder")
-    signals = {"confidence": c("_confidence"), "deviation": c("_deviation"), "mismatch": c("_mismatch"), "short": c("_short"), "placeholder": c("_placeholder"), "floor": c("_floor"), "tags": c("_tags"), "override": c("_override")}
+    # a generator of one row: filters on what is worked out stay above it, where pushing them down would
+    # write the whole chain of expressions out once for every mention
+    names = ["confidence", "deviation", "mismatch", "short", "placeholder", "floor", "multiplier", "language", "tags", "override", "score", "level"]
+    ambiguity = ambiguous.alias("ambiguous")
+    step = step.select(*clauses.columns, F.explode(F.array(F.struct(*(c(f"_{n}").alias(n) for n in names), ambiguity))).alias("_s"))
+    signals = {n: c("_s")[n] for n in names}
     none = F.array().cast("array<string>")
     skipped = F.coalesce(c("skipped"), F.lit(False))
 
     def either(structural: Column, scored: Column) -> Column:
         return F.when(skipped, structural).otherwise(scored)
 
-    risk = F.struct(
-        either(F.lit(0.0), F.round(c("_score"), 4)).alias("score"),
-        either(F.lit("low"), c("_level")).alias("level"),
-        either(none, categories_of(c("label"), c("_level"), c("_tags"), ambiguous, settings)).alias("categories"),
-        either(F.concat(*[c("structural_role") if x is None else F.lit(x) for x in (HINTS["structural"].split("{}")[0], None, HINTS["structural"].split("{}")[1])]), hint_of(c("label"), c("_level"), signals)).alias("hint"),
-        F.struct(
-            either(F.lit(1.0), c("_confidence")).alias("classifier_confidence"),
-            either(F.lit(0.0), c("_deviation")).alias("deviation_from_reference"),
-            either(F.lit(0.0), c("_mismatch")).alias("classifier_exemplar_mismatch"),
-            either(F.lit(0.0), c("_short")).alias("short_clause_penalty"),
+    structural = F.concat(*[c("structural_role") if x is None else F.lit(x) for x in (HINTS["structural"].split("{}")[0], None, HINTS["structural"].split("{}")[1])])
+    fields = {
+        "score": either(F.lit(0.0), F.round(signals["score"], 4)),
+        "level": either(F.lit("low"), signals["level"]),
+        "categories": either(none, categories_of(c("label"), signals["level"], signals["tags"], c("_s.ambiguous"), settings)),
+        "hint": either(structural, hint_of(c("label"), signals["level"], signals)),
+        "signals": F.struct(
+            either(F.lit(1.0), signals["confidence"]).alias("classifier_confidence"),
+            either(F.lit(0.0), signals["deviation"]).alias("deviation_from_reference"),
+            either(F.lit(0.0), signals["mismatch"]).alias("classifier_exemplar_mismatch"),
+            either(F.lit(0.0), signals["short"]).alias("short_clause_penalty"),
             skipped.alias("structural_skip"),
-            either(F.lit(False), c("_placeholder")).alias("placeholder_clause"),
-            either(F.lit(False), c("_floor")).alias("confidence_floor_hit"),
-            either(F.lit(1.0), c("_multiplier")).alias("label_multiplier"),
-            either(F.lit(0.0), c("_language")).alias("risky_language_score"),
-            either(none, c("_tags")).alias("risky_language_tags"),
-            either(F.lit(""), c("_override")).alias("override_applied"),
-        ).alias("signals"),
-    )
-    # a generator of one row: filters on risk stay above it, where pushing them down would write
-    # the whole chain of expressions out once for every mention
-    return step.select(*clauses.columns, F.explode(F.array(risk)).alias("risk"))
+            either(F.lit(False), signals["placeholder"]).alias("placeholder_clause"),
+            either(F.lit(False), signals["floor"]).alias("confidence_floor_hit"),
+            either(F.lit(1.0), signals["multiplier"]).alias("label_multiplier"),
+            either(F.lit(0.0), signals["language"]).alias("risky_language_score"),
+            either(none, signals["tags"]).alias("risky_language_tags"),
+            either(F.lit(""), signals["override"]).alias("override_applied"),
+        ),
+    }
+    return step.select(*clauses.columns, F.struct(*(fields[n].alias(n) for n in RISK if n in wanted)).alias("risk"))
 
 
 def is_structural(role: Column) -> Column:

@@ -123,8 +123,8 @@ HINTED_SQL = f"""
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(contracts.clauses(spark, sf_dir))
+def _scored(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    return scoring.score(contracts.clauses(spark, sf_dir), wanted=wanted or scoring.RISK)
 
 
 def _flat(scored: DataFrame, *columns: str) -> DataFrame:
@@ -220,7 +220,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score, hint FROM ({HINTED_SQL}) h")
 def risk_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of reasons of every clause."""
-    return _flat(_scored(spark, sf_dir).withColumn("hint", F.col("risk.hint")), "hint")
+    return _flat(_scored(spark, sf_dir, "score", "level", "hint").withColumn("hint", F.col("risk.hint")), "hint")
 
 
 # ---- reports ----
@@ -232,20 +232,20 @@ _COUNTS = "count(*) FILTER (WHERE NOT skipped AND risk_level = '{x}') AS {x}"
   count(*) FILTER (WHERE skipped) AS skipped_structural FROM scored GROUP BY doc_id)
   SELECT *, CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END AS overall_risk, round(CAST(high AS DOUBLE) / nullif(high + medium + low, 0), 6) AS high_share FROM s""")
 def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.shares(reports.summary(_scored(spark, sf_dir)))
+    found = reports.shares(reports.summary(_scored(spark, sf_dir, "level")))
     return found.withColumn("overall_risk", reports.overall(F.col("high"), F.col("medium"))).withColumn("high_share", F.round("high_share", 6)).drop("medium_share", "low_share")
 
 
 @query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score FROM scored WHERE risk_level <> 'low' AND structural_role <> 'SIGNATURE'
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, clause_id) <= 5""")
 def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(reports.key_findings(_scored(spark, sf_dir)))
+    return _flat(reports.key_findings(_scored(spark, sf_dir, "score", "level")))
 
 
 @query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score FROM scored
   WHERE structural_role <> 'SIGNATURE' AND risk_level = 'high' AND (contains(lower(text), 'notice') OR contains(lower(coalesce(label, '')), 'notice'))""")
 def browse_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(reports.browse(_scored(spark, sf_dir), "high", "Notice"))
+    return _flat(reports.browse(_scored(spark, sf_dir, "score", "level"), "high", "Notice"))
 
 
 @query(f"""{_SCORED}, c AS (SELECT doc_id, unnest(categories) AS category FROM scored),
@@ -253,7 +253,7 @@ def browse_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         CROSS JOIN (VALUES ('Financial'), ('Legal'), ('Operational'), ('Ambiguity')) k(category) LEFT JOIN c ON c.doc_id = d.doc_id AND c.category = k.category GROUP BY ALL)
   SELECT *, round(n * 100.0 / greatest(1, max(n) OVER (PARTITION BY doc_id)), 6) AS percent FROM n""")
 def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.category_breakdown(_scored(spark, sf_dir))
+    found = reports.category_breakdown(_scored(spark, sf_dir, "categories"))
     return found.select("doc_id", "category", F.col("n").cast("long").alias("n"), F.round(F.col("percent").cast("double"), 6).alias("percent"))
 
 
@@ -267,7 +267,7 @@ def clause_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score, hint[1:300] AS why FROM ({HINTED_SQL}) h WHERE risk_level IN ('high', 'medium')
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, clause_id) <= 5""")
 def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(reports.top_risks(_scored(spark, sf_dir)), "why")
+    return _flat(reports.top_risks(_scored(spark, sf_dir, "score", "level", "hint")), "why")
 
 
 @query(f"""{_SCORED} SELECT doc_id, count(*) AS n, min(deviation) AS low, list_sort(list(deviation))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median, round(avg(deviation), 6) AS mean, max(deviation) AS high,
@@ -281,7 +281,7 @@ def deviation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (WHERE risk_level = 'low') AS low, min(risk_score) AS least, list_sort(list(risk_score))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median, round(sum(risk_score), 4) AS total, max(risk_score) AS most
   FROM scored WHERE NOT skipped GROUP BY doc_id""")
 def risk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.risk_stats(_scored(spark, sf_dir)).withColumn("mean", F.round(F.col("mean") * F.col("n"), 4)).withColumnRenamed("mean", "total")
+    return reports.risk_stats(_scored(spark, sf_dir, "score", "level")).withColumn("mean", F.round(F.col("mean") * F.col("n"), 4)).withColumnRenamed("mean", "total")
 
 
 @query(f"""WITH c AS ({CLAUSES_SQL}) SELECT doc_id, clause_id, deviation FROM c WHERE NOT skipped AND agrees = false
@@ -292,13 +292,13 @@ def mismatched_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SCORED} SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, unnest(categories) AS category FROM scored WHERE NOT skipped) c GROUP BY ALL")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.category_counts(_scored(spark, sf_dir))
+    return reports.category_counts(_scored(spark, sf_dir, "categories"))
 
 
 @query(f"""{_SCORED} SELECT doc_id, clause_id, risk_level, risk_score FROM scored WHERE NOT skipped
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY risk_score DESC, clause_id) <= 5""")
 def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(reports.risk_ranking(_scored(spark, sf_dir)))
+    return _flat(reports.risk_ranking(_scored(spark, sf_dir, "score", "level")))
 
 
 @query(f"""WITH c AS ({CLAUSES_SQL}) SELECT label, count(*) AS n FROM c WHERE label IS NOT NULL GROUP BY label ORDER BY n DESC, label LIMIT 10""")
