@@ -3,7 +3,8 @@
 For a cell with centre c whose members lie within r of it, no member's inner product with q is above
 q.c + |q| r. A search first opens the cells of the highest bounds that hold k members together; the
 k-th similarity there is the query's floor, and only cells whose bound reaches it are opened after.
-The result is that of a comparison with all exemplars. Similarities are worked out in Spark's own functions.
+The result is that of a comparison with all exemplars. A block of exemplars meets its queries in one matrix
+product; similarities of those that may be among the k best are then summed in order, so that equal vectors tie.
 """
 
 from __future__ import annotations
@@ -14,19 +15,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..settings import DEFAULT
-from .vectors import checkpointed, dot
+from .vectors import checkpointed
 
 #: Cells at most: their centres are broadcast, and a query's bounds are worked out for all of them.
 MAX_CELLS = 4_096
 #: Exemplars that centres are fitted on, at most; all are put into cells.
 SAMPLE = 20_000
 #: Exemplars of a cell, on average, and queries that open it, at most about, that one join key brings together.
-BLOCK, TURN = 1_024, 65_536
+BLOCK, TURN = 1_024, 16_384
+#: Products of a query and an exemplar that are held at once, about.
+TILE = 1 << 21
 
 
 @dataclass
@@ -105,6 +112,34 @@ def build(bank: DataFrame, cells: int | None = None, sample: int = SAMPLE, round
     return Index(exemplars.select(*bank.columns, "cell", block.alias("block")), about)
 
 
+def best_in_block(x: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of `x`, row of `m`, inner product) of the k largest of each row of `x`, ties to the earlier row of `m`.
+
+    A matrix product finds those that may be among them, with all that rounding may have moved;
+    their inner products are summed in order. Some `TILE` products are held at once.
+    """
+    out = []
+    step = max(1, TILE // len(m))
+    longest = np.sqrt(np.square(m).sum(axis=1).max())
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        sims = part @ m.T
+        near = np.ones(sims.shape, bool)
+        if k < len(m) and np.isfinite(sims).all():
+            slack = 8 * m.shape[1] * np.finfo(float).eps * np.sqrt(np.square(part).sum(axis=1)) * longest
+            near = ~(sims < (-np.partition(-sims, k - 1, axis=1)[:, k - 1] - slack)[:, None])
+        rows, places = np.nonzero(near)
+        exact = np.zeros(len(rows))
+        for d in range(m.shape[1]):
+            exact = exact + part[rows, d] * m[places, d]
+        order = np.lexsort((places, np.where(np.isnan(exact), -np.inf, -exact), rows))
+        rows, places, exact = rows[order], places[order], exact[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        keep = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows))) < k
+        out.append((rows[keep] + i, places[keep], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _best(rows: DataFrame, k: int) -> DataFrame:
     """The k best exemplars of each query; k rows of a query and partition at most are exchanged."""
     order = Window.partitionBy("_q").orderBy(F.desc("similarity"), "exemplar_idx")
@@ -122,8 +157,21 @@ def _compared(pairs: DataFrame, index: Index, k: int) -> DataFrame:
     grid = F.broadcast(checkpointed(turns.join(index.cells.select("cell", "blocks"), "cell")))
     asked = pairs.join(grid, "cell").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "turn": F.pmod(F.xxhash64("_q"), F.col("turns")).cast("int")})
     held = index.exemplars.join(grid, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    met = asked.select("_q", "v", "cell", "block", "turn").join(held.select("exemplar_idx", "label", "text", "embedding", "cell", "block", "turn"), ["cell", "block", "turn"])
-    return _best(met.select("_q", "exemplar_idx", "label", "text", dot(F.col("v"), F.col("embedding")).alias("similarity")), k)
+    keys = ["cell", "block", "turn"]
+    left, right = asked.select("_q", "v", *keys), held.select("exemplar_idx", "label", "text", "embedding", *keys)
+    kept = StructType([StructField("_q", LongType()), *right.select("exemplar_idx", "label", "text").schema, StructField("similarity", DoubleType())])
+    nothing = to_arrow_schema(kept).empty_table()
+
+    def meet(queries: pa.Table, exemplars: pa.Table) -> pa.Table:
+        if not queries.num_rows or not exemplars.num_rows:
+            return nothing
+        exemplars = exemplars.take(pc.sort_indices(exemplars, sort_keys=[("exemplar_idx", "ascending")], null_placement="at_start"))
+        matrix = lambda column: pc.list_flatten(column).to_numpy().reshape(len(column), -1)
+        rows, places, similarity = best_in_block(matrix(queries["v"]), matrix(exemplars["embedding"]), k)
+        found = exemplars.select(["exemplar_idx", "label", "text"]).take(pa.array(places)).add_column(0, "_q", queries["_q"].take(pa.array(rows)))
+        return found.append_column("similarity", pa.array(similarity)).combine_chunks()
+
+    return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, kept), k)
 
 
 def search(df: DataFrame, index: Index, vector: str = "embedding", k: int = DEFAULT.neighbours) -> DataFrame:
