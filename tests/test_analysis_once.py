@@ -1,0 +1,115 @@
+"""What the whole analysis works out only once, and what it does not look for."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.operators import classification, explanation, scoring, segmentation, vectors
+from quillstone.plans import analysis, contracts, registry
+from quillstone.settings import DEFAULT, NUMBERING, STRUCTURAL
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_training_reads_phrases_that_are_written(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(cls, labelled, **_):
+        seen.append(labelled)
+        raise Stop
+
+    monkeypatch.setattr(classification.HashedLogistic, "fit", classmethod(fit))
+    with pytest.raises(Stop):
+        registry._model_and_bank(spark, SF)
+    assert "parquet" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def _bank(spark):
+    rows = [(0, "Fees", "payment of the fee"), (1, "Notices", "notice in writing"), (2, "Fees", "the fee is due"), (3, "Laws", "the law of the state")]
+    return vectors.embed(spark.createDataFrame(rows, "exemplar_idx int, label string, text string"))
+
+
+def test_texts_are_compared_as_their_vectors_are(spark):
+    texts = ["the fee is due", None, "", "notice of the law", "the fee is due", "…", "notice of the law"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    for bank, k in ((_bank(spark), 3), (_bank(spark), 9), (_bank(spark).where("false"), 3)):
+        want = {r.id: r for r in vectors.nearest(vectors.embed(df), bank, k=k).collect()}
+        got = {r.id: r for r in vectors.nearest_texts(df, bank, k=k).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r.embedding == want[i].embedding
+            assert [(n.label, n.text, n.exemplar_idx) for n in r.nearest] == [(n.label, n.text, n.exemplar_idx) for n in want[i].nearest]
+            assert [n.similarity for n in r.nearest] == pytest.approx([n.similarity for n in want[i].nearest], abs=1e-12)
+
+
+def test_a_large_bank_goes_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the fee is due")], "id int, text string")
+    want = vectors.nearest_texts(df, _bank(spark), k=2).first().nearest
+    monkeypatch.setattr(vectors, "BANK_ROWS", 3)
+    assert [n.exemplar_idx for n in vectors.nearest_texts(df, _bank(spark), k=2).first().nearest] == [n.exemplar_idx for n in want]
+
+
+def test_vectors_that_nobody_asks_for_do_not_leave_their_task(spark):
+    class Model:
+        def predict(self, df, input, output):
+            return df.withColumn(output, F.array(F.struct(F.lit("Fees").alias("label"), F.lit(0.9).cast("double").alias("probability"))))
+
+    found = analysis.responses(analysis.analyze(contracts.documents(spark, SF), Model(), _bank(spark)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # neighbours and explanations
+
+
+def test_what_a_marker_needs_stands_in_all_its_matches():
+    text = "\n".join(contracts.MARKED) + "\n2.3 (x) one\n(iv) two\nRECITALS\nNOW THEREFORE\nBY AND BETWEEN"
+    needs = {}
+    for pattern in (*NUMBERING, *(p for p, _ in STRUCTURAL)):
+        needs[pattern] = segmentation.needed(pattern)
+        found = [m[0] for m in re.finditer(pattern, text, re.M)]
+        assert found and all(needs[pattern] in x for x in found)
+    assert sum(map(bool, needs.values())) == 11
+    for pattern in (r"(?P<num>Part\s+\d+)?\s", r"(?P<num>Part|Teil)\s\d", r"(?i)(?P<num>part)\s", r"(?P<num>[)(]x)\s", r"(?P<num>(?:Part)?\d)\s"):
+        assert segmentation.needed(pattern) in ("", "x")
+
+
+def test_texts_with_and_without_odd_characters_are_matched_alike(spark):
+    texts = ["plain\ttext\n\x0b\x1b", "a\x1cb\x1fc", "‘x’ “y” – — …", "", "é", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for settings in (DEFAULT, DEFAULT.with_(normalize_quotes=False, normalize_dashes=False), DEFAULT.with_(ellipsis_drift=False)):
+        quotes = settings.normalize_quotes
+        table = {**(dict(zip("‘’“”–—", "''\"\"--", strict=True)) if quotes else {}), **({"…": "..."} if quotes and settings.ellipsis_drift else {})}
+        table |= {"": "", "": "", **dict.fromkeys("\x1c\x1d\x1e\x1f", "\x0b")}
+        got = [r[0] for r in rows.select(segmentation.for_matching(F.col("t"), settings)).collect()]
+        assert got == [t if t is None else t.translate(str.maketrans(table)) for t in texts]
+
+
+def test_folding_goes_beyond_ascii(spark):
+    rows = spark.createDataFrame([("SOLE",), ("ſole K İı",), ("ÉTÉ",)], "t string")
+    assert [r[0] for r in rows.select(scoring.folded(F.col("t"))).collect()] == ["sole", "sole k ii", "été"]
+
+
+def test_bytes_do_not_make_a_text_long(spark):
+    text = "1. " + "é " * 16_000 + "ends here as it began.\n2. The price is due now"
+    assert len(text) <= segmentation.PARTS[-1] < len(text.encode())
+    got = segmentation.segment(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("clause_id").collect()
+    assert [(r.number, text[r.char_start : r.char_end] == r.text) for r in got] == [("1", True), ("2", True)]
+
+
+def test_prompts_are_answered_one_by_one(spark):
+    asked = explanation.template
+    rows = spark.createDataFrame([(1, "high"), (2, "low"), (3, "medium")], "id int, level string")
+    scored = rows.select("id", F.lit("a clause").alias("text"), F.lit("Fees").alias("label"), F.struct(
+        F.lit(0.5).alias("score"), "level", F.array(F.lit("Legal")).alias("categories"), F.lit("why").alias("hint"), F.struct(F.array().cast("array<string>").alias("risky_language_tags")).alias("signals"),
+    ).alias("risk"))
+
+    def broken(prompt):
+        raise ValueError("no")
+
+    got = {r.id: r.explanation for r in explanation.explain(scored, {"a": broken, "b": asked}).collect()}
+    assert (got[1].text, got[1].model_used, got[3].model_used) == ("The scorer's reasons: why", "b", "b")
+    assert (got[2].text, got[2].model_used, got[2].latency_ms, got[2].skipped_reason) == (None, None, 0, explanation.SKIPPED)
+    failed = {r.id: r.explanation for r in explanation.explain(scored, {"a": broken}).collect()}
+    assert failed[1].text is None and failed[1].skipped_reason == "all models failed: a: ValueError: no"
