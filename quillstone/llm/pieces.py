@@ -27,6 +27,7 @@ import functools
 import math
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class Table:
         """Different keys that are not there yet; slots are at most half full."""
         if 2 * (self.n + len(keys)) > len(self.keys):
             held = self.keys >= 0
-            old, new = (self.keys[held], self.values[held]), Table(4 * (self.n + len(keys)))
+            old, new = (self.keys[held], self.values[held]), Table(2 * (self.n + len(keys)))
             new.add(*old)
             self.bits, self.keys, self.values, self.n = new.bits, new.keys, new.values, new.n
         self.n += len(keys)
@@ -347,22 +348,29 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    machine = pieces_of(model)
+    for b in slices(batches):
+        texts = b.column(1).to_pylist()
+        encoded = machine.encode_all([t or "" for t in texts])
+        ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, encoded, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    machine = pieces_of(model)
+    for b in slices(batches, "ids"):
+        texts = [None if x is None else machine.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """Per document: doc_id, text and ids (unsigned little-endian 32-bit numbers).
 
     A null text has null ids, an empty one none. A null doc_id stays null; repeated rows each keep
     their row; an empty table gives no rows; other columns are not read. Texts go through whole.
     """
-
-    def run(batches):
-        machine = pieces_of(model)
-        for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            encoded = machine.encode_all([t or "" for t in texts])
-            ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, encoded, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, model), "doc_id long, text string, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -372,11 +380,15 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     are handled as in `Pieces.decode`. Repeated rows each keep their row, an empty table gives no
     rows, and further columns are not read.
     """
+    return encoded.select("doc_id", "text", "ids").mapInArrow(lambda batches: _decoded(batches, model), "doc_id long, text string, ids binary, decoded string")
 
-    def run(batches):
-        machine = pieces_of(model)
-        for b in slices(batches, "ids"):
-            texts = [None if x is None else machine.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
+def both_ways(docs: DataFrame, model: str) -> DataFrame:
+    """The rows of `decode(encode(docs, model), model)`, by one Python worker a task.
+
+    One after the other, the two passes take two workers a task, each with its own machine and
+    whatever segments it has met.
+    """
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _decoded(_encoded(batches, model), model), "doc_id long, text string, ids binary, decoded string"
+    )

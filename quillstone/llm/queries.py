@@ -57,8 +57,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = pieces.decode(pieces.encode(docs, model), model)
-    return both.select(
+    return pieces.both_ways(docs, model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),

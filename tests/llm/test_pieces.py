@@ -129,3 +129,27 @@ def test_table(spark, library):
         if t is not None:
             assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(t)
     assert pieces.decode(pieces.encode(df.limit(0), MODEL), MODEL).count() == 0
+
+
+def test_query_takes_one_worker_a_task(spark):
+    """Each Python pass of a stage takes a worker of its own in every task, with a machine and its segments."""
+    from quillstone.llm import queries
+
+    plan = queries.op8_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_both_ways_is_one_after_the_other(spark):
+    rows = [(1, None), (2, ""), (None, "a▁ b\n日本 é"), (4, "the cat"), (4, "the cat"), (5, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    at_once, apart = pieces.both_ways(df, MODEL), pieces.decode(pieces.encode(df, MODEL), MODEL)
+    assert at_once.schema == apart.schema
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, apart.collect()))
+    assert pieces.both_ways(df.limit(0), MODEL).count() == 0
+
+
+def test_number_table_is_not_sparse():
+    table = pieces.Table(4)
+    for at in range(0, 10_000, 100):
+        table.add(np.arange(at, at + 100), np.zeros(100, np.int32))
+        assert 2 * table.n <= len(table.keys) <= 4 * table.n
